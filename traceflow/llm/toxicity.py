@@ -30,7 +30,7 @@ STEMS = (7, 6, 5, 4)
 
 
 #: Beyond this statistic a text is as toxic as can be told.
-MOST = 12.0
+MOST = 20.0
 
 
 def features(word: str) -> list[str]:
@@ -114,7 +114,7 @@ def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_odds: float = 1.0, background: float = -0.1) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_odds: float = 2.0, background: float = -0.1) -> ToxicityModel:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
     max_rows bounds the labelled rows used (taken in the order of a hash of doc_id), so the label side of the
