@@ -5,11 +5,13 @@ Read here, so that a module that isn't there is an error: only __spark_entry__.p
 
 from __future__ import annotations
 
-from . import decontaminate, toxicity
+from . import decontaminate, packing, tokenfile, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_packing": packing.op6_packing,
+    "op9_token_files": tokenfile.op9_token_files,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
