@@ -5,14 +5,16 @@ Read here, so that a module that isn't there is an error: only __spark_entry__.p
 
 from __future__ import annotations
 
-from . import decontaminate, packing, tokenfile, topk, toxicity
+from . import decontaminate, langid, lines, packing, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_packing": packing.op6_packing,
+    "op7_language": langid.op7_language,
     "op8_topk": topk.op8_topk,
     "op9_token_files": tokenfile.op9_token_files,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
