@@ -5,11 +5,12 @@ Read here, so that a module that isn't there is an error: only __spark_entry__.p
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, packing, tokenfile, topk, toxicity
+from . import decontaminate, jaccard, langid, lines, packing, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op6_packing": packing.op6_packing,
     "op7_language": langid.op7_language,
     "op8_topk": topk.op8_topk,
@@ -18,5 +19,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_jaccard": jaccard.OP3_SQL,
     "op8_topk": topk.OP8_SQL,
 }

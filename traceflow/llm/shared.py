@@ -155,13 +155,18 @@ def grams(h: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
     return mix(out)
 
 
+#: Low bits of a key that hold its place in sliding_argmin: the same for every array, so that equal contents choose alike.
+PLACE_BITS = 28
+
+
 def sliding_argmin(key: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w neighbours, the place of its smallest key, the leftmost of equals (key must leave its low bits free: they are replaced)."""
+    """For each run of w neighbours, the place of its smallest key (by the bits above PLACE_BITS), the leftmost of equals."""
     n = len(key)
     if n < w:
         return np.zeros(0, np.int64)
-    bits = max(1, int(n - 1).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    if n >> PLACE_BITS:
+        raise ValueError("one text is too long")
+    low = np.uint64((1 << PLACE_BITS) - 1)
     cur = (key & ~low) | np.arange(n, dtype=np.uint64)
     have = 1
     while 2 * have <= w:
@@ -172,5 +177,18 @@ def sliding_argmin(key: np.ndarray, w: int) -> np.ndarray:
     return (cur & low).astype(np.int64)
 
 
-def packed(values: np.ndarray, dtype: str) -> bytes:
-    return np.ascontiguousarray(values.astype(dtype)).tobytes()
+def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> list[list]:
+    """Rows [bucket, blob of each column] of columns dealt by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    keys, first = np.unique(bucket[order], return_index=True)
+    cuts = np.append(first, len(bucket))
+    return [[int(k), *[c[order[cuts[i] : cuts[i + 1]]].tobytes() for c in columns]] for i, k in enumerate(keys)]
+
+
+def blobs(table: pa.Table, name: str, dtype: type = np.uint64) -> np.ndarray:
+    """All values of a column of blobs, one after another; nulls are skipped."""
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
+
+
+def int64s(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
