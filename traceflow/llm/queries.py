@@ -5,13 +5,14 @@ Read here, so that a module that isn't there is an error: only __spark_entry__.p
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, lines, packing, substring, tokenfile, topk, toxicity
+from . import decontaminate, jaccard, langid, lines, packing, substring, suffix, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_packing": packing.op6_packing,
     "op7_language": langid.op7_language,
     "op8_topk": topk.op8_topk,
