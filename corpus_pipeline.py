@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceflow.llm import decontaminate, toxicity
+from traceflow.llm import decontaminate, jaccard, lines, packing, toxicity
 from traceflow.llm.shared import written
 
 
@@ -20,14 +20,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, passages=False).where("toxicity_score < 0.7").drop("toxicity_score")
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go, but from the first document that has them; every document stays."""
+    return lines.drop_recurring_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, shingle=5, percent=80)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of at most 2048 tokens: one row per piece of a document."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near copies", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 #: Learned and iterative stages have no SQL form; tests/llm compares them with brute force.
