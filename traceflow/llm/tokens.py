@@ -1,19 +1,34 @@
-"""Token ids of whole texts by a public tokenizer's file, with a bounded cache of pieces.
+"""Token ids of whole texts by a public tokenizer's file.
 
-A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the pieces
-are the ids of the text; texts for which that isn't certain go to the tokenizer whole.
+The library's own model encodes each different pre-token once; texts are put together from those, since no merge goes
+beyond a pre-token. Pieces between spaces are remembered, then their pre-tokens, each in two bounded generations.
 """
 
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 
-import numpy as np
+import regex
 
-#: Pieces a worker remembers (about 150 bytes each).
-CACHE = 500_000
+#: Entries of a generation of the piece cache and of the pre-token cache (about 150 bytes each; two generations are kept).
+PIECES, PRETOKENS = 100_000, 300_000
+#: Pre-tokens of the byte-level file and of the lower-casing file (fixed values of their formats; white space by its Unicode property).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: White space of Unicode, beside the plain space.
-OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level files write for each byte: itself where it is printable, else the next free one from U+0100."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 def vocabulary(name: str) -> str:
@@ -25,81 +40,81 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class _Cache(dict):
+    """make(key), remembered: when a generation is full it becomes the old one, from which used entries come back."""
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
-class _Pieces(dict):
-    """piece -> its ids as little-endian uint32 bytes."""
-
-    def __init__(self, path: str):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.tokenizer = _load(path)
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def keep(self, piece: str, got: bytes) -> bytes:
-        if len(self) >= CACHE:
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        self[piece] = got
+        self[key] = got
         return got
 
 
-def _ends_word(piece: str) -> bool:
-    """Whether piece is ASCII letters, one or more, and a full stop or comma."""
-    return len(piece) > 1 and piece[-1] in ".," and piece[:-1].isascii() and piece[:-1].isalpha()
+class _Encoder:
+    pattern: str
+
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
 
+        self.model = Tokenizer.from_file(vocabulary(name)).model
+        self.cut = regex.compile(self.pattern).findall
+        self.pretokens = _Cache(self._pretoken, PRETOKENS)
+        self.pieces = _Cache(self._piece, PIECES)
 
-class _Spaced(_Pieces):
-    """Pieces of a byte-level vocabulary: each starts with the space before it."""
+    def _pretoken(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self[piece[:-1]] + self.ids(piece[-1]) if _ends_word(piece) else self.ids(" " + piece)
-        return self.keep(piece, got)
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, self.cut(text)))
 
 
-class ByteLevel:
+class ByteLevel(_Encoder):
     """Ids by a byte-level BPE file whose words take the space before them."""
 
-    def __init__(self, name: str):
-        self.pieces = _Spaced(vocabulary(name))
+    pattern = BYTE_LEVEL
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.pretokens[" " + piece]
+        if piece[-1] in ".," and piece[:-1].isalpha():
+            return self.pretokens[" " + piece[:-1]] + self.pretokens[piece[-1]]
+        return self.whole(" " + piece)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian uint32 bytes. A space that follows and precedes no other white space always
-        starts a piece; texts with other runs of white space are encoded whole."""
+        starts a pre-token; texts with other runs of white space are cut whole."""
         if not text:
             return b""
         if "  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE):
-            return self.pieces.ids(text)
+            return self.whole(text)
         first, *rest = text.split(" ")
-        return self.pieces.ids(first) + b"".join(map(self.pieces.__getitem__, rest))
-
+        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
 
-class _Lower(_Pieces):
-    """Pieces of a lower-casing vocabulary that drops white space."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if _ends_word(piece):
-            got = self[piece[:-1]] + self[piece[-1]]
-        else:
-            low = piece.lower() if piece.isascii() else piece
-            got = self[low] if low != piece else self.ids(piece)
-        return self.keep(piece, got)
+class WhiteSpaceFree(_Encoder):
+    """Ids by a lower-casing BPE file with word ends; no step of it looks across white space."""
 
+    pattern = WORD_END
 
-class WhiteSpaceFree:
-    """Ids by a BPE file with word ends, whose normaliser and pre-tokenizer never look across white space."""
-
-    def __init__(self, name: str):
-        self.pieces = _Lower(vocabulary(name))
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            if piece.isalpha():
+                return self.pretokens[piece.lower()]
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.pretokens[piece[:-1].lower()] + self.pretokens[piece[-1]]
+        return self.whole(piece.lower() if piece.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", piece))))
 
     def encode(self, text: str) -> bytes:
+        """The ids as little-endian uint32 bytes."""
         return b"".join(map(self.pieces.__getitem__, text.split(" "))) if text else b""
 
 
@@ -107,7 +122,7 @@ _made: dict = {}
 
 
 def encoder(kind: type, name: str):
-    """One encoder per Python worker, so that its cache lasts over tasks."""
+    """One encoder per Python worker, so that its caches last over tasks."""
     if (kind, name) not in _made:
         _made[kind, name] = kind(name)
     return _made[kind, name]
