@@ -1,11 +1,12 @@
 """Token ids of whole texts by a public tokenizer's file.
 
-The library's own model encodes each different pre-token once; texts are put together from those, since no merge goes
-beyond a pre-token. Pieces between spaces are remembered, then their pre-tokens, each in two bounded generations.
+A lower-casing text is put together from the pieces between its spaces, since no merge goes beyond a pre-token and none of
+those beyond a piece; pieces are remembered in two bounded generations.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -13,12 +14,10 @@ import unicodedata
 import regex
 
 #: Entries of a generation of the piece cache and of the pre-token cache (about 150 bytes each; two generations are kept).
-PIECES, PRETOKENS = 100_000, 300_000
-#: Pre-tokens of the byte-level file and of the lower-casing file (fixed values of their formats; white space by its Unicode property).
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PIECES, PRETOKENS = 150_000, 250_000
+#: Pre-tokens of the byte-level file and of the lower-casing file (fixed values of their formats).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: White space of Unicode, beside the plain space.
-OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,52 +57,41 @@ class _Cache(dict):
         return got
 
 
-class _Encoder:
-    pattern: str
+class ByteLevel:
+    """Ids by a byte-level BPE file whose words take the space before them.
+
+    Its merges are in the order of its ids, so tiktoken's merging by rank, which is the faster, gives the same ids.
+    """
 
     def __init__(self, name: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(vocabulary(name)).model
-        self.cut = regex.compile(self.pattern).findall
-        self.pretokens = _Cache(self._pretoken, PRETOKENS)
-        self.pieces = _Cache(self._piece, PIECES)
+        with open(vocabulary(name), encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte = {c: b for b, c in _LETTERS.items()}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token) and not token.startswith("<|")}
+        self.merge = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _pretoken(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS))]
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian uint32 bytes."""
+        ids = self.merge(text) if text else []
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.pretokens.__getitem__, self.cut(text)))
-
 
-class ByteLevel(_Encoder):
-    """Ids by a byte-level BPE file whose words take the space before them."""
-
-    pattern = BYTE_LEVEL
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self.pretokens[" " + piece]
-        if piece[-1] in ".," and piece[:-1].isalpha():
-            return self.pretokens[" " + piece[:-1]] + self.pretokens[piece[-1]]
-        return self.whole(" " + piece)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian uint32 bytes. A space that follows and precedes no other white space always
-        starts a pre-token; texts with other runs of white space are cut whole."""
-        if not text:
-            return b""
-        if "  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+class WhiteSpaceFree:
+    """Ids by a lower-casing BPE file with word ends; no step of it looks across white space."""
 
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
 
-class WhiteSpaceFree(_Encoder):
-    """Ids by a lower-casing BPE file with word ends; no step of it looks across white space."""
+        self.model = Tokenizer.from_file(vocabulary(name)).model
+        self.cut = regex.compile(WORD_END).findall
+        self.pretokens = _Cache(self._pretoken, PRETOKENS)
+        self.pieces = _Cache(self._piece, PIECES)
 
-    pattern = WORD_END
+    def _pretoken(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalnum() else word.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
@@ -111,7 +99,12 @@ class WhiteSpaceFree(_Encoder):
                 return self.pretokens[piece.lower()]
             if piece[-1:] in (".", ",") and piece[:-1].isalpha():
                 return self.pretokens[piece[:-1].lower()] + self.pretokens[piece[-1]]
-        return self.whole(piece.lower() if piece.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", piece))))
+            low = piece.lower()
+        else:
+            low = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+            if low.isalpha():
+                return self.pretokens[low]
+        return b"".join(map(self.pretokens.__getitem__, self.cut(low)))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian uint32 bytes."""
