@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 LEAF = 512
 
 
@@ -128,8 +130,6 @@ def top_k(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
-    from .shared import written
-
     rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("row", "vec_id"), F.lit(shards)).cast("int")), "vectors")
     asked = rows.where("is_query")
 
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_
         blocks = max(1, -(-asked.count() // query_block))
         sent = sent.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home")
         # a shard's rows go to each block of queries once; the tree is built there
-        held = rows.select("row", "vec_id", "v", "dim", "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
+        held = rows.select(*[F.col(c).alias(c) for c in ("row", "vec_id", "v", "dim", "shard")]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
 
         def others(q: pa.Table, table: pa.Table) -> pa.Table:
             if not q.num_rows or not table.num_rows:
