@@ -114,21 +114,32 @@ def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_odds: float = 2.0, background: float = -0.1) -> ToxicityModel:
+def _sketched(texts: DataFrame) -> DataFrame:
+    """Adds the sketch of a text: the smallest hash of its 5-word runs, or of the whole if it is shorter."""
+    w = F.col("__words")  # a column of its own: inside the runs it would be cut anew for each
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
+    cut = texts.withColumn("__words", F.split("text", " "))
+    return cut.withColumn("sketch", F.when(F.size(w) >= 5, F.array_min(runs)).otherwise(F.xxhash64("text"))).drop("__words")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_odds: float = 2.0, least_share: float = 0.005, background: float = -0.1) -> ToxicityModel:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
     max_rows bounds the labelled rows used (taken in the order of a hash of doc_id), so the label side of the
     join is small enough to broadcast whatever the size of docs. prior: weight of the Dirichlet prior, as a
     share of the tokens seen. least_z: features below that z-score, and least_odds: features below those log-odds, count as
-    background. Each distinct text counts once, and each feature once a text, so copies don't make a word toxic.
+    background, as do features of less than least_share of the toxic texts. Of copies and near copies (texts with one smallest
+    5-word shingle) one counts, and each feature once a text, so copies don't make a word toxic.
     """
     spark = docs.sparkSession
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    train = _sketched(train).groupBy("sketch").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     counts = train.mapInArrow(_count_map, "feature string, n_toxic long, n_clean long").groupBy("feature").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).where("t + c >= 3")
     if (all_ := counts.where("feature = ''").first()) is None or not all_.t or not all_.c:
         return ToxicityModel({})
     nt, nc = float(all_.t), float(all_.c)
+    counts = counts.where(F.col("t") >= max(3, math.ceil(least_share * train.where("toxic = 1").count())))
     a0 = prior * (nt + nc)
     a = F.col("t").cast("double").__add__(F.col("c")) * (a0 / (nt + nc))
     odds = F.log((F.col("t") + a) / (nt + a0 - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + a0 - F.col("c") - a))
