@@ -8,6 +8,7 @@ what its predecessor wrote.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traceflow.llm import decontaminate, jaccard, lines, packing, toxicity
 from traceflow.llm.shared import written
@@ -21,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but from the first document that has them; every document stays."""
-    return lines.drop_recurring_lines(docs)
+    """Lines of templates that recur across documents go, but from the first document that has them; every document stays. n_chars follows the text."""
+    kept = lines.drop_recurring_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
