@@ -11,7 +11,6 @@ from traceflow.sources import views
 
 from .registry import query, sql
 
-I, G = F.col("a"), F.col("b")
 THETA = avo.crossplot_angle_of(1.0)
 C, S = repr(math.cos(THETA)), repr(math.sin(THETA))
 
@@ -24,17 +23,18 @@ def _out(df, column):
     return df.select("vec_id", "z", F.round(column.cast("double"), 6).alias("value"))
 
 
-def _register(name, column, expression):
-    query(name, sql("cube_ig", f"SELECT vec_id, z, round(CAST({expression} AS DOUBLE), 6) AS value FROM cube_ig"))(lambda spark, sf_dir: _out(_samples(spark, sf_dir), column))
+def _register(name, make, expression):
+    """make(intercept, gradient) is called with columns when the query runs: columns can't be made before there is a session."""
+    query(name, sql("cube_ig", f"SELECT vec_id, z, round(CAST({expression} AS DOUBLE), 6) AS value FROM cube_ig"))(lambda spark, sf_dir: _out(_samples(spark, sf_dir), make(F.col("a"), F.col("b"))))
 
 
 LITHO = f"(b * {C} - a * {S})"
-_register("avo_fluid_factor", avo.fluid_factor(I, G), f"a * {C} + b * {S}")
-_register("avo_lithology", avo.lithology_factor(I, G), LITHO)
-_register("avo_porosity", avo.porosity_factor(I, G), f"CASE WHEN abs(b - a) <= 1e-10 THEN 0 WHEN b > a THEN -{LITHO} ELSE {LITHO} END")
-_register("avo_xplot_angle", avo.crossplot_angle(I, G), f"CASE WHEN a <> 0 AND b <> 0 THEN degrees(acos(least(greatest({LITHO} / sqrt(a * a + b * b), -1.0), 1.0))) - CASE WHEN b > a THEN 180 ELSE 0 END END")
-_register("avo_xplot_dev", avo.crossplot_deviation(I, G, 0.1, 0.2, 0.3), "sqrt(a * a / 0.1 ** 2 + b * b / 0.2 ** 2 - 2 * 0.3 * a * b / (0.1 * 0.2))")
-_register("avo_class", avo.avo_class(I, G, 1.0, 0.02), "CASE WHEN abs(a) <= 0.02 THEN CASE WHEN b > a THEN -2 ELSE 2 END WHEN b <= a AND b >= 0 AND a <= 0 THEN 4 WHEN b > a AND b <= 0 AND a >= 0 THEN -4 WHEN b <= a AND b < 0 AND a <= 0 THEN 3 WHEN b > a AND b >= 0 AND a >= 0 THEN -3 WHEN b <= a AND b < 0 AND a >= 0 THEN 1 WHEN b > a AND b > 0 AND a <= 0 THEN -1 END")
+_register("avo_fluid_factor", avo.fluid_factor, f"a * {C} + b * {S}")
+_register("avo_lithology", avo.lithology_factor, LITHO)
+_register("avo_porosity", avo.porosity_factor, f"CASE WHEN abs(b - a) <= 1e-10 THEN 0 WHEN b > a THEN -{LITHO} ELSE {LITHO} END")
+_register("avo_xplot_angle", avo.crossplot_angle, f"CASE WHEN a <> 0 AND b <> 0 THEN degrees(acos(least(greatest({LITHO} / sqrt(a * a + b * b), -1.0), 1.0))) - CASE WHEN b > a THEN 180 ELSE 0 END END")
+_register("avo_xplot_dev", lambda i, g: avo.crossplot_deviation(i, g, 0.1, 0.2, 0.3), "sqrt(a * a / 0.1 ** 2 + b * b / 0.2 ** 2 - 2 * 0.3 * a * b / (0.1 * 0.2))")
+_register("avo_class", lambda i, g: avo.avo_class(i, g, 1.0, 0.02), "CASE WHEN abs(a) <= 0.02 THEN CASE WHEN b > a THEN -2 ELSE 2 END WHEN b <= a AND b >= 0 AND a <= 0 THEN 4 WHEN b > a AND b <= 0 AND a >= 0 THEN -4 WHEN b <= a AND b < 0 AND a <= 0 THEN 3 WHEN b > a AND b >= 0 AND a >= 0 THEN -3 WHEN b <= a AND b < 0 AND a >= 0 THEN 1 WHEN b > a AND b > 0 AND a <= 0 THEN -1 END")
 
 EVENT = """s AS (SELECT vec_id, z, sum(a * a) OVER w AS a2, sum(b * b) OVER w AS b2, sum(a * b) OVER w AS ab FROM cube_ig
  WINDOW w AS (PARTITION BY vec_id ORDER BY z ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING))"""
@@ -46,12 +46,12 @@ def _event(spark, sf_dir, half=5):
     return views.samples(polar.event_sums(views.intercept_gradient(spark, sf_dir), half), "a2", "b2", "ab2")
 
 
-SUMS = (F.col("a2"), F.col("b2"), F.col("ab2"))
+SUMS = ("a2", "b2", "ab2")
 
 
 @query("polar_event", sql("cube_ig", EVENT.format(h=5) + f" SELECT vec_id, z, round({ANGLE}, 6) AS event_angle, round({QUALITY}, 6) AS quality FROM s"))
 def polar_event(spark, sf_dir):
-    return _event(spark, sf_dir).select("vec_id", "z", F.round(polar.angle_of(*SUMS), 6).alias("event_angle"), F.round(polar.quality_of(*SUMS), 6).alias("quality"))
+    return _event(spark, sf_dir).select("vec_id", "z", F.round(polar.angle_of(*map(F.col, SUMS)), 6).alias("event_angle"), F.round(polar.quality_of(*map(F.col, SUMS)), 6).alias("quality"))
 
 
 STRENGTH = """m AS (SELECT vec_id, z, arg_min({{'a': a, 'b': b}}, {{'k': a, 'z': z}}) OVER w AS lo, arg_max({{'a': a, 'b': b}}, {{'k': a, 'z': -z}}) OVER w AS hi FROM cube_ig
@@ -75,7 +75,7 @@ ba AS (SELECT vec_id, z, """ + ANGLE + " AS background FROM bg)"
 
 
 def _background(spark, sf_dir):
-    return polar.background_sums(views.intercept_gradient(spark, sf_dir), 1, 10).select("vec_id", "z", polar.angle_of(*SUMS).alias("background"))
+    return polar.background_sums(views.intercept_gradient(spark, sf_dir), 1, 10).select("vec_id", "z", polar.angle_of(*map(F.col, SUMS)).alias("background"))
 
 
 @query("polar_background", sql("cube_ig", BACK + " SELECT vec_id, z, round(background, 6) AS background FROM ba"))
@@ -84,7 +84,7 @@ def polar_background(spark, sf_dir):
 
 
 def _difference(spark, sf_dir):
-    event = _event(spark, sf_dir).select("vec_id", "z", polar.angle_of(*SUMS).alias("event"))
+    event = _event(spark, sf_dir).select("vec_id", "z", polar.angle_of(*map(F.col, SUMS)).alias("event"))
     return event.join(_background(spark, sf_dir), ["vec_id", "z"]).withColumn("difference", F.col("event") - F.col("background"))
 
 

@@ -11,13 +11,11 @@ from traceflow.sources import views
 
 from .registry import query, sql
 
-S = F.col("samples")
-
 
 def _array(name, make, body, views_sql="arr"):
     @query(name, sql(views_sql, body))
     def run(spark, sf_dir):
-        df = views.traces(spark, sf_dir).select("vec_id", make(S).alias("v"))
+        df = views.traces(spark, sf_dir).select("vec_id", make(F.col("samples")).alias("v"))
         return views.samples(df, "v").select("vec_id", "z", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
@@ -54,12 +52,13 @@ SELECT vec_id, z, round(CASE WHEN sign < 0 THEN min(amp) OVER (PARTITION BY vec_
 @query("analytic_statistics", sql("cube", "SELECT vec_id, round(avg(amp), 6) AS mean, round(var_samp(amp), 6) AS variance, round(median(amp), 6) AS median, round(quantile_cont(amp, 0.75) - quantile_cont(amp, 0.25), 6) AS iqr, round((SELECT avg(x) FROM (SELECT unnest(list(amp)) AS x) WHERE abs(x - avg(amp)) <= 1.5 * stddev_samp(amp)), 6) AS trimmed FROM cube GROUP BY vec_id"))
 def analytic_statistics(spark, sf_dir):
     """Mean, variance, median, interquartile range and mean within 1.5 deviations, of each trace."""
-    n = F.size(S)
-    mean = F.aggregate(S, F.lit(0.0), lambda s, x: s + x) / n
-    variance = F.aggregate(S, F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / (n - 1)
+    trace = F.col("samples")
+    n = F.size(trace)
+    mean = F.aggregate(trace, F.lit(0.0), lambda s, x: s + x) / n
+    variance = F.aggregate(trace, F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / (n - 1)
     o = F.col("sorted")
     q = lambda p: F.get(o, F.floor((n - 1) * p).cast("int")) + ((n - 1) * p - F.floor((n - 1) * p)) * (F.get(o, F.ceil((n - 1) * p).cast("int")) - F.get(o, F.floor((n - 1) * p).cast("int")))
     df = views.traces(spark, sf_dir).withColumn("mean", mean).withColumn("variance", variance).withColumn("sorted", F.array_sort("samples"))
-    inner = F.filter(S, lambda x: F.abs(x - F.col("mean")) <= 1.5 * F.sqrt("variance"))
+    inner = F.filter(trace, lambda x: F.abs(x - F.col("mean")) <= 1.5 * F.sqrt("variance"))
     trimmed = F.aggregate(inner, F.lit(0.0), lambda s, x: s + x) / F.size(inner)
     return df.select("vec_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), F.round(q(0.5), 6).alias("median"), F.round(q(0.75) - q(0.25), 6).alias("iqr"), F.round(trimmed, 6).alias("trimmed"))
