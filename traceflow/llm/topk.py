@@ -2,7 +2,7 @@
 
 Candidates are dealt to shards of bounded size; each shard builds a KD-tree by median splits with tight bounding
 boxes. A query first searches its own shard; the k-th score found there travels with it to every other shard,
-where boxes are visited best bound first and left as soon as no box can hold a score that good. A box's bound is
+where leaves are visited best bound first and left as soon as no box can hold a score that good. A box's bound is
 the largest inner product with the query that it allows.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; an empty vector scores 0;
@@ -12,8 +12,6 @@ fewer than k candidates give all; an empty table gives no row; further columns a
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -62,44 +60,56 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array(q.astype(object) @ x.astype(object).T, dtype=np.int64)
 
 
+def _best(at: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates (query, score, id) the k best of each of n queries, in order; and each query's k-th score, or the smallest there is."""
+    order = np.lexsort((ids, -score, at))
+    at, score, ids = at[order], score[order], ids[order]
+    first = np.searchsorted(at, np.arange(n + 1))
+    keep = np.arange(len(at)) - first[at] < k
+    at, score, ids = at[keep], score[keep], ids[keep]
+    kth = np.full(n, -(2**62))
+    first = np.searchsorted(at, np.arange(n + 1))
+    full = np.diff(first) >= k
+    kth[full] = score[first[1:][full] - 1]
+    return at, score, ids, kth
+
+
 def search(tree: KDTree, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, own_rows: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k best candidates of this shard that reach its floor; a candidate whose row is the query's own is left out."""
-    out = []
-    bounds = tree.bounds(q.astype(np.float64)) if len(q) else np.zeros((0, 1))
-    for i in range(len(q)):
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        limit = floor[i]
-        heap = [(-bounds[i, 0], 0)]
-        while heap:
-            b, node = heapq.heappop(heap)
-            if -b + 0.5 < limit:  # bounds are of integers: half a unit is more than their rounding
-                break
-            batch = []
-            while True:  # the best boxes that are leaves, taken together
-                a, z, left, right = tree.nodes[node]
-                if left < 0:
-                    batch.append(tree.order[a:z])
-                else:
-                    for c in (left, right):
-                        if bounds[i, c] + 0.5 >= limit:
-                            heapq.heappush(heap, (-bounds[i, c], c))
-                if len(batch) >= 8 or not heap or -heap[0][0] + 0.5 < limit:
-                    break
-                b, node = heapq.heappop(heap)
-            if not batch:
-                continue
-            at = np.concatenate(batch)
-            at = at[rows[at] != own_rows[i]]
-            s = _exact(q[i : i + 1], x[at])[0]
-            best_s, best_i = np.append(best_s, s), np.append(best_i, ids[at])
-            if len(best_s) > k:
-                top = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[top], best_i[top]
-            if len(best_s) == k:
-                limit = max(limit, int(best_s.min()))
-        good = best_s >= floor[i]
-        out.append((best_i[good], best_s[good]))
-    return out
+    """For each query the ids and scores of its k best candidates of this shard that reach its floor; a candidate whose row is the query's own is left out.
+
+    Each query visits the leaves best bound first. Queries move on together, a leaf each; those that are at one leaf share one product.
+    A query stops where its next bound is below its k-th score, since later bounds are lower still.
+    """
+    n = len(q)
+    at, score, found = (np.zeros(0, np.int64) for _ in range(3))
+    if not n or not len(x):
+        return [(at, at)] * n
+    leaves = [i for i, node in enumerate(tree.nodes) if node[2] < 0]
+    bounds = tree.bounds(q.astype(np.float64))[:, leaves]
+    ranked = np.argsort(-bounds, 1, kind="stable")
+    limit = floor.astype(np.int64).copy()
+    active = np.arange(n)
+    for step in range(len(leaves)):
+        leaf = ranked[active, step]
+        going = bounds[active, leaf] + 0.5 >= limit[active]  # bounds are of integers: half a unit is more than their rounding
+        active, leaf = active[going], leaf[going]
+        if not len(active):
+            break
+        new = []
+        for one in np.unique(leaf):
+            who = active[leaf == one]
+            a, z, _, _ = tree.nodes[leaves[one]]
+            members = tree.order[a:z]
+            s = _exact(q[who], x[members])
+            s[own_rows[who][:, None] == rows[members][None, :]] = -(2**62)
+            least = np.maximum(limit[who], -np.partition(-s, k - 1, 1)[:, k - 1] if s.shape[1] > k else -(2**61))
+            i, j = np.nonzero(s >= np.maximum(least, -(2**61))[:, None])
+            new.append((who[i], s[i, j], ids[members[j]]))
+        at, score, found = (np.concatenate([old, *[e[c] for e in new]]) for c, old in enumerate((at, score, found)))
+        at, score, found, kth = _best(at, score, found, n, k)
+        limit = np.maximum(limit, kth)
+    first = np.searchsorted(at, np.arange(n + 1))
+    return [(found[a:z], score[a:z]) for a, z in zip(first, first[1:])]
 
 
 _FOUND = "query_row long, query_id long, vec_id long, score long"
