@@ -6,6 +6,7 @@ offsets. They run inside mapInArrow or applyInArrow tasks.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,12 +21,14 @@ SLICE_BYTES = 1 << 21
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; that setting is made only where it is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder name below spark.checkpoint.dir; only where that is unset (local runs) below a folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/traceflow/{uuid.uuid4().hex}"
 
 
