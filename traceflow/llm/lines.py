@@ -5,8 +5,10 @@ start. Below a leaf, lines that agree in enough places share a template, whose d
 that recurs in enough documents is boilerplate: its lines are dropped from all documents but the first that has it
 (the smallest doc_id), so a group of copies keeps one.
 
-A leaf with too many distinct lines for one task is parsed deeper (more leading tokens), and a leaf that is still
-too large has each line as its own template; both rules look at counts over all documents.
+Each leaf is compared whole, whatever its size. A leaf with too many distinct lines for one task is dealt to several
+tasks; the templates that these leave are dealt anew while that at least halves them, and then meet in a tournament of
+blocks, a round of which brings each block together with one other. Templates only lose fixed places, so two that once met and were
+not alike never will be: after the tournament no two templates of a leaf are alike enough to share one.
 
 Defined results: null texts stay null and empty ones empty; lines of fewer than min_words tokens are never dropped; a
 document whose lines are all dropped keeps an empty text; rows that repeat a doc_id are one document; null doc_ids count
@@ -23,14 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
 from .shared import written
 
 DIGIT = re.compile(r"\d")
-DEPTH, DEEPER = 3, 8
-#: Longer lines are templates of their own: their digits vary, nothing else.
-LONGEST = 64
-#: Distinct lines that one task compares.
-LEAF_LINES = 1000
+DEPTH = 3
+#: Distinct lines of a leaf that one task compares (in a tournament two blocks of them), and tokens of these.
+LEAF_LINES, LEAF_TOKENS = 1000, 1 << 20
+#: A place that varies, in a template's token hashes.
+VARIABLE = 0
 
 
 def _signed(h: int) -> int:
@@ -41,44 +44,129 @@ def _hash(s: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")))
 
 
-def parse(line: str, min_words: int) -> tuple[int, int, int, int, bytes] | None:
-    """leaf, deeper leaf, masked line (hashes), token count, and 4 bytes a token, of a line; None if it is too short."""
+def _token(t: str) -> bytes:
+    h = xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"))
+    return (h if h != VARIABLE else 1).to_bytes(4, "little")
+
+
+def parse(line: str, min_words: int, blob: bool = True) -> tuple[int, int, int, list[str], bytes] | None:
+    """leaf, masked line (hashes), token count, masked tokens, and 4 bytes a token if asked for, of a line; None if it is too short."""
     tokens = line.split()
     n = len(tokens)
     if n < min_words:
         return None
     if DIGIT.search(line):
         tokens = ["<*>" if DIGIT.search(t) else t for t in tokens]
-    head = f"{n} "
-    blob = b"".join(xxhash.xxh32_digest(t.encode("utf-8", "surrogatepass")) for t in tokens) if n <= LONGEST else b""
-    return _hash(head + " ".join(tokens[:DEPTH])), _hash(head + " ".join(tokens[:DEEPER])), _hash(" ".join(tokens)), n, blob
+    return _hash(f"{n} " + " ".join(tokens[:DEPTH])), _hash(" ".join(tokens)), n, tokens, b"".join(map(_token, tokens)) if blob else b""
 
 
 def cluster(lines: list[tuple[int, bytes]], similarity: float) -> list[int]:
-    """For each (line, token blob), in order, the index of its template's first line; all have one token count."""
-    templates: list[tuple[int, np.ndarray, np.ndarray]] = []  # first line, tokens, which are fixed
-    out = []
-    for i, (_, blob) in enumerate(lines):
-        t = np.frombuffer(blob, np.uint32)
-        best, score = None, similarity
-        for j, (_, tokens, fixed) in enumerate(templates):
-            if len(tokens) == len(t) and len(t):
-                s = ((tokens == t) & fixed).mean()
-                if s >= score and (best is None or s > score):
-                    best, score = j, s
-        if best is None:
-            templates.append((i, t.copy(), np.ones(len(t), bool)))
-            out.append(i)
-        else:
-            first, tokens, fixed = templates[best]
-            fixed &= tokens == t
-            out.append(first)
+    """For each (line, token blob), in order, the index of its template's first line; lines of different token counts share none."""
+    out = [0] * len(lines)
+    for size in {len(b) for _, b in lines}:
+        at = [i for i, (_, b) in enumerate(lines) if len(b) == size]
+        for i, first in zip(at, merge([lines[i] for i in at], similarity)[0]):
+            out[i] = at[first]
     return out
 
 
+def merge(lines: list[tuple[int, bytes]], similarity: float) -> tuple[list[int], list[bytes]]:
+    """cluster of lines of one token count, and for each index the template that the line has in the end.
+
+    Lines may be templates themselves, whose variable places agree with nothing.
+    """
+    n = len(lines[0][1]) // 4 if lines else 0
+    seen = np.frombuffer(b"".join(b for _, b in lines), np.uint32).reshape(len(lines), n)
+    tokens, firsts, out = np.zeros_like(seen), np.zeros(len(lines), np.int64), []
+    k = 0
+    for i, t in enumerate(seen):
+        best = -1
+        if k:
+            agree = ((tokens[:k] == t) & (tokens[:k] != VARIABLE)).sum(axis=1)
+            best = int(agree.argmax())
+            if agree[best] / max(n, 1) < similarity:
+                best = -1
+        if best < 0:
+            tokens[k], firsts[k] = t, i
+            best, k = k, k + 1
+        else:
+            tokens[best][tokens[best] != t] = VARIABLE
+        out.append(int(firsts[best]))
+    final = dict(zip(firsts[:k].tolist(), tokens[:k]))
+    return out, [final[i].tobytes() if i in final else lines[i][1] for i in range(len(lines))]
+
+
+STATE = "leaf long, n int, line long, template long, blob binary, docs long"
+
+
+def _clustered(entries: DataFrame, similarity: float) -> DataFrame:
+    """entries(leaf, n, line, blob, docs, part), those of a leaf and part compared with each other; what isn't its own template has no blob."""
+
+    def tree(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("docs", "descending"), ("line", "ascending")])
+        line, docs = (table.column(c).to_numpy() for c in ("line", "docs"))
+        first, blobs = merge(list(zip(line.tolist(), table.column("blob").to_pylist())), similarity)
+        first = np.array(first)
+        total = np.bincount(first, docs, minlength=len(first)).astype(np.int64)
+        own = first == np.arange(len(first))
+        return pa.table({"leaf": table.column("leaf"), "n": table.column("n"), "line": line, "template": line[first], "blob": pa.array([b if o else None for b, o in zip(blobs, own)], pa.binary()), "docs": total})
+
+    return entries.select("leaf", "n", "line", "blob", "docs", "part").groupBy("leaf", "n", "part").applyInArrow(tree, STATE)
+
+
+def _templates(entries: DataFrame, similarity: float) -> DataFrame:
+    """line, template (the hash of one of its lines) of entries(leaf, n, line, blob, docs), each leaf compared whole."""
+    block = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(16), F.floor(F.lit(LEAF_TOKENS) / F.greatest("n", F.lit(1))))).cast("long")
+
+    def sized(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy("leaf", "n").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / block).cast("long"))
+        return df.join(sizes, ["leaf", "n"])
+
+    def round_(df: DataFrame, part) -> DataFrame:
+        return written(_clustered(df.withColumn("part", part), similarity), "templates")
+
+    def survivors(done: DataFrame) -> DataFrame:
+        return done.where("line = template").select("leaf", "n", "line", "blob", "docs")
+
+    def most(df: DataFrame) -> tuple[int, int]:
+        r = df.agg(F.coalesce(F.max("parts"), F.lit(0)).alias("parts"), F.count("*").alias("n")).first()
+        return r.parts, r.n
+
+    dealt, salt = sized(entries), 0
+    whole = round_(dealt, F.pmod(F.xxhash64("line", F.lit(salt)), "parts"))
+    found = [whole.where("line <> template")]
+    large = dealt.where("parts > 1").select("leaf", "n").distinct()
+    dealt = written(sized(survivors(whole).join(large, ["leaf", "n"], "left_semi")), "large_leaves")
+    parts, n = most(dealt)
+    before = 2 * n
+    while parts > 1 and 2 * n <= before:
+        before, salt = n, salt + 1
+        whole = round_(dealt, F.pmod(F.xxhash64("line", F.lit(salt)), "parts"))
+        found.append(whole.where("line <> template"))
+        dealt = written(sized(survivors(whole)), "large_leaves")
+        parts, n = most(dealt)
+    if n:
+        # The circle method: in round r block b meets pmod(2 r - b, m), and the last block meets the one that would meet itself.
+        at = written(dealt.select("leaf", "n", "line", "blob", "docs", "parts", F.pmod(F.xxhash64("line", F.lit(-1)), "parts").alias("b")), "blocks")
+        places, m = at.select("line", "parts", "b"), F.col("parts") + F.col("parts") % 2 - 1
+        for r in range(max(1, parts + parts % 2 - 1)):
+            r = F.lit(r)
+            turned = F.pmod(2 * r - F.col("b"), F.greatest(m, F.lit(1)))
+            partner = F.when(F.col("b") == m, r).when(turned == F.col("b"), m).otherwise(turned)
+            whole = round_(at.where(r < F.greatest(m, F.lit(1))), F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("b", partner)))
+            found.append(whole.where("line <> template"))
+            at = survivors(whole).join(places, "line")
+    if len(found) == 1:
+        return found[0].select("line", "template")
+    edges = found[0].select("line", "template")
+    for f in found[1:]:
+        edges = edges.unionByName(f.select("line", "template"))
+    return components(edges.select(F.col("line").alias("a"), F.col("template").alias("b"))).select(F.col("node").alias("line"), F.col("component").alias("template"))
+
+
 def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, line) of all documents, and the recurring ones (line, template, n_docs, keeper): template is the hash of its
-    first line, n_docs how many documents have its lines (a document counts once for each distinct line), keeper the smallest doc_id."""
+    """Lines (doc_id, line) of all documents, and the recurring ones (line, template, n_docs, keeper): template is the hash of
+    one of its lines, n_docs how many documents have its lines (a document counts once for each distinct line), keeper the smallest doc_id."""
 
     def parse_map(batches):
         for b in batches:
@@ -87,32 +175,20 @@ def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, sim
                 seen = set()
                 for line in (text.as_py() or "").split("\n"):
                     got = parse(line, min_words)
-                    if got and got[2] not in seen:
-                        seen.add(got[2])
-                        rows.append((key, *got))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "leaf", "deeper", "line", "n", "blob"])
-
-    every = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse_map, "doc_id long, leaf long, deeper long, line long, n int, blob binary"), "lines")
-    lines = written(every.groupBy("leaf", "deeper", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob"), F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("keeper")), "distinct_lines")
-    sizes = {k: lines.groupBy(k).agg(F.count("*").alias(f"{k}_lines"), F.sum("docs").alias(f"{k}_docs")).where(F.col(f"{k}_docs") >= least_docs) for k in ("leaf", "deeper")}
-    near = lines.join(sizes["leaf"], "leaf").join(sizes["deeper"], "deeper", "left")
-    key = F.when((F.length("blob") > 0) & (F.col("leaf_lines") <= LEAF_LINES), F.col("leaf")).when((F.length("blob") > 0) & (F.col("deeper_lines") <= LEAF_LINES), F.col("deeper"))
-    near = written(near.select(F.coalesce(key, "line").alias("key"), "line", "blob", "docs", "keeper"), "near")
-    one = near.groupBy("key").agg(F.count("*").alias("n"), F.sum("docs").alias("d")).where(F.col("d") >= least_docs)
-    single = near.join(one.where("n = 1").select("key"), "key").select("line", F.col("line").alias("template"), F.col("docs").alias("n_docs"), "keeper")
-
-    def tree(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("docs", "descending"), ("line", "ascending")])
-        line, docs_, keeper = (table.column(c).to_numpy() for c in ("line", "docs", "keeper"))
-        first = np.array(cluster(list(zip(line.tolist(), table.column("blob").to_pylist())), similarity))
-        n = np.bincount(first, docs_, minlength=len(first)).astype(np.int64)
-        keep = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(keep, first, keeper)
-        return pa.table({"line": line, "template": line[first], "n_docs": n[first], "keeper": keep[first]})
-
-    several = near.join(one.where("n > 1").select("key"), "key").groupBy("key").applyInArrow(tree, "line long, template long, n_docs long, keeper long")
-    return every.select("doc_id", "line"), single.unionByName(several).where(F.col("n_docs") >= least_docs)
+                    if got and got[1] not in seen:
+                        seen.add(got[1])
+                        rows.append((key, *got[:3], got[4]))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "leaf", "line", "n", "blob"])
+
+    every = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse_map, "doc_id long, leaf long, line long, n int, blob binary"), "lines")
+    lines = written(every.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob"), F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("keeper")), "distinct_lines")
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= least_docs)
+    near = written(lines.join(sizes, "leaf"), "near")
+    named = _templates(near.where("lines > 1").select("leaf", "n", "line", "blob", "docs"), similarity)
+    named = near.select("line", "docs", "keeper").join(named, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "docs", "keeper")
+    totals = named.groupBy("template").agg(F.sum("docs").alias("n_docs"), F.min("keeper").alias("keeper")).where(F.col("n_docs") >= least_docs)
+    return every.select("doc_id", "line"), named.select("line", "template").join(totals, "template").select("line", "template", "n_docs", "keeper")
 
 
 def drop_recurring_lines(docs: DataFrame, least_docs: int = 5, min_words: int = 2, similarity: float = 0.6, report: bool = False) -> DataFrame:
@@ -135,7 +211,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 5, min_words: int =
                 kept = lines
                 if drop:
                     bad = set(drop)
-                    kept = [x for x in lines if (got := parse(x, min_words)) is None or got[2] not in bad]
+                    kept = [x for x in lines if (got := parse(x, min_words, False)) is None or got[1] not in bad]
                     text = "\n".join(kept)
                 texts.append(text)
                 sizes.append((len(lines), len(lines) - len(kept)))
