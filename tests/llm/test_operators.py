@@ -178,6 +178,28 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_takes_all_neighbours():
+    """A window takes every document that shares a term with its seed, in score order, and not only some, before others."""
+    n = 160
+    rows, terms = np.tile(np.arange(n), 2), np.append(np.arange(n) % 2, 2 + np.arange(n))
+    index = packing.BM25(rows, terms.astype(np.uint64), n)
+    assert packing.retrieval_order(index, np.full(n, 10), 10_000) == [*range(0, n, 2), *range(1, n, 2)]
+    score = np.array([0.5, 2, 0, 1, 2, 0.25] * 20)
+    assert list(packing.ranked(score)) == sorted(np.flatnonzero(score).tolist(), key=lambda i: (-score[i], i))
+
+
+def test_packing_scores_by_all_terms():
+    """Document 0 shares one rare term each with 20 documents, and 40 less rare ones with the last."""
+    pairs = [(d, t) for t in range(20) for d in (0, 1 + t)] + [(d, 100 + t) for t in range(40) for d in (0, 50, 51 + t % 3)]
+    rows, terms = (np.array(x) for x in zip(*pairs))
+    index = packing.BM25(rows, terms.astype(np.uint64), 60)
+    want = np.zeros(60)
+    for t in index.terms_of[index.row_first[0] : index.row_first[1]]:
+        want[index.rows[index.first[t] : index.first[t + 1]]] += index.weight[index.first[t] : index.first[t + 1]]
+    assert np.allclose(index.scores(0), want)
+    assert packing.retrieval_order(index, np.full(60, 10), 10_000)[1] == 50
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     tokenfile.write_tokens(docs, f"{tmp_path}/a")
     enc = tokenfile.WhiteSpaceFree("word_bpe_49k.json")
