@@ -280,6 +280,17 @@ def test_large_leaves(spark, monkeypatch, size):
     assert got == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
 
 
+def test_lines_count_documents(spark):
+    """A template's n_docs counts documents: not its lines in one, and not rows that repeat a doc_id."""
+    log = lambda i, k: "\n".join(f"now logged in user {'abcdefghijklmnopqrstuvwxyz'[4 * i + j]}x again" for j in range(k))
+    rows = [(0, log(0, 4)), (1, log(1, 4)), (2, "stock is up again"), (2, "stock is up again"), *[(2, "stock is up again")] * 3, (3, "stock is up again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(lines.drop_recurring_lines(df).select("doc_id", "text").collect()) == sorted(rows)
+    five = spark.createDataFrame([(i, log(i, 2)) for i in range(5)], "doc_id long, text string")
+    assert {r.n_docs for r in lines.find_templates(five)[1].collect()} == {5}
+    assert dict(lines.drop_recurring_lines(five).select("doc_id", "text").collect()) == {i: log(0, 2) if i == 0 else "" for i in range(5)}
+
+
 def test_segments():
     rng = random.Random(8)
     for _ in range(200):

@@ -132,7 +132,7 @@ def _templates(entries: DataFrame, similarity: float) -> DataFrame:
         r = df.agg(F.coalesce(F.max("parts"), F.lit(0)).alias("parts"), F.count("*").alias("n")).first()
         return r.parts, r.n
 
-    dealt, salt = sized(entries), 0
+    dealt, salt = sized(entries).where("size > 1"), 0
     whole = round_(dealt, F.pmod(F.xxhash64("line", F.lit(salt)), "parts"))
     found = [whole.where("line <> template")]
     large = dealt.where("parts > 1").select("leaf", "n").distinct()
@@ -166,7 +166,7 @@ def _templates(entries: DataFrame, similarity: float) -> DataFrame:
 
 def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line) of all documents, and the recurring ones (line, template, n_docs, keeper): template is the hash of
-    one of its lines, n_docs how many documents have its lines (a document counts once for each distinct line), keeper the smallest doc_id."""
+    one of its lines, n_docs how many documents have any of its lines, keeper the smallest doc_id."""
 
     def parse_map(batches):
         for b in batches:
@@ -182,13 +182,14 @@ def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, sim
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "leaf", "line", "n", "blob"])
 
     every = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse_map, "doc_id long, leaf long, line long, n int, blob binary"), "lines")
-    lines = written(every.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob"), F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("keeper")), "distinct_lines")
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= least_docs)
-    near = written(lines.join(sizes, "leaf"), "near")
-    named = _templates(near.where("lines > 1").select("leaf", "n", "line", "blob", "docs"), similarity)
-    named = near.select("line", "docs", "keeper").join(named, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "docs", "keeper")
-    totals = named.groupBy("template").agg(F.sum("docs").alias("n_docs"), F.min("keeper").alias("keeper")).where(F.col("n_docs") >= least_docs)
-    return every.select("doc_id", "line"), named.select("line", "template").join(totals, "template").select("line", "template", "n_docs", "keeper")
+    first = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc")
+    sizes = every.groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") >= least_docs).select("leaf")  # at least as many rows as documents
+    near = written(every.join(sizes, "leaf", "left_semi").groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob")), "near")
+    named = near.select("line").join(_templates(near, similarity), "line", "left").select("line", F.coalesce("template", "line").alias("template"))
+    named = written(named, "line_templates")
+    seen = every.select("line", first).join(named, "line").groupBy("template", "doc").agg(F.lit(1).alias("one"))
+    totals = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
+    return every.select("doc_id", "line"), named.join(totals, "template").select("line", "template", "n_docs", "keeper")
 
 
 def drop_recurring_lines(docs: DataFrame, least_docs: int = 5, min_words: int = 2, similarity: float = 0.6, report: bool = False) -> DataFrame:
