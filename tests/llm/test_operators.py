@@ -161,6 +161,15 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_null_id(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(None, f"so {item} end"), (0, "nothing of it here"), (1, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert got == {None: (13, 11, 1, True), 0: (4, 0, 0, False), 1: (11, 11, 1, True)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()] == [0]
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, window=64, with_ids=True).collect()
     enc = packing.ByteLevel("byte_bpe_50k.json")

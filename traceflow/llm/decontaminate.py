@@ -9,7 +9,7 @@ cover all its words, verify it exactly.
 Defined results: null and empty texts have no words, are hit nowhere and never contaminated;
 null and wordless items have no window; repeated items and rows are reported each; repeated
 doc_ids share the hits of all their rows of the same number of words (give unique ids to keep
-them apart); with an empty benchmark nothing is hit; further columns are ignored here and
+them apart), and null doc_ids are one id; with an empty benchmark nothing is hit; further columns are ignored here and
 kept by `drop_contaminated`.
 """
 
@@ -74,6 +74,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     if window > 2 * shingle:
         raise ValueError("window must be at most twice the shingle")
+    # A key that is never null, so that rows of a null doc_id are joined too.
+    docs = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id")).alias("doc_id"), "text")
     shingles = written(_window_shingles(benchmark, window, shingle), "shingles")
     size = shingles.agg(F.count("*").alias("n"), F.collect_set("k").alias("ks")).first()
     blocks = max(1, -(-size.n // block))
@@ -104,7 +106,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     items = ok.select("doc_id", "n_words", "wid").distinct().join(names, "wid").select("doc_id", "n_words", "item_id").distinct().groupBy("doc_id", "n_words").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
     every = found.where("pos = -1").select("doc_id", "n_words")
     out = every.join(hit, ["doc_id", "n_words"], "left").join(items, ["doc_id", "n_words"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select(F.when(~F.col("doc_id.none"), F.col("doc_id.id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -116,8 +118,8 @@ def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0, **options) -> DataFrame:
     """docs without those of which more than least_share of the words are hit."""
-    bad = find_contamination(docs, benchmark, **options).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = find_contamination(docs, benchmark, **options).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
