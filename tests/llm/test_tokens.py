@@ -4,19 +4,29 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from traceflow.llm.tokens import ByteLevel, WhiteSpaceFree
 
-PARTS = ["the", " ", "  ", "\n", "it's", "we'll", "123", "4", ".", ",", "!?", "Éa", "é", "ß", "Σ", "İ", " ", "\t", "\x1c", "²", "Ⅷ", "漢字", "<|endoftext|>", "\U0001f600", "_", "'", "a'sb", "\r\n", " ", "Foo.\nBar"]
+PARTS = ["the", " ", "  ", "\n", "it's", "we'll", "123", "4", ".", ",", "!?", "Éa", "é", "ß", "Σ", "İ", " ", "\t", "\x1c", "²", "Ⅷ", "漢字", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\U0001f600", "_", "'", "a'sb", "\r\n", " ", "Foo.\nBar"]
 
 
 @pytest.mark.parametrize("kind,name", [(ByteLevel, "byte_bpe_50k.json"), (WhiteSpaceFree, "word_bpe_49k.json")])
 def test_ids(kind, name):
     enc, t = kind(name), Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     rng = random.Random(5)
     texts = ["", " ", "a", "a ", " a"] + ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
     for x in texts:
         assert np.frombuffer(enc.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+@pytest.mark.parametrize("kind,name", [(ByteLevel, "byte_bpe_50k.json"), (WhiteSpaceFree, "word_bpe_49k.json")])
+def test_long_runs(kind, name):
+    """White space and words of a million characters, alone and between words; columns with nulls."""
+    enc, t = kind(name), Tokenizer.from_file(P.path(name))
+    texts = ["a" + c * 1_000_000 + " b" for c in (" ", "\t", "\n", "\u3000", "\u00a0 ")] + ["x" * 300_000, "<|endoftext|> hi", "  <|endoftext|>  hi ", None, ""]
+    ids, n = enc.encode_column(pa.array(texts), 7)
+    for x, a, z in zip(texts, np.cumsum(n) - n, np.cumsum(n)):
+        assert ids[a:z].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 7]

@@ -1,6 +1,6 @@
 """Line dedup over a log-template tree.
 
-Lines are parsed at a fixed depth: by token count, then by leading tokens; tokens with a digit are variable from the
+Lines are parsed at a fixed depth: by token count, then by leading tokens (three, or an eighth of a long line); tokens with a digit are variable from the
 start. Below a leaf, lines that agree in enough places share a template, whose differing places become variable. A template
 that recurs in enough documents is boilerplate: its lines are dropped from all documents but the first that has it
 (the smallest doc_id), so a group of copies keeps one.
@@ -29,11 +29,10 @@ from .graph import components
 from .shared import written
 
 DIGIT = re.compile(r"\d")
+#: Leading tokens of a leaf: this many, or an eighth of the line's tokens if that is more.
 DEPTH = 3
 #: Distinct lines of a leaf that one task compares (in a tournament two blocks of them), and tokens of these.
 LEAF_LINES, LEAF_TOKENS = 1000, 1 << 20
-#: Longer lines are templates of their own: their digits vary, nothing else.
-LONGEST = 64
 #: A place that varies, in a template's token hashes.
 VARIABLE = 0
 
@@ -59,7 +58,7 @@ def parse(line: str, min_words: int, blob: bool = True) -> tuple[int, int, int,
         return None
     if DIGIT.search(line):
         tokens = ["<*>" if DIGIT.search(t) else t for t in tokens]
-    return _hash(f"{n} " + " ".join(tokens[:DEPTH])), _hash(" ".join(tokens)), n, tokens, b"".join(map(_token, tokens)) if blob and n <= LONGEST else b""
+    return _hash(f"{n} " + " ".join(tokens[: max(DEPTH, n // 8)])), _hash(" ".join(tokens)), n, tokens, b"".join(map(_token, tokens)) if blob else b""
 
 
 def cluster(lines: list[tuple[int, bytes]], similarity: float) -> list[int]:
@@ -187,7 +186,7 @@ def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, sim
     first = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc")
     sizes = every.groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") >= least_docs).select("leaf")  # at least as many rows as documents
     near = written(every.join(sizes, "leaf", "left_semi").groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob")), "near")
-    named = near.select("line").join(_templates(near.where("length(blob) > 0"), similarity), "line", "left").select("line", F.coalesce("template", "line").alias("template"))
+    named = near.select("line").join(_templates(near, similarity), "line", "left").select("line", F.coalesce("template", "line").alias("template"))
     named = written(named, "line_templates")
     seen = every.select("line", first).join(named, "line").groupBy("template", "doc").agg(F.lit(1).alias("one"))
     totals = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)

@@ -5,8 +5,8 @@ and an index: a minimal perfect hash from key to slot, where a slot holds the ke
 length. A key is found with one hash evaluation, whatever the number of documents. Shards are written
 in ascending doc_id order by Spark's own writer, so a lost task is simply run again.
 
-Defined results: null and empty texts have the end id alone; null doc_ids come first; repeated doc_ids keep
-their rows apart by their order within a shard; an empty table gives a file set without shards; further
+Defined results: null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id are in the order
+of their texts, and `fetch_tokens` gives them all; an empty table gives a file set without shards; further
 columns are ignored.
 """
 
@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from .shared import mix, shared_folder, text_bytes
 from .tokens import ByteLevel, WhiteSpaceFree, encoder, vocabulary
 
+#: The key of a null doc_id.
+NO_ID = -(1 << 63)
+#: Parts whose ids are summed together.
+PART_GROUP = 2048
 #: A shard ends with the document that reaches either.
 SHARD_DOCS, SHARD_IDS = 4096, 1 << 20
 SHARD_SCHEMA = "part int, seq int, lo long, hi long, n_keys int, n_ids long, width int, keys binary, index binary, payload binary"
@@ -100,40 +104,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     """
     tokenizer = vocabulary(tokenizer)
     dtype = "<u4" if wide else "<u2"
-    end = np.array([end_id], "<u4").tobytes()
+    names = ["part", "seq", "lo", "hi", "n_keys", "n_ids", "width", "keys", "index", "payload"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def shard(part: int, seq: int, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        if not wide and len(ids) and ids.max() > 0xFFFF:
+            raise ValueError("ids of this vocabulary need wide=True")
+        row = [part, seq, int(keys[0]), int(keys[-1]), len(keys), len(ids), 4 if wide else 2, keys.tobytes(), build_index(keys, np.cumsum(lengths) - lengths, lengths), ids.astype(dtype).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
     def encode(batches):
         enc, part, seq = encoder(kind, tokenizer), TaskContext.get().partitionId(), 0
-        keys: list[int] = []
-        blobs: list[bytes] = []
-        size = 0
-
-        def shard():
-            nonlocal keys, blobs, size, seq
-            lengths = np.array([len(b) // 4 for b in blobs], np.int64)
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            if not wide and len(ids) and ids.max() > 0xFFFF:
-                raise ValueError("ids of this vocabulary need wide=True")
-            k = np.array(keys, "<i8")
-            row = [part, seq, min(keys), max(keys), len(keys), len(ids), 4 if wide else 2, k.tobytes(), build_index(k, np.cumsum(lengths) - lengths, lengths), ids.astype(dtype).tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            keys, blobs, size, seq = [], [], 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["part", "seq", "lo", "hi", "n_keys", "n_ids", "width", "keys", "index", "payload"])
-
+        keys, lengths, ids = np.zeros(0, "<i8"), np.zeros(0, np.int64), np.zeros(0, "<u4")
         for b in batches:
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                got = enc.encode(text.as_py() or "") + end
-                keys.append(-(1 << 63) if key is None else key)
-                blobs.append(got)
-                size += len(got) // 4
-                if len(keys) >= SHARD_DOCS or size >= SHARD_IDS:
-                    yield shard()
-        if keys:
-            yield shard()
+            for at in range(0, b.num_rows, 4096):
+                own = b.slice(at, 4096)
+                more, n = enc.encode_column(own.column("text"), end_id)
+                keys = np.append(keys, own.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                lengths, ids = np.append(lengths, n), np.append(ids, more)
+                while len(keys):
+                    size = np.cumsum(lengths)
+                    docs_ = min(SHARD_DOCS, int(np.searchsorted(size, SHARD_IDS)) + 1)
+                    if docs_ > len(keys):
+                        break
+                    yield shard(part, seq, keys[:docs_], lengths[:docs_], ids[: size[docs_ - 1]])
+                    keys, lengths, ids, seq = keys[docs_:], lengths[docs_:], ids[size[docs_ - 1] :], seq + 1
+        if len(keys):
+            yield shard(part, seq, keys, lengths, ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(8, -(-text_bytes(rows) // part_bytes))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
+    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
 
 def _found(keys: np.ndarray, row: dict, kept: np.ndarray | None = None):
@@ -149,15 +150,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     A document's ids are found through the shard's index, as look-ups of single keys find them.
     """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # ids before each part: one number a part comes to the driver; within a part a window sums its shards
-    parts = sorted((r.part, r.n) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    base, at = [], 0
-    for part, n in parts:
-        base.append((part, at))
-        at += n
-    bases = spark.createDataFrame(base, "part int, base long")
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", "n_ids").withColumn("own", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(bases, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("first"))
+    # Ids before each shard, on three levels: groups of parts, parts, shards. No window sees more than all groups, a group's parts or a part's shards.
+    def before(sums: DataFrame, by: str, *within: str) -> DataFrame:
+        return sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    sums = shards.select("part", "seq", F.col("n_ids").alias("n"), (F.col("part") / PART_GROUP).cast("int").alias("group"))
+    parts = sums.groupBy("group", "part").agg(F.sum("n").alias("n"))
+    groups = before(parts.groupBy("group").agg(F.sum("n").alias("n")), "group")
+    bases = before(parts, "part", "group").join(groups.select("group", F.col("before").alias("base")), "group").select("part", (F.col("before") + F.col("base")).alias("base"))
+    starts = before(sums, "seq", "part").join(bases, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("first"))
 
     def decode(batches):
         for b in batches:
@@ -166,7 +167,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 _, offset, length = _found(keys, row)
                 ids = np.frombuffer(row["payload"], "<u4" if row["width"] == 4 else "<u2")
                 crc = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist())]
-                key = pa.array(keys, pa.int64(), mask=keys == -(1 << 63))
+                key = pa.array(keys, pa.int64(), mask=keys == NO_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["part"], np.int32)), pa.array(np.full(len(keys), row["seq"], np.int32)), key, pa.array(offset), pa.array(length), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
     found = shards.mapInArrow(decode, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
@@ -180,11 +181,12 @@ def fetch_tokens(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     def pick(batches):
         for b in batches:
             for row in b.to_pylist():
+                stored = np.sort(np.frombuffer(row["keys"], "<i8"))
                 own = wanted[(wanted >= row["lo"]) & (wanted <= row["hi"])]
+                own = np.repeat(own, np.searchsorted(stored, own, "right") - np.searchsorted(stored, own, "left"))
                 ok, offset, length = _found(own, row, own)
                 ids = np.frombuffer(row["payload"], "<u4" if row["width"] == 4 else "<u2")
-                stored = np.frombuffer(row["keys"], "<i8")
-                hits = [(int(k), ids[o : o + n].astype("<i8").tolist()) for k, o, n, y in zip(own, offset, length, ok) if y and k in stored]
+                hits = [(int(k), ids[o : o + n].astype("<i8").tolist()) for k, o, n, y in zip(own, offset, length, ok) if y]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     near = F.lit(False)
