@@ -170,6 +170,15 @@ def test_decontaminate_null_id(spark):
     assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()] == [0]
 
 
+def test_decontaminate_repeated_ids(spark):
+    """Rows of one doc_id and one number of words keep their own hits, also where a row is repeated."""
+    item = "one two three four five six seven eight nine ten"
+    other = "ten nine eight seven six five four three two one"
+    df = spark.createDataFrame([(3, item), (3, other), (3, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    assert sorted(r.n_hit for r in decontaminate.find_contamination(df, bench).collect()) == [0, 10, 10]
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, window=64, with_ids=True).collect()
     enc = packing.ByteLevel("byte_bpe_50k.json")

@@ -1,16 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 A window is `window` consecutive words of an item (a shorter item is one window). Windows are
-sets of word shingles; shingles are ordered by how rare they are in the documents, and a
-document must hold a window's rarest shingle (its necessary prefix) to be a candidate. The
-length and position bounds then place the window in the document, and its end shingles, which
-cover all its words, verify it exactly.
+sets of word shingles; shingles are ordered by rarity, which is told beforehand from the counts of benchmark words over all
+documents (a shingle is as rare as its rarest word). Only a window's rarest shingle, its necessary prefix, meets the documents;
+the position and length bounds then place the window in the document, and the document's words there are compared with
+the window's, all in the stage that scans the documents.
 
 Defined results: null and empty texts have no words, are hit nowhere and never contaminated;
-null and wordless items have no window; repeated items and rows are reported each; repeated
-doc_ids share the hits of all their rows of the same number of words (give unique ids to keep
-them apart), and null doc_ids are one id; with an empty benchmark nothing is hit; further columns are ignored here and
-kept by `drop_contaminated`.
+null and wordless items have no window; repeated items are one; repeated rows are reported each, and rows of one doc_id with
+different texts are told apart by a hash of the text; null doc_ids are joined like any other;
+with an empty benchmark nothing is hit; further columns are ignored here and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -29,84 +28,74 @@ def words(text: str):
     return F.coalesce(F.array_remove(F.split(F.translate(F.col(text), UPPER, LOWER), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _window_shingles(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """One row per shingle of each distinct window: win (its text), len, k, off, h, txt."""
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Each distinct window once: win (its words, joined), len, w."""
     items = benchmark.select(words("text").alias("w")).where("size(w) > 0").withColumn("len", F.least(F.size("w"), F.lit(window)))
     starts = items.select("w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("s"))
-    wins = starts.select(F.slice("w", F.col("s"), F.col("len")).alias("w"), "len").distinct().withColumn("k", F.least(F.col("len"), F.lit(shingle)))
-    cut = wins.select("w", "len", "k", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
-    return cut.select(F.concat_ws(" ", "w").alias("win"), "len", "k", "off", F.concat_ws(" ", F.slice("w", F.col("off") + 1, F.col("k"))).alias("txt")).withColumn("h", F.xxhash64("txt", "k"))
+    return starts.select(F.slice("w", F.col("s"), F.col("len")).alias("w"), "len").distinct().select(F.concat_ws(" ", "w").alias("win"), "len", "w")
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """Where the documents hold a benchmark shingle: doc_id, n_words, pos, k, h; and a row with pos = -1 for each document.
+def _prefixes(docs: DataFrame, windows: DataFrame, shingle: int, block: int) -> DataFrame:
+    """win, len, k, off, prefix: for each window the place and the words of its rarest shingle; windows with a word that no document has are left out."""
+    wanted = written(windows.select(F.explode("w").alias("word")).distinct(), "vocabulary")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    every = docs.select(F.explode("w").alias("word"))
+    few = size.n <= block and size.bytes <= 20 * block  # then words of no item are left out before they are counted
+    counts = (every.join(F.broadcast(wanted), "word", "left_semi") if few else every).groupBy("word").agg(F.count("*").alias("n"))
+    rarity = counts if few else counts.join(wanted, "word", "left_semi")
+    each = windows.select("win", "len", F.posexplode("w").alias("at", "word")).join(rarity, "word")
+    ranked = each.groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct("at", "n", "word"))).alias("e")).where("size(e) = len").withColumn("k", F.least("len", F.lit(shingle)))
+    cut = ranked.select("win", "len", "k", "e", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off")).withColumn("sh", F.slice("e", F.col("off") + 1, F.col("k")))
+    cut = cut.select("win", "len", "k", F.struct(F.array_min("sh.n").alias("n"), F.aggregate("sh.n", F.lit(0.0), lambda t, n: t + F.log(n.cast("double"))).alias("all"), "off", F.col("sh.word").alias("w")).alias("p"))
+    return cut.groupBy("win", "len", "k").agg(F.min("p").alias("p")).select("win", "len", "k", "p.off", F.col("p.w").alias("prefix"))
 
-    Generate, the shingle's hash and the broadcast join form one generated stage; the words travel as a reference, and texts are compared where hashes agree.
+
+def _found(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """key, n_words, start, len, wid of each occurrence of a window: candidates by prefix, bounds, then the window's words.
+
+    Generate, the shingle's hash and the broadcast join form one generated stage; the words travel as a reference.
     """
-    at = lambda i: F.get("w", F.col("pos") + i)
-    text = F.lit(None).cast("string")
-    for k in sizes:
-        text = F.when(F.col("dk") == k, F.concat_ws(" ", *[at(i) for i in range(k)])).otherwise(text)
-    code = F.lit(None).cast("long")
-    for k in sizes:
-        code = F.when(F.col("dk") == k, F.xxhash64(*[at(i) for i in range(k)])).otherwise(code)
-    keys = F.lit(None).cast("long")
-    for k in sizes:
-        keys = F.when(F.col("k") == k, F.xxhash64(*[F.get(F.split("txt", " "), F.lit(i)) for i in range(k)])).otherwise(keys)
-    wanted = F.broadcast(shingles.select("h", "k", "txt").distinct().withColumn("code", keys))
-    each = docs.select("doc_id", words("text").alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    each = each.select("doc_id", "n_words", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("pos"))
-    if len(sizes) > 1:
-        each = each.select("doc_id", "n_words", "w", "pos", F.explode(F.array(*map(F.lit, sizes))).alias("dk")).where((F.col("pos") >= 0) | (F.col("dk") == sizes[0]))
-    else:
-        each = each.withColumn("dk", F.lit(sizes[0]))
-    each = each.withColumn("dcode", F.when((F.col("pos") >= 0) & (F.col("pos") + F.col("dk") <= F.col("n_words")), code))
-    hit = each.join(wanted, (F.col("dcode") == F.col("code")) & (F.col("dk") == F.col("k")) & (F.col("txt") == text), "left")
-    return hit.where("pos = -1 or h is not null").select("doc_id", "n_words", "pos", "h")
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block: int = 2_000_000) -> DataFrame:
+
+    def code(size, word):
+        """The hash of a shingle's words, for each possible size."""
+        out = F.lit(None).cast("long")
+        for k in sizes:
+            out = F.when(size == k, F.xxhash64(*[word(i) for i in range(k)])).otherwise(out)
+        return out
+
+    wanted = prefixes.select("win", "len", "k", "off", code(F.col("k"), lambda i: F.get("prefix", F.lit(i))).alias("code"))
+    each = docs.select("key", "n_words", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos")).where("n_words > 0")
+    each = each.select("key", "n_words", "w", "pos", F.explode(F.array(*map(F.lit, sizes))).alias("dk")) if len(sizes) > 1 else each.withColumn("dk", F.lit(sizes[0]))
+    each = each.withColumn("dcode", F.when(F.col("pos") + F.col("dk") <= F.col("n_words"), code(F.col("dk"), lambda i: F.get("w", F.col("pos") + i))))
+    start = F.col("pos") - F.col("off")
+    hit = each.join(F.broadcast(wanted), (F.col("dcode") == F.col("code")) & (F.col("dk") == F.col("k")) & (start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    return hit.withColumn("start", start).where(F.concat_ws(" ", F.slice("w", F.col("start") + 1, F.col("len"))) == F.col("win")).select("key", "n_words", "start", "len", F.xxhash64("win", "len").alias("wid"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated.
 
-    docs(doc_id, text), benchmark(item_id, text). window <= 2 * shingle, so that two shingles cover a window.
-    block: distinct benchmark shingles that are broadcast at once (about 100 bytes each); a larger benchmark
-    is joined in several such blocks, so a broadcast never exceeds it.
+    docs(doc_id, text), benchmark(item_id, text). shingle: words of a prefix. block: windows whose prefixes are broadcast at
+    once, of at most block * 200 bytes together; a larger benchmark is joined in several such blocks, so a broadcast never exceeds that.
     """
-    if window > 2 * shingle:
-        raise ValueError("window must be at most twice the shingle")
-    # A key that is never null, so that rows of a null doc_id are joined too.
-    docs = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id")).alias("doc_id"), "text")
-    shingles = written(_window_shingles(benchmark, window, shingle), "shingles")
-    size = shingles.agg(F.count("*").alias("n"), F.collect_set("k").alias("ks")).first()
-    blocks = max(1, -(-size.n // block))
-    sizes = sorted(size.ks) or [shingle]
-    found = None
-    for i in range(blocks):
-        part = shingles if blocks == 1 else shingles.where(F.pmod("h", F.lit(blocks)) == i)
-        got = _matches(docs, part, sizes)
-        found = got if found is None else found.unionByName(got.where("pos >= 0"))
-    found = written(found, "matches")
-    spots = found.where("pos >= 0")
-
-    # The necessary prefix of a window: its rarest shingle over all documents. A shingle that no document holds rules its window out.
-    rarity = spots.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = shingles.join(rarity, "h", "left")
-    prefix = ranked.groupBy("win", "len", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "h")).alias("p"), F.min_by("h", "off").alias("h_first"), F.max_by("h", "off").alias("h_last")).where("p.df > 0")
-    prefix = prefix.select(F.xxhash64("win", "len").alias("wid"), "len", "k", F.col("p.off").alias("off"), F.col("p.h").alias("h"), "h_first", "h_last")
-
-    # Candidates with their place, within the document's bounds; then both end shingles where they must be.
-    cand = spots.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n_words")
-    ends = cand.select("doc_id", "n_words", "wid", "len", "start", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("h_first").alias("h")), F.struct((F.col("start") + F.col("len") - F.col("k")).alias("pos"), F.col("h_last").alias("h")))).alias("e"))
-    ends = ends.select("doc_id", "n_words", "wid", "len", "start", F.col("e.pos").alias("pos"), F.col("e.h").alias("h"))
-    ok = ends.join(spots.distinct(), ["doc_id", "n_words", "pos", "h"]).groupBy("doc_id", "n_words", "wid", "len", "start").agg(F.countDistinct("pos").alias("n"))
-    ok = written(ok.where(F.col("n") >= F.when(F.col("len") > shingle, 2).otherwise(1)).select("doc_id", "n_words", "wid", "len", "start"), "windows")
-
-    hit = ok.select("doc_id", "n_words", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id", "n_words").agg(F.count("*").alias("n_hit"))
-    names = _item_windows(benchmark, window)
-    items = ok.select("doc_id", "n_words", "wid").distinct().join(names, "wid").select("doc_id", "n_words", "item_id").distinct().groupBy("doc_id", "n_words").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
-    every = found.where("pos = -1").select("doc_id", "n_words")
-    out = every.join(hit, ["doc_id", "n_words"], "left").join(items, ["doc_id", "n_words"], "left")
-    return out.select(F.when(~F.col("doc_id.none"), F.col("doc_id.id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("text"))
+    cut = docs.select(key.alias("key"), words("text").alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    windows = written(_windows(benchmark, window), "item_windows")
+    prefixes = written(_prefixes(cut, windows, shingle, block), "prefixes")
+    size = prefixes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("win")), F.lit(0)).alias("chars"), F.collect_set("k").alias("ks")).first()
+    blocks = max(1, -(-size.n // block), -(-size.chars // (200 * block)))
+    ok = None
+    for i in range(blocks if size.n else 0):
+        got = _found(cut, prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == i), sorted(size.ks))
+        ok = got if ok is None else ok.unionByName(got)
+    if ok is None:
+        ok = cut.limit(0).select("key", "n_words", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid"))
+    ok = written(ok.distinct(), "windows")  # rows that repeat an id and a text have the same occurrences
+
+    hit = ok.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    items = ok.select("key", "wid").distinct().join(_item_windows(benchmark, window), "wid").select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
+    out = cut.select("key", "n_words").join(hit.join(items, "key"), "key", "left")
+    return out.select(F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
