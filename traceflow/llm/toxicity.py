@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Stems of these lengths stand in for words that are too rare to judge.
 STEMS = (7, 6, 5, 4)
 
 
-#: Beyond this statistic a text is as toxic as can be told.
-MOST = 20.0
-
-
 def features(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in STEMS if len(word) > n)]
 
@@ -90,8 +88,39 @@ def _segments(words: list[str], odds: _Odds) -> list[tuple[int, int, float]]:
 
 
 def _statistic(segments: list[tuple[int, int, float]], n: int, model: ToxicityModel) -> float:
-    """Sum over segments of -ln E where the expected number E of chance segments so good is below one."""
-    return min(MOST, sum(max(0.0, model.lam * s - math.log(max(model.k * n, 1e-9))) for _, _, s in segments))
+    """ln(1 + t), where t is the sum of -ln E over segments of which less than one is expected by chance (E < 1)."""
+    return math.log1p(sum(max(0.0, model.lam * s - math.log(max(model.k * n, 1e-9))) for _, _, s in segments))
+
+
+def extreme_value_law(scores: np.ndarray, p: np.ndarray, step: float = 0.05, terms: int = 60) -> tuple[float, float]:
+    """lambda and K of Karlin and Altschul for segments of independent scores with probabilities p; the mean must be negative.
+
+    lambda solves E[exp(lambda X)] = 1. K follows from the first `terms` sums S_k of scores (rounded to a lattice of that step):
+    K = exp(-2 sum_k (P(S_k >= 0) + E[exp(lambda S_k); S_k < 0]) / k) / ((1 - exp(-lambda step)) E[X exp(lambda X)] / step).
+    """
+    at = np.rint(scores / step).astype(np.int64)
+    low, high = int(at.min()), int(at.max())
+    one = np.bincount(at - low, p, high - low + 1) / p.sum()
+    x = np.arange(low, high + 1)
+    if high <= 0 or (one * x).sum() >= 0:
+        return 1.0, 1.0
+    a, z = 1e-6, 1.0
+    while (one * np.exp(z * x)).sum() < 1:
+        z *= 2
+    for _ in range(80):
+        mid = (a + z) / 2
+        a, z = (a, mid) if (one * np.exp(mid * x)).sum() > 1 else (mid, z)
+    lam = (a + z) / 2
+    total, sums = 0.0, one
+    for k in range(1, terms + 1):
+        s = np.arange(k * low, k * low + len(sums))
+        total += (sums[s >= 0].sum() + (sums[s < 0] * np.exp(lam * s[s < 0])).sum()) / k
+        if k < terms:
+            n = len(sums) + len(one) - 1
+            size = 1 << (n - 1).bit_length()
+            sums = np.maximum(np.fft.irfft(np.fft.rfft(sums, size) * np.fft.rfft(one, size), size)[:n], 0)
+    k_ = math.exp(-2 * total) / (-math.expm1(-lam) * (one * x * np.exp(lam * x)).sum())
+    return lam / step, min(1.0, k_)
 
 
 def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,48 +151,37 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return cut.withColumn("sketch", F.when(F.size(w) >= 5, F.array_min(runs)).otherwise(F.xxhash64("text"))).drop("__words")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_odds: float = 2.0, least_share: float = 0.005, background: float = -0.1) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.1, least_z: float = 3.0, least_share: float = 0.005, drift: float = -0.1) -> ToxicityModel:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
     max_rows bounds the labelled rows used (taken in the order of a hash of doc_id), so the label side of the
     join is small enough to broadcast whatever the size of docs. prior: weight of the Dirichlet prior, as a
-    share of the tokens seen. least_z: features below that z-score, and least_odds: features below those log-odds, count as
-    background, as do features of less than least_share of the toxic texts. Of copies and near copies (texts with one smallest
+    share of the tokens seen. least_z: features below that z-score score nothing, as do toxic-leaning
+    features of less than least_share of the toxic texts. drift is added to every score, so that segments end. Of copies and near copies (texts with one smallest
     5-word shingle) one counts, and each feature once a text, so copies don't make a word toxic.
     """
     spark = docs.sparkSession
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     train = _sketched(train).groupBy("sketch").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    train = written(train, "training")  # at most max_rows texts, read by all that follows
     counts = train.mapInArrow(_count_map, "feature string, n_toxic long, n_clean long").groupBy("feature").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).where("t + c >= 3")
     if (all_ := counts.where("feature = ''").first()) is None or not all_.t or not all_.c:
         return ToxicityModel({})
     nt, nc = float(all_.t), float(all_.c)
-    counts = counts.where(F.col("t") >= max(3, math.ceil(least_share * train.where("toxic = 1").count())))
+    least = max(3, math.ceil(least_share * train.where("toxic = 1").count()))
     a0 = prior * (nt + nc)
     a = F.col("t").cast("double").__add__(F.col("c")) * (a0 / (nt + nc))
     odds = F.log((F.col("t") + a) / (nt + a0 - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + a0 - F.col("c") - a))
-    # only features beyond least_z come to the driver: at most (tokens of max_rows texts) / 3, in practice far fewer
-    found = counts.where("feature != ''").withColumn("odds", odds).where(F.abs(F.col("odds")) / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a)) >= least_z).where(F.col("odds") >= least_odds).collect()
-    known = {r.feature: r.odds for r in found}
-    # Extreme-value law of segment scores in clean text: sum of p(s) exp(lam s) = 1, one count added above zero.
-    seen = [(r.odds, r.c) for r in found if not r.feature.endswith("~")]
-    rest = max(1.0, nc - sum(c for _, c in seen))
-    top = max((s for s, _ in seen), default=1.0)
-    law = [(background, rest), (top, 1.0), *seen]
-    mean = sum(s * c for s, c in law) / (nc + 1)
-    lam = 1.0
-    if mean < 0:
-        low, high = 1e-3, 20.0
-        for _ in range(60):
-            lam = (low + high) / 2
-            if sum(c * math.exp(min(700.0, lam * s)) for s, c in law) > nc + 1:
-                high = lam
-            else:
-                low = lam
-    positive = 1 + sum(c for s, c in seen if s > 0)
-    k = positive / nc * math.exp(lam * 1.0)
-    model = ToxicityModel(known, background, lam, min(k, 1.0))
+    z = F.col("odds") / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
+    # only significant features come to the driver, of either leaning: at most (tokens of max_rows texts) / 3, in practice far fewer
+    found = counts.where("feature != ''").withColumn("odds", odds).where((z <= -least_z) | (z >= least_z) & (F.col("t") >= least)).collect()
+    known = {r.feature: r.odds + drift for r in found}
+    # Scores of words of clean texts: those of known words as often as they are seen, the drift for the others; one toxic word is added.
+    seen = [(r.odds + drift, r.c) for r in found if not r.feature.endswith("~")]
+    law = np.array([(drift, max(1.0, nc - sum(c for _, c in seen))), (max((s for s, _ in seen), default=1.0), 1.0), *seen])
+    lam, k = extreme_value_law(law[:, 0], law[:, 1])
+    model = ToxicityModel(known, drift, lam, k)
 
     def stat_map(batches):
         odds = _Odds(model)
@@ -176,7 +194,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pri
 
     points = [(r.x, r.toxic) for r in train.mapInArrow(stat_map, "x double, toxic int").collect()]  # max_rows numbers
     slope, offset = _logistic(points)
-    return ToxicityModel(known, background, lam, min(k, 1.0), slope, offset)
+    return ToxicityModel(known, drift, lam, k, slope, offset)
 
 
 def _logistic(points: list[tuple[float, int]], steps: int = 100) -> tuple[float, float]:
