@@ -356,3 +356,70 @@ def test_language(spark, empty):
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
     assert langid.identify(docs, langid.fit_languages(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(empty, model).count() == 0
+
+
+def test_clashing_names(spark, docs):
+    """Columns named like the operators' own helpers pass through."""
+    names = ("__id", "__drop", "__text", "__bad")
+    own = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    model = toxicity.ToxicityModel({})
+    languages = langid.fit_languages(docs.limit(0))
+    bench = spark.createDataFrame([(1, corpus()[20][1])], "item_id long, text string")
+    for got in (jaccard.one_of_each(own), lines.drop_recurring_lines(own), decontaminate.drop_contaminated(own, bench), toxicity.score_toxicity(own, model), langid.identify(own, languages)):
+        assert {tuple(r) for r in got.select(*names).collect()} == {names}
+
+
+def test_long_lines_share_a_template(spark):
+    """A line of 65 or 200 tokens whose variable place is beyond its leading tokens is boilerplate as a short one is."""
+    for n in (64, 65, 200):
+        text = lambda i: " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" if k != n // 2 else "name" + chr(97 + i) for k in range(n))  # noqa: E731, B023
+        rows = [(i, text(i)) for i in range(20)]
+        got = dict(lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == {i: t if i == 0 else "" for i, t in rows}
+
+
+def test_ftrl_against_a_plain_form():
+    """Each weight by the closed form of FTRL-proximal, one coordinate at a time."""
+    rng = np.random.default_rng(0)
+    rows = [(np.sort(rng.choice(30, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(20)]
+    w, b = langid.ftrl(rows, 3, 2, 0.5, 1.0, 0.01, 0.02)
+    z, n = {}, {}
+
+    def weight(k, i):
+        zi, ni = z.get((k, i), 0.0), n.get((k, i), 0.0)
+        return 0.0 if abs(zi) <= 0.01 else -(zi - np.sign(zi) * 0.01) / ((1.0 + ni**0.5) / 0.5 + 0.02)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for r in order.permutation(20):
+            at, x, y = rows[r]
+            every = [*zip(at.tolist(), x.tolist()), (langid.BUCKETS, 1.0)]
+            old = {(k, i): weight(k, i) for k in range(3) for i, _ in every}
+            logit = [sum(old[k, i] * v for i, v in every) for k in range(3)]
+            p = np.exp(logit) / np.exp(logit).sum()
+            for k in range(3):
+                for i, v in every:
+                    g = (p[k] - (k == y)) * v
+                    before = n.get((k, i), 0.0)
+                    z[k, i] = z.get((k, i), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / 0.5 * old[k, i]
+                    n[k, i] = before + g * g
+    assert np.allclose([[weight(k, i) for i in range(langid.BUCKETS)] for k in range(3)], w) and np.allclose([weight(k, langid.BUCKETS) for k in range(3)], b)
+
+
+def test_extreme_value_law():
+    """For steps of +1 (probability p) and -1: lambda = ln(q / p), K = (q - p)^2 / q."""
+    lam, k = toxicity.extreme_value_law(np.array([1.0, -1.0]), np.array([0.3, 0.7]), step=1.0, terms=400)
+    assert lam == pytest.approx(np.log(0.7 / 0.3), rel=1e-6) and k == pytest.approx(0.4**2 / 0.7, rel=1e-3)
+
+
+def test_segments_are_the_maximal_ones():
+    """Ruzzo and Tompa's definition: the best segment (shortest, then first), then the same to its left and right."""
+    rng = random.Random(18)
+    for _ in range(300):
+        s = [rng.uniform(-2, 1.5) for _ in range(rng.randint(0, 12))]
+
+        def recurse(a, b):
+            best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            return [] if best[0] <= 0 else recurse(a, best[3]) + [best[3:]] + recurse(best[4], b)
+
+        assert [x[:2] for x in toxicity.maximal_segments(s)] == recurse(0, len(s))

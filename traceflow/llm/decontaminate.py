@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,8 +107,9 @@ def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0, **options) -> DataFrame:
     """docs without those of which more than least_share of the words are hit."""
-    bad = find_contamination(docs, benchmark, **options).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    key = unused(docs.columns, "__bad")
+    bad = find_contamination(docs, benchmark, **options).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Words, blobs, buffers, constants, dealt, fan_out, grams, int64s, lower_ascii, mix, slices, text_bytes, written
+from .shared import Words, blobs, buffers, constants, dealt, fan_out, grams, int64s, lower_ascii, mix, slices, text_bytes, unused, written
 
 #: A prefix token of more classes than this is hot.
 HOT = 64
@@ -299,8 +299,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that are linked to a smaller doc_id of their component."""
-    gone = near_duplicates(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    key = unused(docs.columns, "__id")
+    gone = near_duplicates(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import constants
+from .shared import constants, unused
 from .toxicity import held_out
 
 BUCKETS = 1 << 14
@@ -109,9 +109,9 @@ def _sample_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], names=["lang", "at", "n"])
 
 
-def fit_languages(docs: DataFrame, per_lang: int = 800, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_lang: int = 800, max_rows: int = 40_000, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel:
     """Learn from docs(doc_id, text, lang). per_lang bounds the rows of a language that the weights are fitted on
-    (chosen by a hash of doc_id and text); document frequencies cover all rows."""
+    (chosen by a hash of doc_id and text), and max_rows those of all languages together; document frequencies cover all rows."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
@@ -125,6 +125,7 @@ def fit_languages(docs: DataFrame, per_lang: int = 800, epochs: int = 4, alpha:
         else:
             df[r.bucket] = r.df
     idf = np.log((rows + 1) / (df + 1)) + 1
+    per_lang = max(1, min(per_lang, max_rows // len(languages)))
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / sizes[lang]))).otherwise(share)
@@ -148,12 +149,12 @@ def fit_languages(docs: DataFrame, per_lang: int = 800, epochs: int = 4, alpha:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns in keep, or all) with lang_pred and lang_score."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden := unused(keep, "__text")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["lang_pred string", "lang_score double"])
 
     def predict(batches):
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column("__text")]
+            got = [model.predict(t.as_py()) for t in b.column(hidden)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "lang_score"])
 
     return source.mapInArrow(predict, schema)

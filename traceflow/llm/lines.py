@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import unused, written
 
 DIGIT = re.compile(r"\d")
 #: Leading tokens of a leaf: this many, or an eighth of the line's tokens if that is more.
@@ -197,9 +197,9 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 5, min_words: int =
     """docs with recurring lines dropped from text; with report: doc_id, n_lines, n_dropped, kept_sha256 instead."""
     every, recurring = find_templates(docs, least_docs, min_words, similarity)
     recurring = written(recurring.select("line", "keeper"), "recurring")
-    drops = every.join(recurring, "line").where(F.coalesce("doc_id", F.lit(-(1 << 62))) != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias("__drop")).withColumnRenamed("doc_id", "__id")
-    keep = [c for c in docs.columns if c not in ("__drop", "__id")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep]).join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    keep, key, drop = docs.columns, unused(docs.columns, "__id"), unused(docs.columns, "__drop")
+    drops = every.join(recurring, "line").where(F.coalesce("doc_id", F.lit(-(1 << 62))) != F.col("keeper")).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(drop))
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if report else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
 
     def cut(batches):
@@ -207,12 +207,12 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 5, min_words: int =
 
         for b in batches:
             texts, sizes = [], []
-            for text, drop in zip(b.column("text"), b.column("__drop")):
-                text, drop = text.as_py(), drop.as_py()
+            for text, gone in zip(b.column("text"), b.column(drop)):
+                text, gone = text.as_py(), gone.as_py()
                 lines = (text or "").split("\n") if text else []
                 kept = lines
-                if drop:
-                    bad = set(drop)
+                if gone:
+                    bad = set(gone)
                     kept = [x for x in lines if (got := parse(x, min_words, False)) is None or got[1] not in bad]
                     text = "\n".join(kept)
                 texts.append(text)

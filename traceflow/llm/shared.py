@@ -27,8 +27,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; only where that is unset (local runs) below a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder name below spark.checkpoint.dir. Where that is unset, local sessions get a folder of this process, clusters an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/traceflow/{uuid.uuid4().hex}"
 
 
@@ -46,6 +50,14 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes in a text column, to size partitions by."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first().b

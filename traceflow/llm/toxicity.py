@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Stems of these lengths stand in for words that are too rare to judge.
@@ -225,14 +225,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     words [start, end) of each significant passage (E-value below 1) with its score and E-value."""
     outputs = ["toxicity_score"] + ["toxicity_passages"] * passages
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text"] + ["toxicity_score double"] + ["toxicity_passages array<struct<start:int,end:int,score:double,e_value:double>>"] * passages)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden := unused(keep, "__text")))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != hidden] + ["toxicity_score double"] + ["toxicity_passages array<struct<start:int,end:int,score:double,e_value:double>>"] * passages)
 
     def score_map(batches):
         odds = _Odds(model)
         for b in batches:
             scores, found = [], []
-            for t in b.column("__text").to_pylist():
+            for t in b.column(hidden).to_pylist():
                 words = WORD.findall((t or "").lower())
                 segments = _segments(words, odds)
                 x = model.slope * _statistic(segments, len(words), model) + model.offset
