@@ -423,3 +423,10 @@ def test_segments_are_the_maximal_ones():
             return [] if best[0] <= 0 else recurse(a, best[3]) + [best[3:]] + recurse(best[4], b)
 
         assert [x[:2] for x in toxicity.maximal_segments(s)] == recurse(0, len(s))
+
+
+def test_topk_large_numbers(spark):
+    """Components whose products leave the range of a long: scores end there."""
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [-1e17, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 64 * 64), (2, -(2**63) + 1)]
