@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traceflow.llm import decontaminate, jaccard, langid, lines, packing, substring, suffix, tokenfile, topk, toxicity
+from traceflow.llm import decontaminate, jaccard, langid, lines, packing, repeats, substring, suffix, tokenfile, topk, toxicity
 from traceflow.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,7 +45,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substring(docs, empty):
+@pytest.mark.parametrize("hot,most", [(repeats.HOT, substring.MOST_CLASSES), (repeats.HOT, 2), (0, 2), (2, 64)])
+def test_substring(docs, empty, monkeypatch, hot, most):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(substring, "MOST_CLASSES", most)
     got = {r.doc_id: r for r in substring.remove_repeated_words(docs).collect()}
     seen = set()
     for i, t in corpus():
@@ -62,7 +65,9 @@ def test_substring(docs, empty):
     assert substring.remove_repeated_words(empty).count() == 0
 
 
-def test_suffix(docs, empty):
+@pytest.mark.parametrize("hot", [repeats.HOT, 0, 2])
+def test_suffix(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     got = {r.doc_id: r for r in suffix.remove_repeated_bytes(docs).collect()}
     seen = set()
     for i, t in corpus():

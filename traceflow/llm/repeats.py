@@ -7,7 +7,8 @@ anchor each. Three passes share the work:
 1. anchors: which anchors occur more than once in the corpus. A task counts its own repeats first and sends an anchor
    once, so a frequent anchor costs a row a task;
 2. windows: documents meet their repeated anchors, and the runs around them go, by anchor, to tasks that find
-   earlier occurrences; what a task can tell from its own documents stays out of the shuffle;
+   earlier occurrences; what a task can tell from its own documents stays out of the shuffle. Runs of a hot anchor would be too many for
+   one task: they are taken apart into windows, which are dealt by their whole content, so that only equal ones meet;
 3. removal: documents meet their covered spans.
 
 Entries travel as packed arrays, one row for each pair of tasks' groups. doc_id stands for one text; null doc_ids come first.
@@ -26,15 +27,18 @@ from .shared import blobs, constants, dealt, fan_out, mix, text_bytes, written
 
 #: The id that stands for a null doc_id.
 NULL_ID = -(1 << 62)
+#: An anchor of more occurrences than this is hot; at most so many hot anchors, the most frequent first, are told to the tasks (8 MB).
+#: Either way gives the same windows: what isn't told is at most a 2^20th of all.
+HOT, MOST_HOT = 4096, 1 << 20
 _SPAN = "chunk int, d binary, s binary, e binary"
 _SALT = constants(3, 53)
 
 
 class Runs:
-    """Runs of windows with one anchor, of the texts of an Arrow column: row, anchor, first and last (window starts, from the text's beginning)."""
+    """Runs of windows with one anchor, of the texts of an Arrow column: row, anchor, first and last (window starts, from the text's beginning), place (of the anchor)."""
 
-    def __init__(self, row: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray):
-        self.row, self.anchor, self.first, self.last = row, anchor, first, last
+    def __init__(self, row: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray):
+        self.row, self.anchor, self.first, self.last, self.place = row, anchor, first, last, place
 
 
 def runs_of(gram: np.ndarray, row: np.ndarray, begin: np.ndarray, length: int, k: int, argmin: Callable) -> Runs:
@@ -42,7 +46,7 @@ def runs_of(gram: np.ndarray, row: np.ndarray, begin: np.ndarray, length: int, k
     n = len(row)
     if n < length:
         z = np.zeros(0, np.int64)
-        return Runs(z, np.zeros(0, np.uint64), z, z)
+        return Runs(z, np.zeros(0, np.uint64), z, z, z)
     q = argmin(gram, length - k + 1)
     s = np.flatnonzero(row[: n - length + 1] == row[length - 1 :])
     at = q[s]
@@ -51,7 +55,7 @@ def runs_of(gram: np.ndarray, row: np.ndarray, begin: np.ndarray, length: int, k
     z = np.append(a[1:], len(s)) - 1
     r = row[s[a]] if len(s) else np.zeros(0, np.int64)
     base = begin[r]
-    return Runs(r, gram[at[a]], s[a] - base, s[z] - base)
+    return Runs(r, gram[at[a]], s[a] - base, s[z] - base, at[a] - base)
 
 
 def chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
@@ -74,7 +78,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated_anchors(docs: DataFrame, runs: Callable, buckets: int, chunks: int) -> DataFrame:
-    """chunk, m: marks of the repeated anchors of each chunk's documents."""
+    """chunk, m: marks of the repeated anchors of each chunk's documents; and rows of chunk -1 with hot anchors in m and their numbers in n."""
 
     def emit(batches):
         for b in batches:
@@ -85,22 +89,48 @@ def _repeated_anchors(docs: DataFrame, runs: Callable, buckets: int, chunks: int
                 u, first, at, n = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
                 many = n[at] > 1
                 # what repeats here is known to repeat: it goes to its document; one of it is counted elsewhere
-                rows = [[-1 - c, b"", m] for c, m in dealt(chunk_of(d[many], chunks), [mark(a[many], d[many])])]
+                rows = [[-1 - c, b"", m, b""] for c, m in dealt(chunk_of(d[many], chunks), [mark(a[many], d[many])])]
                 if len(u):
-                    rows += dealt((u % np.uint64(buckets)).astype(np.int64), [u, np.where(n > 1, np.int64(NULL_ID - 1), d[first]).view(np.uint64)])
-                yield _rows(rows, ["bucket", "a", "d"])
+                    rows += dealt((u % np.uint64(buckets)).astype(np.int64), [u, np.where(n > 1, np.int64(NULL_ID - 1), d[first]).view(np.uint64), n.astype(np.uint64)])
+                yield _rows(rows, ["bucket", "a", "d", "n"])
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return pa.table({"chunk": pa.array([-1 - bucket], pa.int32()), "m": pa.array([blobs(table, "d").tobytes()], pa.binary())})
+            return pa.table({"chunk": pa.array([-1 - bucket], pa.int32()), "m": pa.array([blobs(table, "d").tobytes()], pa.binary()), "n": pa.array([b""], pa.binary())})
         a, d = blobs(table, "a"), blobs(table, "d").view(np.int64)
-        _, at, n = np.unique(a, return_inverse=True, return_counts=True)
+        u, at, n = np.unique(a, return_inverse=True, return_counts=True)
+        total = np.bincount(at, blobs(table, "n").astype(np.int64), minlength=len(u)).astype(np.int64)
         take = (n[at] > 1) & (d != NULL_ID - 1)
         rows = dealt(chunk_of(d[take], chunks), [mark(a[take], d[take])])
-        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "m": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [[*r, b""] for r in rows] + [[-1, u[total > HOT].tobytes(), total[total > HOT].tobytes()]] * bool((total > HOT).any())
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "m": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary())})
 
-    return docs.mapInArrow(emit, "bucket int, a binary, d binary").groupBy("bucket").applyInArrow(count, "chunk int, m binary")
+    return docs.mapInArrow(emit, "bucket int, a binary, d binary, n binary").groupBy("bucket").applyInArrow(count, "chunk int, m binary, n binary")
+
+
+def _hot_anchors(marks: DataFrame) -> np.ndarray:
+    """The most frequent hot anchors, sorted; at most MOST_HOT."""
+
+    def unpack(batches):
+        for b in batches:
+            for m, n in zip(b.column("m"), b.column("n")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (m, n)], names=["anchor", "n"])
+
+    found = marks.where("chunk = -1").select("m", "n").mapInArrow(unpack, "anchor long, n long").orderBy(F.desc("n"), "anchor").limit(MOST_HOT).toArrow()
+    return np.sort(found.column("anchor").to_numpy().astype(np.int64).view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def interval_rows(ids: np.ndarray, start: np.ndarray, end: np.ndarray, chunks: int) -> list[list]:
+    """Spans (document, from, to) for the chunks of their documents; they may overlap."""
+    return dealt(chunk_of(ids, chunks), [x.astype(np.int64) for x in (ids, start, end)])
 
 
 def spans(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +164,8 @@ def covered(row_ids: np.ndarray, units: np.ndarray, table: pa.Table) -> list[np.
 
 
 def remove_repeats(docs: DataFrame, runs: Callable, look: Callable, resolve: Callable, finish: Callable, schema: str, group_bytes: int = 4 << 20) -> DataFrame:
-    """runs(batch) yields (ids, Runs) by slices. look(table, marks, chunks, buckets) gives the rows (bucket, payload...) of a chunk's
-    flagged runs; rows of bucket -1 - chunk hold spans already. resolve(table, chunks) gives the span rows of a bucket.
+    """runs(batch) yields (ids, Runs) by slices. look(table, marks, hot, chunks, buckets) gives the rows (bucket, payload...) of a chunk's
+    flagged runs, windows of hot anchors with `buckets` added to their bucket; rows of bucket -1 - chunk hold spans already. resolve(table, chunks) gives the span rows of a bucket.
     finish(table of documents, table of spans) gives the result's rows."""
     docs = keyed(docs)
     size = text_bytes(docs)
@@ -148,10 +178,12 @@ def remove_repeats(docs: DataFrame, runs: Callable, look: Callable, resolve: Cal
 
     numbered = docs.mapInArrow(number, "chunk int, doc_id long, text string")
     marks = written(_repeated_anchors(docs, runs, buckets, chunks), "marks")
+    hot = _hot_anchors(marks)
+    marks = marks.where("chunk >= 0")
 
     def window(docs_: pa.Table, marks_: pa.Table) -> pa.Table:
         known = np.unique(blobs(marks_, "m")) if marks_.num_rows else np.zeros(0, np.uint64)
-        rows = [r for r in look(docs_, known, chunks, buckets)] if docs_.num_rows and len(known) else []
+        rows = [r for r in look(docs_, known, hot, chunks, buckets)] if docs_.num_rows and len(known) else []
         cols = list(zip(*rows)) or [(), (), (), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] + [pa.binary()] * 4)], names=["bucket", "a", "b", "c", "x"])
 

@@ -1,15 +1,17 @@
 """Suffix-array dedup over bytes by blockwise construction with a difference cover.
 
-Every 50-byte stretch belongs to one block, chosen by its content (the anchor of repeats.py); equal stretches meet in one
-block, and blocks are sorted one at a time, so memory is bounded by a block. Within a block suffixes are sorted by their
-first 16 bytes; longer ties are resolved by ranks of a difference-cover sample that are computed beforehand: any two suffixes reach
-sample positions within 7 bytes at a common distance, where their ranks decide. Neighbours in suffix order with a common prefix of
-`length` bytes are equal stretches.
+Every 50-byte stretch belongs to one block, chosen by its content (the anchor of repeats.py; stretches of hot anchors by their whole
+content), so equal stretches meet in one block. Of a block, first the ranks of a difference-cover sample are computed; then suffixes are
+dealt to buckets by their first two bytes, and one bucket after another is sorted: by 16 bytes, longer ties by the
+cover's ranks, since any two suffixes reach sample positions within 7 bytes at a common distance. So beside the block's bytes and the sample's
+ranks only one bucket's keys are held at a time. Neighbours in suffix order with a common prefix of `length` bytes are equal stretches.
+Pieces of a block that are equal as a whole are sorted once.
 
 A byte is removed if a stretch over it also starts in a document with a smaller doc_id.
 
 Defined results: null and empty texts have no bytes; texts under `length` bytes lose nothing; a stretch that repeats only within one
-document (or rows of one doc_id) stays; null doc_ids come first; an empty table gives no row; further columns are ignored.
+document (or rows of one doc_id) stays; null doc_ids come first; an empty table gives no row; further columns are ignored; a text of
+2^28 bytes or more is an error.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from .repeats import NULL_ID, covered, mark, remove_repeats, runs_of, span_rows
+from .repeats import NULL_ID, among, covered, mark, remove_repeats, runs_of, span_rows
 from .shared import blobs, buffers, constants, dealt, mix, sliding_argmin, slices
 
 #: Bytes of an anchor.
@@ -76,8 +79,27 @@ class Cover:
         return next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER)
 
 
-def suffix_order(text: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """places in the order of their suffixes, exact for the first 56 bytes; text goes on for 64 bytes after the last place."""
+def suffix_order(text: np.ndarray, places: np.ndarray, bucket: int = 1 << 16) -> np.ndarray:
+    """places in the order of their suffixes, exact for the first 56 bytes; text goes on for 64 bytes after the last place.
+
+    Buckets are those of the first two bytes, small ones together up to about `bucket` suffixes.
+    """
+    if not len(places):
+        return places
+    cover = Cover(text)
+    head = (text[places].astype(np.uint16) << np.uint16(8)) | text[places + 1]
+    order = np.argsort(head, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(head[order])) + 1, len(places))
+    out, a = np.empty_like(places), 0
+    while a < len(places):
+        z = int(ends[min(np.searchsorted(ends, a + bucket), len(ends) - 1)])
+        out[a:z] = bucket_order(text, places[order[a:z]], cover)
+        a = z
+    return out
+
+
+def bucket_order(text: np.ndarray, places: np.ndarray, cover: Cover) -> np.ndarray:
+    """suffix_order of one bucket."""
     k1, k2 = big_endian(text, places), big_endian(text, places + 8)
     order = np.lexsort((k2, k1))
     p, k1, k2 = places[order], k1[order], k2[order]
@@ -85,7 +107,6 @@ def suffix_order(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     long_ = np.bincount(tie, minlength=1)[tie] > 1 if len(p) else np.zeros(0, bool)
     if not long_.any():
         return p
-    cover = Cover(text)
     q, group = p[long_], tie[long_]
     residue = q % PERIOD
     top = np.int64(len(cover.rank) + 1)
@@ -151,7 +172,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, with_text: bool = F
         for ids, data, offsets in _slices(_ids(batch.column("doc_id")), batch.column("text")):
             yield ids, _runs(data, offsets, length)
 
-    def look(table, marks, chunks, buckets):
+    def look(table, marks, hot, chunks, buckets):
         held: list[tuple] = []
         for ids, data, offsets in _slices(_ids(table.column("doc_id")), table.column("text")):
             r = _runs(data, offsets, length)
@@ -176,6 +197,24 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, with_text: bool = F
         for c, *x in span_rows(d[later][which], at, length, chunks):
             yield [-1 - c, *x, b""]
         own = np.flatnonzero(~later)
+        apart = among(a[own], hot)
+        if apart.any():  # windows of hot anchors, each different one once, for buckets of their own
+            from_hot = own[apart]
+            at, which = _expand(np.zeros(len(from_hot), np.int64), n[from_hot] - length + 1)
+            which = from_hot[which]
+            windows = [pieces[j][i : i + length] for j, i in zip(which.tolist(), at.tolist())]
+            dw, sw = d[which], s[which] + at
+            code = np.array([xxhash.xxh3_64_intdigest(w) for w in windows], np.uint64)
+            order = np.lexsort((dw, code))
+            lead = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+            least = np.repeat(dw[order][lead], np.diff(np.append(lead, len(order))))
+            gone = dw[order] > least
+            for c, *x in span_rows(dw[order][gone], sw[order][gone], length, chunks):
+                yield [-1 - c, *x, b""]
+            rest = order[~gone]
+            for k, *x in dealt((code[rest] % np.uint64(buckets)).astype(np.int64), [dw[rest], sw[rest], np.full(len(rest), length, np.int64), np.array([windows[i] for i in rest.tolist()], f"V{length}")]):
+                yield [k + buckets, *x]
+            own = own[~apart]
         bucket = (a[own] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keys, first = np.unique(bucket[order], return_index=True)
