@@ -91,6 +91,17 @@ def tkeo(a: Column) -> Column:
     return F.transform(a, lambda x, i: F.when((i == 0) | (i == F.size(a) - 1), x * x).otherwise(x * x - F.get(a, F.greatest(i - 1, F.lit(0))) * F.get(a, i + 1)))
 
 
+def desa(a: Column, dt: float) -> dict[str, Column]:
+    """Instantaneous frequency and amplitude by energy separation of the array and its two differences; null where they have none."""
+    # differences to the neighbour before (the first sample itself at the start) and after (the last sample itself at the end)
+    back = F.transform(a, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(a, F.greatest(i - 1, F.lit(0)))))
+    ahead = F.transform(a, lambda x, i: F.when(i == F.size(a) - 1, x).otherwise(F.get(a, i + 1) - x))
+    both = F.arrays_zip(tkeo(a).alias("t"), tkeo(back).alias("b"), tkeo(ahead).alias("f"))
+    cos = lambda e: 1 - (e["b"] + e["f"]) / (4 * F.nullif(e["t"], F.lit(0.0)))
+    power = lambda e: e["t"] / F.nullif(1 - cos(e) * cos(e), F.lit(0.0))
+    return {"frequency": F.transform(both, lambda e: F.when(F.abs(cos(e)) <= 1, F.acos(cos(e)) / (2 * math.pi * dt))), "amplitude": F.transform(both, lambda e: F.when(power(e) >= 0, F.sqrt(power(e))))}
+
+
 def zero_crossing_block(a: Column) -> Column:
     """Each lobe between sign changes replaced by its extreme sample (gaps and islands along the array)."""
     sign = lambda x: F.when(x < 0, -1).otherwise(1)

@@ -92,3 +92,83 @@ def markers_on_tracks(markers: DataFrame, tracks: DataFrame) -> DataFrame:
     j = markers.join(seg, (markers.well == seg.well) & (markers.md >= seg.md0) & ((markers.md < seg.md1)), "left")
     t = (F.col("md") - F.col("md0")) / (F.col("md1") - F.col("md0"))
     return j.select(markers.well, "marker", "md", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
+
+
+def to_map(inl: Column, crl: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """Map coordinates of a position; affine is (x0, y0, dx and dy of an inline, dx and dy of a crossline)."""
+    x0, y0, ix, iy, cx, cy = affine
+    return x0 + ix * inl + cx * crl, y0 + iy * inl + cy * crl
+
+
+def layer_value(z: Column, attribute: str, in_time: bool) -> Column:
+    """What a horizon layer shows: z in milliseconds where z itself is asked for in a time survey."""
+    return z * 1000 if attribute == "zvals" and in_time else z
+
+
+def well_layer(wells: DataFrame, kinds: list[str]) -> DataFrame:
+    """name, uwid, status (the number of the well's kind, null if unknown), wkt of wells(name, uwid, kind, x, y)."""
+    status = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int") - 1
+    point = F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")"))
+    return wells.select("name", "uwid", F.when(status >= 0, status).alias("status"), point.alias("wkt"))
+
+
+def shapes_wkt(vertices: DataFrame) -> DataFrame:
+    """name, wkt, closed of vertices(name, seq, x, y, closed): a polygon, its ring closed by the first vertex, or a line; too short ones have no row."""
+    g = vertices.groupBy("name").agg(F.max("closed").alias("closed"), F.array_sort(F.collect_list(F.struct("seq", F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y")))).alias("p"))
+    body = lambda p: F.concat_ws(", ", F.transform(p, lambda v: F.concat_ws(" ", v["x"], v["y"])))
+    ring = F.concat(F.lit("POLYGON (("), body(F.concat("p", F.slice("p", F.lit(1), F.lit(1)))), F.lit("))"))
+    line = F.concat(F.lit("LINESTRING ("), body(F.col("p")), F.lit(")"))
+    return g.where(F.size("p") > F.when(F.col("closed"), 2).otherwise(1)).select("name", F.when(F.col("closed"), ring).otherwise(line).alias("wkt"), "closed")
+
+
+def survey_ring(traces: DataFrame, affine: tuple) -> DataFrame:
+    """seq, x, y: the survey's corners in map coordinates, back to the first."""
+    box = traces.agg(F.min("inl").alias("i0"), F.max("inl").alias("i1"), F.min("crl").alias("c0"), F.max("crl").alias("c1")).where("i0 is not null")
+    corners = F.array(*[F.struct(F.col(i).alias("i"), F.col(c).alias("c")) for i, c in (("i0", "c0"), ("i0", "c1"), ("i1", "c1"), ("i1", "c0"), ("i0", "c0"))])
+    x, y = to_map(F.col("p.i"), F.col("p.c"), affine)
+    return box.select(F.posexplode(corners).alias("seq", "p")).select("seq", x.alias("x"), y.alias("y"))
+
+
+def raster_bands(horizon: DataFrame, row: str, col: str, bands: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Every cell of the horizon's bounding lattice with its bands (rounded), null where the horizon is undefined."""
+    box = horizon.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate((row, col)) for n, f in (("lo", F.min), ("hi", F.max))]).where("lo_0 is not null")
+    cells = box.select(F.explode(F.sequence("lo_0", "hi_0")).alias(row), "lo_1", "hi_1").repartition(row).select(row, F.explode(F.sequence("lo_1", "hi_1")).alias(col))
+    values = horizon.select(row, col, *[F.round(v, d).alias(n) for n, (v, d) in bands.items()])
+    return cells.join(values, [row, col], "left")
+
+
+def closed_at(vertices: DataFrame, z: float) -> DataFrame:
+    """vertices(name, seq, x, y) numbered from 0 and closed by the first one again, all at one z."""
+    g = vertices.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    e = g.select("name", F.posexplode(F.concat("p", F.slice("p", F.lit(1), F.lit(1)))).alias("seq", "v"))
+    return e.select("name", F.col("seq").cast("long").alias("seq"), "v.x", "v.y", F.lit(z).alias("z"))
+
+
+def simplified(vertices: DataFrame, key: str, order: str, tolerances: tuple[float, float, float]) -> DataFrame:
+    """The vertices (key, order, x, y, z) of each line that stay when others are within the tolerances of the chords between them, axis by axis.
+
+    A chord is split at the vertex that is farthest off in units of the tolerances. A line is one group: its vertices must fit a task.
+    """
+    import numpy as np
+
+    def keep(f):
+        f = f.sort_values(order)
+        p = f[["x", "y", "z"]].to_numpy(float) / np.array(tolerances)
+        stays = np.zeros(len(p), bool)
+        if len(p):
+            stays[[0, -1]] = True
+        todo = [(0, len(p) - 1)]
+        while todo:
+            a, z = todo.pop()
+            if z - a < 2:
+                continue
+            chord = p[z] - p[a]
+            t = np.clip((p[a + 1 : z] - p[a]) @ chord / max(float(chord @ chord), 1e-300), 0, 1)
+            off = np.abs(p[a + 1 : z] - p[a] - t[:, None] * chord).max(1)
+            k = int(off.argmax())
+            if off[k] > 1:
+                stays[a + 1 + k] = True
+                todo += [(a, a + 1 + k), (a + 1 + k, z)]
+        return f[stays]
+
+    return vertices.groupBy(key).applyInPandas(keep, vertices.schema)

@@ -8,8 +8,8 @@ from traceflow.functions import kernels3d as K
 
 from .stencil import Tile, along_z, separable
 
-#: Normals of the planar elements, in the order in which equal variances are settled.
-NORMALS = [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, -1, 1), (1, 1, -1), (-1, 1, 1)]
+# Normals of the thirteen planar elements, in their order (the first of equal variances counts, and the element's number is a result).
+NORMALS = [(0, 0, 1), (0, 1, -1), (0, 1, 1), (1, 0, -1), (1, 0, 1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1), (0, 1, 0), (1, 0, 0), (1, -1, 0), (-1, -1, 0)]
 
 
 def block_sum(tile: Tile, weights: np.ndarray) -> np.ndarray:
@@ -63,6 +63,15 @@ def _gradients(tile: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return separable(tile, d, [1.0], [1.0]), separable(tile, [1.0], d, [1.0]), separable(tile, [1.0], [1.0], d)
 
 
+def smooth_gradients(tile: Tile, d: list[float] = K.KROON3_D, s: list[float] = K.KROON3_S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Derivatives along inlines, crosslines and the trace, smoothed across."""
+    return separable(tile, d, s, s), separable(tile, s, d, s), separable(tile, s, s, d)
+
+
+def gradient_mean(tile: Tile) -> dict[str, np.ndarray]:
+    return {"value": sum(smooth_gradients(tile)) / 3}
+
+
 def _dips(x, y, z) -> dict[str, np.ndarray]:
     with np.errstate(all="ignore"):
         return {"crl_dip": -y / z, "inl_dip": -x / z}
@@ -93,7 +102,7 @@ def _shapes(tensor: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
     w, v = K.eigen3(*tensor)
     e1, e2, e3 = (w[..., i] for i in range(3))
     with np.errstate(all="ignore"):
-        cline, cplane = (e2 - e3) / (e2 + e3), (e1 - e2) / (e1 + e2)
+        cline, cplane = (e2 - e3) / (e2 + e3), (e1 - e2) / e1
         return {
             **_dips(v[..., 0, 0], v[..., 1, 0], v[..., 2, 0]),
             "e1": e1, "e2": e2, "e3": e3, "cline": cline, "cplane": cplane, "coherency": cplane**2, "cfault": cline * (1 - cplane),
@@ -103,7 +112,7 @@ def _shapes(tensor: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
 
 def tensor_attributes(tile: Tile) -> dict[str, np.ndarray]:
     """Dips and shape measures of the smoothed gradient structure tensor."""
-    return _shapes(_smoothed(tile, _gradients(_wider(tile))))
+    return _shapes(_smoothed(tile, smooth_gradients(_wider(tile))))
 
 
 def hilbert_taps(half: int = 15) -> list[float]:
@@ -137,7 +146,7 @@ def median_dips(kind: str, half: int = 2):
     """Dips of unit normals filtered along the trace: their mean, or the member with the least summed distance to the others."""
 
     def run(tile: Tile) -> dict[str, np.ndarray]:
-        g = np.stack(_gradients(tile), -1)
+        g = np.stack(smooth_gradients(tile), -1)
         with np.errstate(all="ignore"):
             n = np.nan_to_num(g / np.sqrt((g * g).sum(-1, keepdims=True))) * np.where(g[..., 2:] < 0, -1.0, 1.0)
         nz = n.shape[2]
@@ -153,13 +162,16 @@ def median_dips(kind: str, half: int = 2):
     return run
 
 
-def dip_curvature(tile: Tile) -> dict[str, np.ndarray]:
-    """Curvature of the surface whose dips follow from the gradients."""
-    dips = gradient_dips(_wider(tile))
-    p, q = (np.clip(np.nan_to_num(dips[k], posinf=0, neginf=0), -10, 10) for k in ("inl_dip", "crl_dip"))
-    tp, tq = _inner(tile, [p, q])
+def dip_curvature(inline: Tile, crossline: Tile, inl_factor: float = 1.0, crl_factor: float = 1.0) -> dict[str, np.ndarray]:
+    """Curvatures of the surfaces whose inline and crossline dips are given, by Gauss's fundamental forms of the normals (u, v, 1).
+
+    A dip divided by its factor (sample step / trace distance * dip factor) is a slope in samples per trace. Derivatives are the 3-point operator's.
+    """
+    tu, tv = Tile(-inline.samples / inl_factor, inline.there, inline.h), Tile(-crossline.samples / crl_factor, crossline.there, crossline.h)
     d, s = K.KROON3_D, K.KROON3_S
-    return K.curvatures({"zx": tp.centre(), "zy": tq.centre(), "zxx": separable(tp, d, s, s), "zyy": separable(tq, s, d, s), "zxy": (separable(tp, s, d, s) + separable(tq, d, s, s)) / 2})
+    slopes = {f"{n}{a}": separable(t, *k) for n, t in (("u", tu), ("v", tv)) for a, k in (("x", (d, s, s)), ("y", (s, d, s)), ("z", (s, s, d)))}
+    with np.errstate(all="ignore"):
+        return K.curvatures(tu.centre(), tv.centre(), **slopes)
 
 
 def polynomial_tensor(tile: Tile) -> dict[str, np.ndarray]:

@@ -9,6 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gridding import segments_cross
+from .saved import saved
+
 
 def with_key(df: DataFrame) -> DataFrame:
     """Adds the key of a crossing, the same for (A, B) and (B, A), as the columns ka and kb."""
@@ -79,70 +82,144 @@ def new_corrections(df: DataFrame) -> DataFrame:
     return lines(df).select("line", F.lit(0.0).alias("shift"), F.lit(0.0).alias("phase"), F.lit(1.0).alias("amp"))
 
 
-def _jacobi(rows: DataFrame, corrections: DataFrame, references: list, damping: float) -> DataFrame:
-    """One damped step: each end of a tie moves by the mean of its residuals; reference lines stay at zero.
+#: Corrections of so many lines at most (about 100 bytes each) are broadcast to the ties; more meet them by shuffled joins.
+MOST_LINES = 1_000_000
 
-    Ties meet both lines' corrections by joins on the line (a broadcast only where Spark finds them small), and a line's sums are combined before the shuffle.
-    """
+
+def _met(rows: DataFrame, corrections: DataFrame, few: bool) -> DataFrame:
+    """rows with the corrections ca and cb of both lines."""
+    hint = F.broadcast if few else lambda df: df
     a = corrections.select(F.col("line").alias("line_a"), F.col("c").alias("ca"))
     b = corrections.select(F.col("line").alias("line_b"), F.col("c").alias("cb"))
-    r = rows.join(a, "line_a").join(b, "line_b").withColumn("r", F.col("d") - F.col("ca") + F.col("cb"))
+    return rows.join(hint(a), "line_a").join(hint(b), "line_b")
+
+
+def _jacobi(rows: DataFrame, corrections: DataFrame, references: list, damping: float, few: bool) -> DataFrame:
+    """One damped step: each end of a tie moves by the mean of its residuals; reference lines stay at zero. A line's sums are combined before the shuffle."""
+    r = _met(rows, corrections, few).withColumn("r", F.col("d") - F.col("ca") + F.col("cb"))
     ends = r.select(F.explode(F.array(F.struct(F.col("line_a").alias("line"), F.col("r").alias("v")), F.struct(F.col("line_b").alias("line"), (-F.col("r")).alias("v")))).alias("e")).groupBy("e.line").agg(F.avg("e.v").alias("step"))
     moved = F.col("c") + damping * F.coalesce("step", F.lit(0.0))
     return corrections.join(ends, "line", "left").select("line", F.when(F.col("line").isin(references), F.lit(0.0)).otherwise(moved).alias("c"))
 
 
-def _rewrapped(rows: DataFrame, corrections: DataFrame) -> DataFrame:
+def _rewrapped(rows: DataFrame, corrections: DataFrame, few: bool) -> DataFrame:
     """Phase observations turned by 360 degrees where that brings them nearer to the corrections' difference."""
-    a = corrections.select(F.col("line").alias("line_a"), F.col("c").alias("ca"))
-    b = corrections.select(F.col("line").alias("line_b"), F.col("c").alias("cb"))
     off = lambda d: F.abs(d - (F.col("ca") - F.col("cb")))
     d = F.col("d")
     turned = F.when(off(d - 360) < off(d), d - 360).when(off(d + 360) < off(d), d + 360).otherwise(d)
-    return rows.join(a, "line_a").join(b, "line_b").withColumn("d", turned).select(*rows.columns)
+    return _met(rows, corrections, few).withColumn("d", turned).select(*rows.columns)
 
 
-def rms(rows: DataFrame, corrections: DataFrame) -> float | None:
-    a = corrections.select(F.col("line").alias("line_a"), F.col("c").alias("ca"))
-    b = corrections.select(F.col("line").alias("line_b"), F.col("c").alias("cb"))
-    return rows.join(a, "line_a").join(b, "line_b").agg(F.sqrt(F.avg((F.col("d") - F.col("ca") + F.col("cb")) * (F.col("d") - F.col("ca") + F.col("cb")))).alias("x")).first().x
+def rms(rows: DataFrame, corrections: DataFrame, few: bool = False) -> float | None:
+    r = F.col("d") - F.col("ca") + F.col("cb")
+    return _met(rows, corrections, few).agg(F.sqrt(F.avg(r * r)).alias("x")).first().x
+
+
+def amplitude_start(df: DataFrame, references: list) -> float:
+    """The logarithm (base 10) of the amplitude that lines start with which meet no reference line: minus the mean of log10(ampdiff) of
+    the ties of reference lines, seen from them; 0 without such ties. One number comes to the driver."""
+    is_a, is_b = F.col("line_a").isin(references), F.col("line_b").isin(references)
+    log = F.when(is_a, F.log10("ampdiff")).when(is_b, -F.log10("ampdiff"))
+    return -(df.agg(F.avg(log).alias("x")).first().x or 0.0)
+
 
+def start_values(df: DataFrame, references: list, start: float) -> DataFrame:
+    """line, c of all lines: 0 for those that tie with a reference line, else start."""
+    ends = df.select(F.explode(F.array("line_a", "line_b")).alias("line"), (F.col("line_a").isin(references) | F.col("line_b").isin(references)).alias("near"))
+    return ends.groupBy("line").agg(F.max("near").alias("near")).select("line", F.when(F.col("near"), F.lit(0.0)).otherwise(F.lit(start)).alias("c"))
 
-def adjust(df: DataFrame, value: str, references: list, least_quality: float = 0.5, iterations: int = 20, damping: float = 0.75, delta: float | None = None, phase: bool = False, save_every: int = 5) -> DataFrame:
+
+def adjust(df: DataFrame, value: str, references: list, least_quality: float = 0.5, iterations: int = 20, damping: float = 0.75, delta: float | None = None, phase: bool = False, start: DataFrame | None = None) -> DataFrame:
     """line, c: corrections that take the misties of a network down by damped Jacobi steps.
 
     value: the difference's column (a logarithm for amplitudes). delta: stop when the RMS changes by no more; this takes an action
-    a step. Every save_every steps corrections are checkpointed, which cuts the plan (spark.checkpoint.dir must be set).
+    a step. start: line, c to start with, else all lines of good ties start at 0. Each step's corrections (one row a line) are checkpointed,
+    so a step's plan doesn't hold those before; so are phases that were turned.
     """
     rows = good(df, least_quality).select("line_a", "line_b", F.col(value).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)  # every step reads the ties
-    cor = lines(rows).select("line", F.lit(0.0).alias("c"))
-    last = None
-    spark = df.sparkSession
-    for i in range(iterations):
-        cor = _jacobi(rows, cor, references, damping)
+    cor = saved(start.select("line", "c") if start is not None else lines(rows).select("line", F.lit(0.0).alias("c")))
+    few, last, kept = cor.count() <= MOST_LINES, None, rows
+    for _ in range(iterations):
+        cor = saved(_jacobi(rows, cor, references, damping, few))
         if phase:
-            rows = _rewrapped(rows, cor)
-        if (i + 1) % save_every == 0 and i + 1 < iterations and (folder := spark.conf.get("spark.checkpoint.dir", None)):
-            spark.sparkContext.setCheckpointDir(folder)
-            cor = cor.checkpoint()
+            rows = saved(_rewrapped(rows, cor, few))
         if delta is not None:
-            now = rms(rows, cor)
+            now = rms(rows, cor, few)
             if now is None or (last is not None and abs(last - now) <= delta):
                 break
             last = now
+    kept.unpersist()
     return cor
 
 
+def adjust_all(df: DataFrame, references: list, least_quality: float = 0.5, iterations: int = 200, damping: float = 0.75, delta: float | None = 1e-4) -> DataFrame:
+    """line, shift, phase, amp: the three adjustments one after another, amplitudes as logarithms from their start value."""
+    amp = df.withColumn("log_amp", F.log10("ampdiff"))
+    z = adjust(df, "zdiff", references, least_quality, iterations, damping, delta).withColumnRenamed("c", "shift")
+    p = adjust(df, "phasediff", references, least_quality, iterations, damping, delta, phase=True).withColumnRenamed("c", "phase")
+    a = adjust(amp, "log_amp", references, least_quality, iterations, damping, delta, start=start_values(df, references, amplitude_start(df, references)))
+    return a.join(z, "line", "left").join(p, "line", "left").select("line", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.coalesce("phase", F.lit(0.0)).alias("phase"), F.pow(F.lit(10.0), "c").alias("amp"))
+
+
+def erased(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Ties without those of the lines in names(line)."""
+    for c in ("line_a", "line_b"):
+        df = df.join(names.select(F.col("line").alias(c)).distinct(), c, "left_anti")
+    return df
+
+
+def with_values(df: DataFrame, new: DataFrame) -> DataFrame:
+    """Ties with the values of new(line_a, trc_a, line_b, trc_b, ...) where it has the same crossing; null there keeps the old value."""
+    keys, values = ["line_a", "trc_a", "line_b", "trc_b"], [c for c in new.columns if c not in ("line_a", "trc_a", "line_b", "trc_b")]
+    j = df.join(new.select(*keys, *[F.col(c).alias(f"__{c}") for c in values]), keys, "left")
+    return j.withColumns({c: F.coalesce(f"__{c}", c) for c in values}).select(*df.columns)
+
+
+def shifted_horizon3d(horizon: DataFrame, corrections: DataFrame, factor: float = 1.0) -> DataFrame:
+    """z of horizon(inl, crl, z) plus the shift of the correction named 3D, in the survey's units; without such a correction there is no row."""
+    one = corrections.where(F.col("line").cast("string").startswith("3D")).agg(F.min_by("shift", "line").alias("__shift")).where("__shift is not null")
+    return horizon.crossJoin(F.broadcast(one)).withColumn("z", F.col("z") + F.col("__shift") / factor).drop("__shift")  # one row
+
+
 def shifted_horizon(horizon: DataFrame, corrections: DataFrame, factor: float = 1.0) -> DataFrame:
     """z of horizon(line, trcnr, z) plus its line's shift, in the survey's units; lines without a correction stay."""
     j = horizon.join(corrections.select("line", "shift"), "line", "left")
     return j.withColumn("z", F.col("z") + F.coalesce("shift", F.lit(0.0)) / factor).drop("shift")
 
 
-def horizon_ties(horizon: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Differences of a horizon where two lines have a trace of one number: line_a < line_b, zdiff = (zB - zA) * factor; 0 where either is undefined."""
-    a, b = (horizon.select(F.col("line").alias(f"line_{s}"), "trcnr", F.col("z").alias(f"z_{s}")) for s in "ab")
-    return a.join(b, "trcnr").where("line_a < line_b").select("line_a", "line_b", "trcnr", F.coalesce((F.col("z_b") - F.col("z_a")) * factor, F.lit(0.0)).alias("zdiff"))
+def line_crossings(stations: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Where lines cross: line_a < line_b, the trace of each that is nearest to the crossing, and its x, y.
+
+    stations(line, trcnr, x, y). Segments between neighbouring stations meet by the cells of their bounding boxes; of one pair of traces one crossing counts.
+    """
+    w = Window.partitionBy("line").orderBy("trcnr")
+    nxt = {c: F.lead(c).over(w) for c in ("x", "y", "trcnr")}
+    seg = stations.select("line", "trcnr", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt["x"].alias("x2"), nxt["y"].alias("y2"), nxt["trcnr"].alias("next")).where("x2 is not null and y2 is not null")
+    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+    seg = seg.withColumn("bx", F.explode(cells("x1", "x2"))).withColumn("by", F.explode(cells("y1", "y2")))
+    a, b = (seg.select("bx", "by", *[F.col(c).alias(f"{c}_{s}") for c in ("line", "trcnr", "next", "x1", "y1", "x2", "y2")]) for s in "ab")
+    p = {f"{c}_{s}": F.col(f"{c}_{s}") for c in ("x1", "y1", "x2", "y2") for s in "ab"}
+    hit = a.join(b, ["bx", "by"]).where("line_a < line_b").where(segments_cross(*[p[f"{c}_{s}"] for s in "ab" for c in ("x1", "y1", "x2", "y2")]))
+    dxa, dya, dxb, dyb = (p[f"{c}2_{s}"] - p[f"{c}1_{s}"] for s in "ab" for c in "xy")
+    den = dyb * dxa - dxb * dya
+    ta = F.try_divide(dxb * (p["y1_a"] - p["y1_b"]) - dyb * (p["x1_a"] - p["x1_b"]), den)
+    tb = F.try_divide(dxa * (p["y1_a"] - p["y1_b"]) - dya * (p["x1_a"] - p["x1_b"]), den)
+    near = lambda t, s: F.when(t < 0.5, F.col(f"trcnr_{s}")).otherwise(F.col(f"next_{s}"))
+    hit = hit.select("line_a", near(ta, "a").alias("trc_a"), "line_b", near(tb, "b").alias("trc_b"), (p["x1_a"] + ta * dxa).alias("x"), (p["y1_a"] + ta * dya).alias("y"))
+    return hit.groupBy("line_a", "trc_a", "line_b", "trc_b").agg(F.min("x").alias("x"), F.min_by("y", "x").alias("y"))
+
+
+def horizon_ties(horizon: DataFrame, crossings: DataFrame, factor: float = 1.0) -> DataFrame:
+    """crossings with zdiff = (zB - zA) * factor of horizon(line, trcnr, z); 0 where either is undefined."""
+    a, b = (horizon.select(F.col("line").alias(f"line_{s}"), F.col("trcnr").alias(f"trc_{s}"), F.col("z").alias(f"z_{s}")) for s in "ab")
+    j = crossings.join(a, ["line_a", "trc_a"], "left").join(b, ["line_b", "trc_b"], "left")
+    return j.select("line_a", "trc_a", "line_b", "trc_b", F.coalesce((F.col("z_b") - F.col("z_a")) * factor, F.lit(0.0)).alias("zdiff"))
+
+
+def trace_pairs(crossings: DataFrame, traces: DataFrame) -> DataFrame:
+    """crossings with both traces' samples a and b: two equi-joins with traces(line, trcnr, samples)."""
+    a, b = (traces.select(F.col("line").alias(f"line_{s}"), F.col("trcnr").alias(f"trc_{s}"), F.col("samples").alias(s)) for s in "ab")
+    return crossings.join(a, ["line_a", "trc_a"]).join(b, ["line_b", "trc_b"])
 
 
 def piece_means(df: DataFrame, key: str) -> DataFrame:

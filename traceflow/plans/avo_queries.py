@@ -102,30 +102,34 @@ def polar_product(spark, sf_dir):
     return _difference(spark, sf_dir).join(s, ["vec_id", "z"]).select("vec_id", "z", F.round(F.col("difference") * F.col("strength"), 6).alias("product"))
 
 
+def _view(n):
+    return views.stacks5 if n == 5 else views.stacks
+
+
 def _stacks(spark, sf_dir, n):
-    return views.samples(views.stacks(spark, sf_dir), *[f"s{i + 1}" for i in range(n)])
+    return views.samples(_view(n)(spark, sf_dir), *[f"s{i + 1}" for i in range(n)])
 
 
 def _fit(n, degrees):
     x = [math.sin(math.radians(d)) ** 2 for d in degrees]
-    cols = [f"s{i + 1}" for i in range(n)]
+    cols, view = [f"s{i + 1}" for i in range(n)], "stacks5" if n == 5 else "stacks"
     values = ", ".join(f"({v!r}, {c})" for v, c in zip(x, cols))
-    body = f"""f AS (SELECT vec_id, z, (SELECT regr_intercept(y, x) FROM (VALUES {values}) t(x, y)) AS intercept, (SELECT regr_slope(y, x) FROM (VALUES {values}) t(x, y)) AS gradient, (SELECT regr_r2(y, x) FROM (VALUES {values}) t(x, y)) AS quality FROM stacks)
+    body = f"""f AS (SELECT vec_id, z, (SELECT regr_intercept(y, x) FROM (VALUES {values}) t(x, y)) AS intercept, (SELECT regr_slope(y, x) FROM (VALUES {values}) t(x, y)) AS gradient, (SELECT regr_r2(y, x) FROM (VALUES {values}) t(x, y)) AS quality FROM {view})
 SELECT vec_id, z, round(intercept, 6) AS intercept, round(gradient, 6) AS gradient, round(quality, 6) AS quality FROM f"""
 
-    @query(f"avo_ig{n}", sql("stacks", body))
+    @query(f"avo_ig{n}", sql(view, body))
     def fitted(spark, sf_dir):
         f = avo.fit_angles([F.col(c) for c in cols], degrees)
         return _stacks(spark, sf_dir, n).select("vec_id", "z", *[F.round(f[k], 6).alias(k) for k in ("intercept", "gradient", "quality")])
 
-    block = f"""f AS (SELECT vec_id, z, (SELECT regr_intercept(y, x) FROM (VALUES {values}) t(x, y)) AS i, (SELECT regr_slope(y, x) FROM (VALUES {values}) t(x, y)) AS g, {', '.join(cols)} FROM stacks),
+    block = f"""f AS (SELECT vec_id, z, (SELECT regr_intercept(y, x) FROM (VALUES {values}) t(x, y)) AS i, (SELECT regr_slope(y, x) FROM (VALUES {values}) t(x, y)) AS g, {', '.join(cols)} FROM {view}),
 e AS (SELECT vec_id, z, {' + '.join(f'({c} - i - g * {v!r}) ** 2' for v, c in zip(x, cols))} AS sse FROM f),
-v AS (SELECT vec_id, var_pop(y) * count(*) AS total FROM (SELECT vec_id, unnest([{', '.join(cols)}]) AS y FROM stacks) GROUP BY vec_id)
+v AS (SELECT vec_id, var_pop(y) * count(*) AS total FROM (SELECT vec_id, unnest([{', '.join(cols)}]) AS y FROM {view}) GROUP BY vec_id)
 SELECT vec_id, z, round(1 - sse / nullif(total, 0), 6) AS quality FROM e JOIN v USING (vec_id)"""
 
-    @query(f"avo_ig{n}_block_quality", sql("stacks", block))
+    @query(f"avo_ig{n}_block_quality", sql(view, block))
     def block_quality(spark, sf_dir):
-        df = views.stacks(spark, sf_dir)
+        df = _view(n)(spark, sf_dir)
         every = F.concat(*cols)
         mean = F.aggregate(every, F.lit(0.0), lambda s, v: s + v) / F.size(every)
         total = F.aggregate(every, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
@@ -136,6 +140,7 @@ SELECT vec_id, z, round(1 - sse / nullif(total, 0), 6) AS quality FROM e JOIN v
 
 _fit(3, [10.0, 20.0, 30.0])
 _fit(4, [8.0, 16.0, 24.0, 32.0])
+_fit(5, [6.0, 12.0, 18.0, 24.0, 30.0])
 
 
 def _fatti(n, degrees):
@@ -154,11 +159,15 @@ _fatti(4, [8.0, 16.0, 24.0, 32.0])
 
 
 @query("shuey_ig", sql("stacks", """v AS (SELECT vec_id, z, 3 + s1 AS vp, 1.5 + s2 / 2 AS vs, 2.2 + s3 / 4 AS rho FROM stacks),
-l AS (SELECT *, lead(vp) OVER w AS vp1, lead(vs) OVER w AS vs1, lead(rho) OVER w AS rho1 FROM v WINDOW w AS (PARTITION BY vec_id ORDER BY z)),
-r AS (SELECT vec_id, z, 2 * (vp1 - vp) / (vp + vp1) AS p, 2 * (vs1 - vs) / (vs + vs1) AS q, 2 * (rho1 - rho) / (rho + rho1) AS d, (vs + vs1) / (vp + vp1) AS k FROM l WHERE vp1 IS NOT NULL)
+l AS (SELECT a.vec_id, a.z, b.vp, b.vs, b.rho, c.vp AS vp1, c.vs AS vs1, c.rho AS rho1 FROM v a JOIN v b ON b.vec_id = a.vec_id AND b.z = greatest(a.z - 1, 0) JOIN v c ON c.vec_id = a.vec_id AND c.z = greatest(a.z, 1)),
+r AS (SELECT vec_id, z, 2 * (vp1 - vp) / (vp + vp1) AS p, 2 * (vs1 - vs) / (vs + vs1) AS q, 2 * (rho1 - rho) / (rho + rho1) AS d, (vs + vs1) / (vp + vp1) AS k FROM l)
 SELECT vec_id, z, round(0.5 * (p + d), 6) AS intercept, round(0.5 * p - 2 * k * k * (d + 2 * q), 6) AS gradient FROM r"""))
 def shuey_ig(spark, sf_dir):
+    """Each sample has the interface above it; the first has the first interface, too."""
     df = views.stacks(spark, sf_dir).select("vec_id", F.transform("s1", lambda x: 3 + x).alias("vp"), F.transform("s2", lambda x: 1.5 + x / 2).alias("vs"), F.transform("s3", lambda x: 2.2 + x / 4).alias("rho"))
-    nxt = {f"{c}1": F.concat(F.slice(c, F.lit(2), F.size(c) - 1), F.array(F.lit(None).cast("double"))) for c in ("vp", "vs", "rho")}
-    i, g = avo.shuey(*[F.col(c) for c in ("vp", "vs", "rho", "vp1", "vs1", "rho1")])
-    return views.samples(df.withColumns(nxt), "vp", "vs", "rho", "vp1", "vs1", "rho1").where("vp1 is not null").select("vec_id", "z", F.round(i, 6).alias("intercept"), F.round(g, 6).alias("gradient"))
+    names = ("vp", "vs", "rho")
+    above = {f"{c}0": F.concat(F.slice(c, F.lit(1), F.lit(1)), F.slice(c, F.lit(1), F.size(c) - 1)) for c in names}
+    below = {c: F.concat(F.slice(c, F.lit(2), F.lit(1)), F.slice(c, F.lit(2), F.size(c) - 1)) for c in names}
+    df = df.withColumns(above).withColumns(below)
+    i, g = avo.shuey(*[F.col(c) for c in ("vp0", "vs0", "rho0", "vp", "vs", "rho")])
+    return views.samples(df, "vp0", "vs0", "rho0", "vp", "vs", "rho").select("vec_id", "z", F.round(i, 6).alias("intercept"), F.round(g, 6).alias("gradient"))

@@ -10,7 +10,7 @@ from traceflow.sources import views
 from .registry import query, sql
 
 EDGES = views.FAULTS
-CELLS = "cells AS (SELECT ix, iy FROM (SELECT unnest(range(0, 97, 4)) AS ix), (SELECT unnest(range(0, 89, 4)) AS iy))"
+CELLS = "bx AS (SELECT CAST(floor(min(x)) AS BIGINT) AS x0, CAST(ceil(max(x)) AS BIGINT) AS x1, CAST(floor(min(y)) AS BIGINT) AS y0, CAST(ceil(max(y)) AS BIGINT) AS y1 FROM points), cells AS (SELECT ix, iy FROM (SELECT unnest(range(x0, x1 + 1)) AS ix FROM bx), (SELECT unnest(range(y0, y1 + 1)) AS iy FROM bx))"
 CROSS = """NOT EXISTS (SELECT 1 FROM faults f WHERE abs((f.y2 - f.y1) * ({bx} - {ax}) - (f.x2 - f.x1) * ({by} - {ay})) > 1e-12
  AND ((f.x2 - f.x1) * ({ay} - f.y1) - (f.y2 - f.y1) * ({ax} - f.x1)) / nullif((f.y2 - f.y1) * ({bx} - {ax}) - (f.x2 - f.x1) * ({by} - {ay}), 0) BETWEEN 0 AND 1
  AND (({bx} - {ax}) * ({ay} - f.y1) - ({by} - {ay}) * ({ax} - f.x1)) / nullif((f.y2 - f.y1) * ({bx} - {ax}) - (f.x2 - f.x1) * ({by} - {ay}), 0) BETWEEN 0 AND 1)"""
@@ -18,8 +18,8 @@ SIGHT = CROSS.format(ax="c.ix", ay="c.iy", bx="p.x", by="p.y")
 
 
 def _cells(spark, sf_dir):
-    """Every fourth node of the points' lattice."""
-    return gridding.lattice(views.points(spark, sf_dir), 1).where("ix % 4 = 0 and iy % 4 = 0")
+    """Every node of the points' lattice."""
+    return gridding.lattice(views.points(spark, sf_dir), 1)
 
 
 def _v(df):
@@ -32,7 +32,7 @@ def grid_lattice(spark, sf_dir):
 
 
 POLYGON = [(5.5, 4.5), (80.5, 10.5), (70.5, 80.5), (20.5, 60.5)]
-_TESTS = " + ".join(f"CASE WHEN iy >= {min(y1, y2)} AND iy < {max(y1, y2)} AND ix < (iy - {y1}) * {(x2 - x1) / (y2 - y1)!r} + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]))
+_TESTS = " + ".join(f"CASE WHEN iy >= {min(y1, y2)} AND iy < {max(y1, y2)} AND ix < (iy - {y1}::DOUBLE) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE + {x1}::DOUBLE THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]))
 
 
 @query("grid_mask", sql("points", f"{CELLS} SELECT ix, iy FROM cells WHERE ({_TESTS}) % 2 = 1"))
@@ -76,6 +76,17 @@ def idw_knn(spark, sf_dir):
     return _v(gridding.idw_local(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 6.0, 5))
 
 
+@query("idw_local_joined", sql("points faults", PAIRS + " " + IDW))
+def idw_local_joined(spark, sf_dir):
+    """idw_local with the fault edges as a table."""
+    return _v(gridding.idw_local(_cells(spark, sf_dir), views.points(spark, sf_dir), gridding.edge_table(spark, EDGES), 6.0))
+
+
+@query("idw_nearest", sql("points faults", CELLS + ", d AS (SELECT c.ix, c.iy, p.*, (c.ix - p.x) * (c.ix - p.x) + (c.iy - p.y) * (c.iy - p.y) AS d2 FROM cells c, points p), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ix, iy ORDER BY d2, id) <= 8), q AS (SELECT * FROM k c WHERE " + CROSS.format(ax="c.ix", ay="c.iy", bx="c.x", by="c.y") + ") " + IDW))
+def idw_nearest(spark, sf_dir):
+    return _v(gridding.idw_nearest(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 8, 4.0))
+
+
 @query("ltps_sectors", sql("points faults", PAIRS + """, s AS (SELECT *, least(CAST(floor((degrees(atan2(y - iy, x - ix)) + 180) / 45) AS INTEGER), 7) AS sector FROM q),
 k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy, sector ORDER BY d2, id) AS n FROM s), m AS (SELECT * FROM k WHERE n <= 4),
 o AS (SELECT ix, iy FROM m GROUP BY ix, iy HAVING count(DISTINCT sector) >= 5)

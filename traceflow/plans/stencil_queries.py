@@ -38,6 +38,12 @@ for _name, _d, _s in (("kroon3", K.KROON3_D, K.KROON3_S), ("farid5", K.FARID5_D,
     _separable(f"gradient_{_name}_inl", _d, _s, _s)
     _separable(f"gradient_{_name}_crl", _s, _d, _s)
     _separable(f"gradient_{_name}_z", _s, _s, _d)
+# 2-D lines: a stepout along the trace number only.
+_separable("gradient_2d_trc", [1.0], K.KROON3_D, K.KROON3_S)
+_separable("gradient_2d_z", [1.0], K.KROON3_S, K.KROON3_D)
+for _axis, (_x, _y) in {"inl": (K.FARID5_DD, K.FARID5_SS), "crl": (K.FARID5_SS, K.FARID5_DD)}.items():
+    _separable(f"farid_second_{_axis}", _x, _y, K.FARID5_SS)
+_separable("farid_second_z", K.FARID5_SS, K.FARID5_SS, K.FARID5_DD)
 _separable("scharr_dx", K.SCHARR3_D, K.SCHARR3_S, K.SCHARR3_S)
 _separable("scharr_dy", K.SCHARR3_S, K.SCHARR3_D, K.SCHARR3_S)
 _separable("scharr_dz", K.SCHARR3_S, K.SCHARR3_S, K.SCHARR3_D)
@@ -74,7 +80,8 @@ el AS (SELECT i, j, k, e FROM o WHERE i * v[1] + j * v[2] + k * v[3] = 0),
 p AS (SELECT c.vec_id, c.z, o.i, o.j, coalesce(n.amp, c.amp) AS amp FROM cube c CROSS JOIN (SELECT DISTINCT i, j FROM el) o LEFT JOIN cube n ON n.inl = c.inl + o.i AND n.crl = c.crl + o.j AND n.z = c.z),
 s AS (SELECT c.vec_id, c.z, el.e, round(var_samp(p.amp), 12) AS var, avg(p.amp) AS mean, median(p.amp) AS median FROM cube c CROSS JOIN el JOIN p ON p.vec_id = c.vec_id AND p.z = c.z + el.k AND p.i = el.i AND p.j = el.j GROUP BY c.vec_id, c.z, el.e)
 SELECT vec_id, z, CAST(round(arg_min({value}, {{'v': var, 'e': e}}), 6) AS DOUBLE) AS {name} FROM s GROUP BY vec_id, z"""
-_NORMALS = "[" + ", ".join(str(list(n)) for n in structure.NORMALS) + "]"
+# The elements' normals, written out here as well, so that the SQL doesn't lean on the library's list.
+_NORMALS = "[[0, 0, 1], [0, 1, -1], [0, 1, 1], [1, 0, -1], [1, 0, 1], [1, 1, 1], [1, 1, -1], [1, -1, 1], [-1, 1, 1], [0, 1, 0], [1, 0, 0], [1, -1, 0], [-1, -1, 0]]"
 for _name, _value in (("mean", "mean"), ("median", "median"), ("element", "e")):
 
     def _mlv(spark, sf_dir, output=_name):
@@ -107,7 +114,6 @@ def dip_true(spark, sf_dir):
 
 
 for _name, _fn, _outputs, _halo in (
-    ("curvature6", structure.dip_curvature, ["mean", "gauss", "kmin", "kmax", "most_pos", "most_neg"], 2),
     ("structure_tensor_dip", structure.tensor_attributes, ["crl_dip", "inl_dip", "cplane", "coherency"], 2),
     ("tensor_shapes", structure.tensor_attributes, ["e1", "e2", "e3", "cline", "cfault", "cchaos", "ctype"], 2),
     ("phase_dip", structure.phase_dips, ["crl_dip", "inl_dip"], 1),

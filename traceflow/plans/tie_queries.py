@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceflow.operators import ties
+from traceflow.operators import spectral, ties
 from traceflow.sources import views
 
 from .registry import query, sql
@@ -87,9 +87,30 @@ def glob_lookup(spark, sf_dir):
     return ties.correction_of("3D", cor)
 
 
-@query("mistie_horizon_2d", sql("horizon2d", "SELECT a.line AS line_a, b.line AS line_b, a.trcnr, round(coalesce((b.z - a.z) * 2, 0), 6) AS zdiff FROM horizon2d a JOIN horizon2d b ON a.trcnr = b.trcnr AND a.line < b.line WHERE a.line % 10 = 0 AND b.line % 10 = 0"))
+CROSSINGS = """sg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(trcnr) OVER w AS nxt FROM stations WINDOW w AS (PARTITION BY line ORDER BY trcnr)),
+cr AS (SELECT a.line AS line_a, b.line AS line_b, a.trcnr AS ta0, a.nxt AS ta1, b.trcnr AS tb0, b.nxt AS tb1, a.x, a.y, a.x2 - a.x AS dxa, a.y2 - a.y AS dya, b.x2 - b.x AS dxb, b.y2 - b.y AS dyb, b.x AS xb, b.y AS yb
+  FROM sg a JOIN sg b ON a.line < b.line AND (a.line + b.line) % 2 = 1 AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND least(a.x, a.x2) <= greatest(b.x, b.x2) AND greatest(a.y, a.y2) >= least(b.y, b.y2) AND least(a.y, a.y2) <= greatest(b.y, b.y2)),
+ct AS (SELECT *, (dxb * (y - yb) - dyb * (x - xb)) / nullif(dyb * dxa - dxb * dya, 0) AS ua, (dxa * (y - yb) - dya * (x - xb)) / nullif(dyb * dxa - dxb * dya, 0) AS ub FROM cr),
+crossings AS (SELECT line_a, CASE WHEN ua < 0.5 THEN ta0 ELSE ta1 END AS trc_a, line_b, CASE WHEN ub < 0.5 THEN tb0 ELSE tb1 END AS trc_b, min(x + ua * dxa) AS x, arg_min(y + ua * dya, x + ua * dxa) AS y FROM ct WHERE ua BETWEEN 0 AND 1 AND ub BETWEEN 0 AND 1 GROUP BY ALL)"""
+
+
+@query("line_crossings", sql("stations", CROSSINGS + " SELECT line_a, trc_a, line_b, trc_b, round(x, 6) AS x, round(y, 6) AS y FROM crossings"))
+def line_crossings(spark, sf_dir):
+    return _rounded(ties.line_crossings(views.stations2d(spark, sf_dir)), *COLS.split(", "), values=["x", "y"])
+
+
+@query("mistie_horizon_2d", sql("stations", CROSSINGS + " SELECT line_a, trc_a, line_b, trc_b, round(coalesce((b.z - a.z) * 2, 0), 6) AS zdiff FROM crossings LEFT JOIN stations a ON a.line = line_a AND a.trcnr = trc_a LEFT JOIN stations b ON b.line = line_b AND b.trcnr = trc_b"))
 def mistie_horizon_2d(spark, sf_dir):
-    return ties.horizon_ties(views.horizon2d(spark, sf_dir).where("line % 10 = 0"), 2.0).withColumn("zdiff", F.round("zdiff", 6))
+    crossings = ties.line_crossings(views.stations2d(spark, sf_dir))
+    return _rounded(ties.horizon_ties(views.horizon2d(spark, sf_dir), crossings, 2.0), *COLS.split(", "), values=["zdiff"])
+
+
+@query("mistie_estimate_2d")
+def mistie_estimate_2d(spark, sf_dir):
+    """Time, phase and amplitude differences at all crossings of 2-D lines, from the traces there."""
+    pairs = ties.trace_pairs(ties.line_crossings(views.stations2d(spark, sf_dir)), views.line_traces(spark, sf_dir))
+    got = spectral.map_traces(pairs, lambda a, b: spectral.tie_estimate(a, b, 0.004, 8 * 0.004), ["a", "b"], VALUES, COLS.split(", "))
+    return got.select(*COLS.split(", "), *[F.round(F.get(v, F.lit(0)), 6).alias(v) for v in VALUES])
 
 
 @query("mistie_2d3d_avg", sql("misties", "SELECT line_a, round(avg(zdiff), 6) AS zdiff, round(degrees(atan2(avg(sin(radians(phasediff))), avg(cos(radians(phasediff))))), 6) AS phasediff, round(avg(ampdiff), 6) AS ampdiff, round(avg(quality), 6) AS quality FROM misties GROUP BY line_a"))
@@ -127,3 +148,44 @@ def adjust_phase_k3(spark, sf_dir):
 def adjust_amp_k5(spark, sf_dir):
     m = views.misties(spark, sf_dir).withColumn("l", F.log10("ampdiff"))
     return ties.adjust(m, "l", [1], 0.75, 5).withColumn("c", F.round("c", 6))
+
+
+AMP_START = """g AS (SELECT * FROM misties), st AS (SELECT coalesce(-avg(CASE WHEN line_a IN (1, 2) THEN log10(ampdiff) WHEN line_b IN (1, 2) THEN -log10(ampdiff) END), 0) AS s FROM g),
+en AS (SELECT line_a AS line, line_a IN (1, 2) OR line_b IN (1, 2) AS near FROM g UNION ALL SELECT line_b, line_a IN (1, 2) OR line_b IN (1, 2) FROM g)"""
+
+
+@query("amplitude_start", sql("misties", AMP_START + " SELECT line, round(CASE WHEN bool_or(near) THEN 0 ELSE any_value(s) END, 6) AS c FROM en, st GROUP BY line"))
+def amplitude_start(spark, sf_dir):
+    m = views.misties(spark, sf_dir)
+    return ties.start_values(m, [1, 2], ties.amplitude_start(m, [1, 2])).withColumn("c", F.round("c", 6))
+
+
+@query("mistie_erase", sql("misties", f"SELECT okey, {COLS}, {_r()} FROM misties WHERE line_a % 3 <> 0 AND line_b % 3 <> 0"))
+def mistie_erase(spark, sf_dir):
+    m = views.misties(spark, sf_dir)
+    return _rounded(ties.erased(m, ties.lines(m).where("line % 3 = 0")), "okey", *COLS.split(", "))
+
+
+@query("mistie_set_values", sql("misties", "u AS (SELECT line_a, trc_a, line_b, trc_b, max(zdiff) + 1 AS nz FROM misties WHERE okey % 4 = 0 GROUP BY ALL) SELECT okey, line_a, trc_a, line_b, trc_b, round(coalesce(nz, zdiff), 6) AS zdiff, round(quality, 6) AS quality FROM misties LEFT JOIN u USING (line_a, trc_a, line_b, trc_b)"))
+def mistie_set_values(spark, sf_dir):
+    m = views.misties(spark, sf_dir)
+    new = m.where("okey % 4 = 0").groupBy(*COLS.split(", ")).agg((F.max("zdiff") + 1).alias("zdiff"))
+    return _rounded(ties.with_values(m, new), "okey", *COLS.split(", "), values=["zdiff", "quality"])
+
+
+@query("correction_upsert_keep", sql("misties", CORR + ", n AS (SELECT DISTINCT line_a AS line FROM misties UNION SELECT line_b FROM misties) SELECT line, CASE WHEN n.line IS NULL THEN shift ELSE 0 END AS shift, CASE WHEN n.line IS NULL THEN phase ELSE 0 END AS phase, CASE WHEN n.line IS NULL THEN amp ELSE 1 END AS amp FROM n FULL JOIN cor c USING (line)"))
+def correction_upsert_keep(spark, sf_dir):
+    return ties.merge_corrections(ties.new_corrections(views.misties(spark, sf_dir)), _corrections(spark, sf_dir), replace=False)
+
+
+@query("apply_horizon_shift_3d", sql("points", "c AS (SELECT arg_min(CAST(s_acctbal AS DOUBLE), s_name) AS shift FROM supplier WHERE s_suppkey % 7 = 0) SELECT id, round(v + shift / 1000, 6) AS z FROM points, c"))
+def apply_horizon_shift_3d(spark, sf_dir):
+    cor = views.table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.concat(F.lit("3D "), F.col("s_name")).alias("line"), F.col("s_acctbal").cast("double").alias("shift"))
+    return ties.shifted_horizon3d(views.points(spark, sf_dir).select("id", F.col("v").alias("z")), cor, 1000.0).select("id", F.round("z", 6).alias("z"))
+
+
+@query("adjust_network")
+def adjust_network(spark, sf_dir):
+    """Time, phase and amplitude corrections by the default number of steps, one after another."""
+    got = ties.adjust_all(views.misties(spark, sf_dir), [1], 0.75, 20, 0.75, None)
+    return got.select("line", *[F.round(c, 6).alias(c) for c in ("shift", "phase", "amp")])

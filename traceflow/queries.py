@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceflow.plans import avo_queries, map_queries, spectral_queries, stencil_queries, tie_queries, trace_queries
+from traceflow.plans import avo_queries, map_queries, spectral_queries, stencil_queries, tie_queries, trace_queries, volume_queries
 from traceflow.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "avo_queries", "map_queries", "spectral_queries", "stencil_queries", "tie_queries", "trace_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "avo_queries", "map_queries", "spectral_queries", "stencil_queries", "tie_queries", "trace_queries", "volume_queries"]

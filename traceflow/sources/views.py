@@ -32,6 +32,26 @@ def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", *[_part(16 * i, 16).alias(f"s{i + 1}") for i in range(4)])
 
 
+def stacks5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, s1..s5: five angle stacks of 12 samples."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[_part(12 * i, 12).alias(f"s{i + 1}") for i in range(5)])
+
+
+def stations2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, trcnr, x, y, z: the lines of horizon2d on a map, even ones across the odd ones."""
+    even, slot, t = F.col("line") % 2 == 0, F.floor(F.col("line") / 2) % 40 + 0.5, F.col("trcnr")
+    x, y = F.when(even, t + 0.25).otherwise(slot - 0.03 * t), F.when(even, slot + 0.05 * t).otherwise(t + 0.25)
+    return horizon2d(spark, sf_dir).select("line", "trcnr", x.alias("x"), y.alias("y"), "z")
+
+
+def line_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, trcnr, samples: a trace for each station of horizon2d, one of the volume's."""
+    t = traces(spark, sf_dir).select("vec_id", "samples")
+    n = t.agg((F.max("vec_id") + 1).alias("n"))
+    at = horizon2d(spark, sf_dir).crossJoin(F.broadcast(n)).select("line", "trcnr", ((F.col("line") * 31 + F.col("trcnr")) % F.col("n")).alias("vec_id"))  # one row
+    return at.join(t, "vec_id").select("line", "trcnr", "samples")
+
+
 def samples(df: DataFrame, *arrays: str, keys: tuple = ("vec_id",)) -> DataFrame:
     """Sample form: keys, z and a column per array; arrays of one trace are of one length."""
     return df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("z", "__s")).select(*keys, F.col("z").cast("long").alias("z"), *[F.col(f"__s.{a}").alias(a) for a in arrays])
