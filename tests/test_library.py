@@ -34,23 +34,24 @@ def brute(rows, value, start, references, steps, wrap=False):
 def test_adjust_all(spark):
     rows = network()
     good = [r for r in rows if r[7] >= 0.5]
-    got = {r.line: (r.shift, r.phase, r.amp) for r in ties.adjust_all(spark.createDataFrame(rows, TIES), [1], 0.5, 20, 0.75, None).collect()}
+    got = {r.line: (r.shift, r.phase, r.amp) for r in ties.adjust_all(spark.createDataFrame(rows, TIES), [1], 0.5, 4, 0.75, None).collect()}
     zero = {k: 0.0 for r in good for k in (r[0], r[2])}
-    z, p = brute(good, lambda r: r[4], zero, [1], 20), brute(good, lambda r: r[5], zero, [1], 20, True)
+    z, p = brute(good, lambda r: r[4], zero, [1], 4), brute(good, lambda r: r[5], zero, [1], 4, True)
     log = [np.log10(r[6]) if r[0] == 1 else -np.log10(r[6]) for r in rows if 1 in (r[0], r[2])]
     near = {k for r in rows if 1 in (r[0], r[2]) for k in (r[0], r[2])}
     start = {k: 0.0 if k in near else -np.mean(log) for r in rows for k in (r[0], r[2])}
-    a = brute(good, lambda r: np.log10(r[6]), start, [1], 20)
+    a = brute(good, lambda r: np.log10(r[6]), start, [1], 4)
     for k, x in got.items():
         assert x == pytest.approx((z.get(k, 0.0), p.get(k, 0.0), 10 ** a[k]), abs=1e-9)
 
 
-def test_many_steps_finish(spark):
-    """200 steps on a consistent network leave no residual."""
-    truth = {k: float(k * k % 7) for k in range(8)}
-    rows = [(a, 1, b, 1, truth[a] - truth[b], 0.0, 1.0, 1.0) for a in range(8) for b in range(a + 1, 8)]
-    got = {r.line: r.c for r in ties.adjust(spark.createDataFrame(rows, TIES), "zdiff", [0], 0.5, 200, 0.75, 1e-12).collect()}
-    assert got == pytest.approx({k: v - truth[0] for k, v in truth.items()}, abs=1e-6)
+def test_many_steps(spark):
+    """A plan doesn't grow with the steps, and a consistent network comes to rest."""
+    truth = {k: float(k * k % 7) for k in range(4)}
+    rows = [(a, 1, b, 1, truth[a] - truth[b], 0.0, 1.0, 1.0) for a in range(4) for b in range(a + 1, 4)]
+    got = {r.line: r.c for r in ties.adjust(spark.createDataFrame(rows, TIES), "zdiff", [0], 0.5, 30, 0.75).collect()}
+    assert got == pytest.approx(brute(rows, lambda r: r[4], dict.fromkeys(truth, 0.0), [0], 30), abs=1e-9)
+    assert got == pytest.approx({k: v - truth[0] for k, v in truth.items()}, abs=1e-2)
 
 
 def test_erase_and_set(spark):
@@ -64,7 +65,7 @@ def test_crossings_and_nulls(spark):
     rows = [(1, 1, 0.0, 0.5), (1, 2, 3.0, 0.5), (1, 3, None, None), (2, 1, 0.6, -1.0), (2, 2, 0.6, 4.0), (3, 1, 9.0, 9.0), (4, 1, 0.0, 0.6), (4, 2, 3.0, 0.6)]
     st = spark.createDataFrame(rows, "line long, trcnr long, x double, y double")
     got = sorted(tuple(r) for r in ties.line_crossings(st).collect())
-    assert [r[:4] for r in got] == [(1, 1, 2, 1), (2, 1, 4, 1)] and [r[4:] for r in got] == [(0.6, 0.5), (0.6, 0.6)]
+    assert [r[:4] for r in got] == [(1, 1, 2, 1), (2, 1, 4, 1)] and np.allclose([r[4:] for r in got], [(0.6, 0.5), (0.6, 0.6)])
     assert ties.line_crossings(st.limit(0)).count() == 0
 
 

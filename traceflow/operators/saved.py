@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,14 +14,14 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-saved-")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df checkpointed below spark.checkpoint.dir, which cuts its lineage; only local sessions may leave that unset."""
+def saved(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again, which cuts its lineage; only local sessions may leave that unset. files: so many, where df is small."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _local_folder()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/traceflow-saved/{uuid.uuid4().hex}"
+    (df if files is None else df.coalesce(files)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

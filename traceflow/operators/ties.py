@@ -140,7 +140,7 @@ def adjust(df: DataFrame, value: str, references: list, least_quality: float = 0
     cor = saved(start.select("line", "c") if start is not None else lines(rows).select("line", F.lit(0.0).alias("c")))
     few, last, kept = cor.count() <= MOST_LINES, None, rows
     for _ in range(iterations):
-        cor = saved(_jacobi(rows, cor, references, damping, few))
+        cor = saved(_jacobi(rows, cor, references, damping, few), 1 if few else None)
         if phase:
             rows = saved(_rewrapped(rows, cor, few))
         if delta is not None:
