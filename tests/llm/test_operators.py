@@ -435,3 +435,15 @@ def test_topk_large_numbers(spark):
     df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [-1e17, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(1, 2**63 - 1), (3, 64 * 64), (2, -(2**63) + 1)]
+
+
+def test_packed_terms():
+    """Terms and their numbers survive packing, also large ones and documents without terms."""
+    tf = [[3, 1, 70_000], [], [1], [300, 2]]
+    terms = [[0, 5, packing.TERMS - 1], [], [packing.TERMS - 1], [7, 8]]
+    steps = [b"".join(int(x).to_bytes(3, "little") for x in np.diff(t, prepend=0)) for t in terms]
+    t, f, n = packing._unpacked(steps, [packing._few_bytes(np.array(x, np.int64)) for x in tf])
+    assert t.tolist() == sum(terms, []) and f.tolist() == sum(tf, []) and n.tolist() == [3, 0, 1, 2]
+    row = np.repeat(np.arange(4), n)
+    first, second = packing._weightiest(np.array([1.0, 4, 4, 0, 2, 3]), t, row, np.array([0, 3, 4]), 4)
+    assert first.tolist() == [5, -1, -1, 8] and second.tolist() == [packing.TERMS - 1, -1, -1, 7]
