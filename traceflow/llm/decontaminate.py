@@ -69,7 +69,7 @@ def _found(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
     each = each.withColumn("dcode", F.when(F.col("pos") + F.col("dk") <= F.col("n_words"), code(F.col("dk"), lambda i: F.get("w", F.col("pos") + i))))
     start = F.col("pos") - F.col("off")
     hit = each.join(F.broadcast(wanted), (F.col("dcode") == F.col("code")) & (F.col("dk") == F.col("k")) & (start >= 0) & (start + F.col("len") <= F.col("n_words")))
-    return hit.withColumn("start", start).where(F.concat_ws(" ", F.slice("w", F.col("start") + 1, F.col("len"))) == F.col("win")).select("key", "n_words", "start", "len", F.xxhash64("win", "len").alias("wid"))
+    return hit.withColumn("start", start).where(F.concat_ws(" ", F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len"))) == F.col("win")).select("key", "n_words", "start", "len", F.xxhash64("win", "len").alias("wid"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block: int = 500_000) -> DataFrame:
