@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceflow.functions import kernels3d as K
-from traceflow.operators import attributes, geometry, gridding, structure, ties, volumes
+from traceflow.operators import attributes, geometry, gridding, structure, surfaces, ties, volumes
 from traceflow.operators.stencil import Tile
 
 TIES = "line_a long, trc_a long, line_b long, trc_b long, zdiff double, phasediff double, ampdiff double, quality double"
@@ -140,3 +140,68 @@ def test_tie_estimate_of_a_shifted_trace(shift):
     got = spectral.tie_estimate(wave[None], np.roll(wave, shift)[None], 0.004, 0.032)
     assert abs(abs(got["zdiff"][0, 0]) - 1000 * 0.004 * shift) < 0.5 or abs(abs(got["zdiff"][0, 0]) - 0.004 * shift) < 5e-4
     assert got["quality"][0, 0] > 0.95
+
+
+def splines(u):
+    return np.array([(1 - u) ** 3, 3 * u**3 - 6 * u**2 + 4, -3 * u**3 + 3 * u**2 + 3 * u + 1, u**3]) / 6
+
+
+def brute_surface(nodes, points, levels):
+    """Multilevel B-splines with dense lattices, one point after the other."""
+    lo, hi = np.min(nodes, 0), np.max(nodes, 0)
+    r, out = np.array([p[3] for p in points]), np.zeros(len(nodes))
+    for level in range(levels):
+        n = 2**level
+
+        def weights(xy):
+            u = (np.array(xy, float) - lo) / (hi - lo) * n
+            c = np.minimum(np.floor(u), n - 1).astype(int)
+            return slice(c[0], c[0] + 4), slice(c[1], c[1] + 4), np.outer(splines(u[0] - c[0]), splines(u[1] - c[1]))
+
+        top, bottom = np.zeros((n + 3, n + 3)), np.zeros((n + 3, n + 3))
+        for (_, x, y, _), v in zip(points, r):
+            a, b, w = weights((x, y))
+            top[a, b] += w**3 * v / (w * w).sum()
+            bottom[a, b] += w * w
+        phi = np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
+        at = lambda xy: (lambda a, b, w: (w * phi[a, b]).sum())(*weights(xy))
+        r, out = r - [at(p[1:3]) for p in points], out + [at(k) for k in nodes]
+    return out, r
+
+
+def test_surfaces(spark):
+    rng = np.random.default_rng(5)
+    points = [(i, float(x), float(y), float(np.sin(x) + y)) for i, (x, y) in enumerate(rng.uniform(0, 9, (60, 2)))]
+    nodes = [(x, y) for x in range(10) for y in range(10)]
+    df = spark.createDataFrame([*points, (99, None, 1.0, 1.0), (98, 1.0, 1.0, None), (97, 50.0, 1.0, 1.0)], "id long, x double, y double, v double")
+    cells = spark.createDataFrame(nodes, "ix long, iy long")
+    surface, left = surfaces.multilevel(cells, df, 4)
+    want, rest = brute_surface(nodes, points, 4)
+    assert {(r.ix, r.iy): r.v for r in surface.collect()} == pytest.approx(dict(zip(nodes, want)), abs=1e-9)
+    assert {r.id: r.v for r in left.collect()} == pytest.approx(dict(enumerate(rest)), abs=1e-9)
+    got = {(r.ix, r.iy): r.v for r in surfaces.thin_plate(cells, df, [], 3.0, 2, 5, 4).collect()}
+    plates = 0
+    for (ix, iy), base in zip(nodes, want):
+        filled = {}
+        for d2, i in sorted(((x - ix) ** 2 + (y - iy) ** 2, i) for i, x, y, _ in points):
+            if d2 <= 9:
+                sector = min(int((np.degrees(np.arctan2(points[i][2] - iy, points[i][1] - ix)) + 180) // 45), 7)
+                filled.setdefault(sector, []).append((d2, i))
+        use = [e for v in filled.values() for e in v[:2]] if len(filled) >= 5 else []
+        if use:
+            x, y = (np.array([points[i][k] for _, i in use]) for k in (1, 2))
+            base += surfaces.plate(x, y, rest[[i for _, i in use]], np.array([d for d, _ in use]), 3.0)
+            plates += 1
+        assert got[ix, iy] == pytest.approx(base, abs=1e-9)
+    assert plates > 20
+
+
+def test_plate_passes_near_its_points():
+    x, y, v = np.array([0.0, 3, 0, 3, 1.5]), np.array([0.0, 0, 3, 3, 1.5]), np.array([1.0, 1, 1, 1, 1])
+    assert surfaces.plate(x, y, v, (x - 1) ** 2 + (y - 1) ** 2, 10.0) == pytest.approx(1.0)
+
+
+def test_surface_without_points(spark):
+    cells = spark.createDataFrame([(0, 0), (1, 1)], "ix long, iy long")
+    none = spark.createDataFrame([], "id long, x double, y double, v double")
+    assert [r.v for r in surfaces.thin_plate(cells, none, [], 3.0).collect()] == [None, None]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceflow.operators import geometry, gridding
+from traceflow.operators import geometry, gridding, surfaces
 from traceflow.sources import views
 
 from .registry import query, sql
@@ -95,6 +95,20 @@ def ltps_sectors(spark, sf_dir):
     return gridding.sectors(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 6.0).select("ix", "iy", "sector", "id")
 
 
+@query("grid_mba")
+def grid_mba(spark, sf_dir):
+    """Ten levels of B-splines at every node; nodes that points reach at once keep the spread value."""
+    points, cells = _shifted(spark, sf_dir), _cells(spark, sf_dir)
+    near = gridding.splat(points, EDGES).withColumnRenamed("v", "own")
+    surface, _ = surfaces.multilevel(cells, points, 10)
+    return _v(surface.join(near, ["ix", "iy"], "left").withColumn("v", F.coalesce("own", "v")))
+
+
+@query("grid_ltps")
+def grid_ltps(spark, sf_dir):
+    return _v(surfaces.thin_plate(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 6.0))
+
+
 @query("hull_seeds", sql("horizon2d", "SELECT line, min(trcnr) AS first_trc, arg_min(z, trcnr) AS first_z, max(trcnr) AS last_trc, arg_max(z, trcnr) AS last_z FROM horizon2d WHERE z IS NOT NULL GROUP BY line"))
 def hull_seeds(spark, sf_dir):
     return geometry.line_ends(views.horizon2d(spark, sf_dir))
