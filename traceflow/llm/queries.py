@@ -5,7 +5,7 @@ Read here, so that a module that isn't there is an error: only __spark_entry__.p
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, lines, packing, substring, suffix, tokenfile, topk, toxicity
+from . import align, decontaminate, jaccard, langid, lines, neighbours, packing, runs, substring, suffix, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_token_files": tokenfile.op9_token_files,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_neighbours": neighbours.op11_neighbours,
+    "op12_runs": runs.op12_runs,
+    "op13_align": align.op13_align,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,

@@ -63,6 +63,12 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first().b
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in a partition for each core, where it comes in fewer files than there are cores: what follows without a shuffle then uses all of them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def fan_out(total_bytes: int, each: int, least: int = 64) -> int:
     """How many groups of about `each` bytes hold total_bytes."""
     return max(least, -(-total_bytes // each))
