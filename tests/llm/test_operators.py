@@ -447,3 +447,21 @@ def test_packed_terms():
     row = np.repeat(np.arange(4), n)
     first, second = packing._weightiest(np.array([1.0, 4, 4, 0, 2, 3]), t, row, np.array([0, 3, 4]), 4)
     assert first.tolist() == [5, -1, -1, 8] and second.tolist() == [packing.TERMS - 1, -1, -1, 7]
+
+
+def test_rows_without_an_id(spark):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    item = " ".join(f"item{i}" for i in range(12))
+    schema = "doc_id long, text string, __key string"
+    rows = [(None, item, "k"), (None, "a clean text", "k"), (5, item, "k"), (5, "other clean text", "k"), (6, "clean too", "k"), (None, None, "k")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in spark.createDataFrame(rows, schema).collect() if r.text != item]))
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words, "more"])
+    rows = [(None, " ".join(words)), (9, near), (12, " ".join(words)), (None, "alone and without an id"), (None, "alone and without an id"), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(docs).collect())
+    assert got == sorted([("None", 56, "9"), ("9", 57, "9"), ("12", 56, "9"), ("None", 1, "None"), ("None", 1, "None"), ("4", 0, "4"), ("None", 0, "None")])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.one_of_each(docs).collect())
+    assert kept == sorted((str(i), str(t)) for i, t in rows if t not in (" ".join(words),))

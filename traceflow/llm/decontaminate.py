@@ -72,13 +72,23 @@ def _found(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
     return hit.withColumn("start", start).where(F.concat_ws(" ", F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len"))) == F.col("win")).select("key", "n_words", "start", "len", F.xxhash64("win", "len").alias("wid"))
 
 
+def _row_key(docs: DataFrame):
+    """What tells documents apart: an id that is never null, and the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("text"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated.
 
     docs(doc_id, text), benchmark(item_id, text). shingle: words of a prefix. block: windows whose prefixes are broadcast at
     once, of at most block * 200 bytes together; a larger benchmark is joined in several such blocks, so a broadcast never exceeds that.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("text"))
+    return _contamination(docs, benchmark, window, shingle, block).drop("key")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block: int) -> DataFrame:
+    """find_contamination's rows, with their keys."""
+    key = _row_key(docs)
     cut = docs.select(key.alias("key"), words("text").alias("w")).withColumn("n_words", F.size("w").cast("long"))
     windows = written(_windows(benchmark, window), "item_windows")
     prefixes = written(_prefixes(cut, windows, shingle, block), "prefixes")
@@ -95,7 +105,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     hit = ok.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     items = ok.select("key", "wid").distinct().join(_item_windows(benchmark, window), "wid").select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
     out = cut.select("key", "n_words").join(hit.join(items, "key"), "key", "left")
-    return out.select(F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("key", F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -105,11 +115,11 @@ def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return starts.select("item_id", F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("s"), F.col("len"))), "len").alias("wid")).distinct()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0, **options) -> DataFrame:
-    """docs without those of which more than least_share of the words are hit."""
-    key = unused(docs.columns, "__bad")
-    bad = find_contamination(docs, benchmark, **options).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0, window: int = 10, shingle: int = 5, block: int = 500_000) -> DataFrame:
+    """docs without those of which more than least_share of the words are hit. Rows of one id, or of none, are judged by their own texts."""
+    key = unused(docs.columns, "__key")
+    bad = _contamination(docs, benchmark, window, shingle, block).where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(least_share) * F.col("n_words"))).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, _row_key(docs)).join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

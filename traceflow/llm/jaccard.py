@@ -10,7 +10,8 @@ classes are compared in blocks by one matrix product each, and of a block only a
 copies nor large groups of near copies are expanded into pairs, and no link between components is lost.
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing; repeated rows and copies are one
-component; a doc_id stands for one text (of several with one doc_id, links of one are verified); null doc_ids are left out; an empty table gives no row; further columns
+component; a doc_id stands for one text (of several with one doc_id, links of one are verified); rows of a null doc_id are
+linked by their texts, and belong to the smallest doc_id that they reach, or to none; an empty table gives no row; further columns
 pass through `one_of_each`.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -31,6 +32,8 @@ BLOCK = 384
 #: Hot tokens that are told to the tasks, most frequent first. It bounds the broadcast; any order of tokens gives the same links.
 MOST_HOT = 1 << 20
 ORDERS = constants(3, 97)
+#: Ids are smaller than this; rows without one are numbered from here on.
+NO_ID = 1 << 62
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -289,19 +292,35 @@ def links(docs: DataFrame, every: DataFrame, shingle: int, percent: int) -> Data
     return written(jobs.groupBy("g", "x", "y").applyInArrow(verify, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of docs(doc_id, text): the smallest doc_id that links of at least percent/100 Jaccard similarity reach."""
+def _numbered(docs: DataFrame) -> Column:
+    """doc_id, or for a null one a number of its text that is larger than any id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID >> 1)))
+
+
+def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, with numbers for null ids."""
+    docs = docs.select(_numbered(docs).alias("doc_id"), "text")
     member, every = classes(docs, shingle, percent)
     found = components(links(docs, every, shingle, percent))
     joined = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs(doc_id, text): the smallest doc_id that links of at least percent/100 Jaccard similarity reach.
+
+    Rows of a null id are linked like any other, by their texts; component_id is null where only such rows are reached.
+    """
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return _components(docs, shingle, percent).select(known("doc_id"), "n_shingles", known("component_id"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are linked to a smaller doc_id of their component."""
-    key = unused(docs.columns, "__id")
-    gone = near_duplicates(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    """docs without those that are linked to a smaller doc_id of their component, which for rows of a null id is any doc_id; of linked
+    rows without an id one text stays. Rows that repeat an id (or have none) and a text are one document: all of them stay or go."""
+    key, own = unused(docs.columns, "__id"), unused(docs.columns, "__own")
+    gone = _components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(own, _numbered(docs)).join(gone, F.col(own) == F.col(key), "left_anti").drop(own)
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
