@@ -66,13 +66,13 @@ def inside(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
-def splat(points: DataFrame, edges: list[tuple]) -> DataFrame:
-    """ix, iy, v: points spread to their four lattice nodes with weight tanh(d2) / d2, or 1 on a node; hidden nodes get nothing."""
+def splat(points: DataFrame, edges: list[tuple] | DataFrame) -> DataFrame:
+    """ix, iy, v: points spread to their four lattice nodes with weight tanh(d2) / d2, or 1 on a node; hidden nodes get nothing. Edges in a table are joined; point ids then tell points apart."""
     corners = F.array(*[F.struct((F.floor("x") + i).cast("long").alias("ix"), (F.floor("y") + j).cast("long").alias("iy")) for i in (0, 1) for j in (0, 1)])
-    e = points.select("x", "y", "v", F.explode(corners).alias("n")).select("x", "y", "v", "n.ix", "n.iy")
+    e = points.select("id", "x", "y", "v", F.explode(corners).alias("n")).select("id", "x", "y", "v", "n.ix", "n.iy")
     dx, dy = F.col("x") - F.col("ix"), F.col("y") - F.col("iy")
     exact = (F.col("x") == F.floor("x")) & (F.col("y") == F.floor("y"))
-    e = e.withColumn("d2", dx * dx + dy * dy).where((F.col("d2") == 0) | ~exact).where(in_sight(F.col("x"), F.col("y"), F.col("ix"), F.col("iy"), edges))
+    e = _seen(e.withColumn("d2", dx * dx + dy * dy).where((F.col("d2") == 0) | ~exact), edges, 1.0)
     w = F.when(F.col("d2") == 0, 1.0).otherwise(F.tanh("d2") / F.nullif("d2", F.lit(0.0)))
     return e.withColumn("w", w).groupBy("ix", "iy").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
@@ -145,9 +145,9 @@ def idw(cells: DataFrame, points: DataFrame, edges: list[tuple] | DataFrame, rad
     return idw_nearest(cells, points, edges, most, first_radius)
 
 
-def sectors(cells: DataFrame, points: DataFrame, edges: list[tuple], radius: float, most: int = 4, least: int = 5) -> DataFrame:
+def sectors(cells: DataFrame, points: DataFrame, edges: list[tuple] | DataFrame, radius: float, most: int = 4, least: int = 5) -> DataFrame:
     """ix, iy, sector, id: per cell the nearest visible points of each 45-degree sector, of cells with enough filled sectors."""
-    pairs = near(cells, points, radius).where(in_sight(F.col("ix"), F.col("iy"), F.col("x"), F.col("y"), edges))
+    pairs = _seen(near(cells, points, radius), edges, radius)
     angle = F.degrees(F.atan2(F.col("y") - F.col("iy"), F.col("x") - F.col("ix"))) + 180
     pairs = pairs.withColumn("sector", F.least(F.floor(angle / 45), F.lit(7)).cast("int"))
     w = Window.partitionBy("ix", "iy", "sector").orderBy("d2", "id")

@@ -11,23 +11,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .lists import arrays, lengths, matrix
+
 
 def map_traces(df: DataFrame, fn: Callable[..., dict[str, np.ndarray]], inputs: list[str], outputs: list[str], keys: list[str], rows: int = 256) -> DataFrame:
-    """keys and an array column per output. fn takes a matrix [trace, z] per input, undefined samples as zero; all traces are of one length.
+    """keys and an array column per output. fn takes a matrix [trace, z] per input, undefined samples as zero; a row's inputs are of one length, rows may differ.
     What it leaves non-finite becomes null."""
     df = df.select(*keys, *inputs)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[: len(keys)]] + [f"{o} array<double>" for o in outputs])
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                got = fn(*[np.array([[0.0 if v is None or not np.isfinite(v) else v for v in row] for row in b.column(c).to_pylist()]) for c in inputs])
-                cols = []
-                for o in outputs:
-                    flat = got[o].ravel()
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, got[o].shape[1]), pa.int32()), pa.array(flat, mask=~np.isfinite(flat))))
-                yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + cols, names=[*keys, *outputs])
+            size = lengths(whole.column(inputs[0]))
+            for n in np.unique(size):
+                same = whole if (size == n).all() else whole.filter(pa.array(size == n))
+                for at in range(0, same.num_rows, rows):
+                    b = same.slice(at, rows)
+                    got = fn(*[matrix(b.column(c), 0.0) for c in inputs])
+                    yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [arrays(got[o]) for o in outputs], names=[*keys, *outputs])
 
     return df.mapInArrow(run, schema)
 

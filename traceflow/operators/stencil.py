@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lists import arrays, matrix
+
 
 class Tile:
     """samples[x, y, z] with a halo of h on each side, and which traces are there."""
@@ -69,7 +71,7 @@ def map_tiles(traces: DataFrame, fn: Callable[[Tile], dict[str, np.ndarray]], ou
         x = table.column("inl").to_numpy() - tx * side + halo
         y = table.column("crl").to_numpy() - ty * side + halo
         ids = table.column("vec_id").to_numpy()
-        values = np.array([[np.nan if v is None else v for v in row] for row in table.column(samples).to_pylist()], float)
+        values = matrix(table.column(samples))
         inside = (x >= halo) & (x < halo + side) & (y >= halo) & (y < halo + side)
         if not inside.any():
             return pa.table({"vec_id": pa.array([], pa.int64()), "inl": pa.array([], pa.int64()), "crl": pa.array([], pa.int64()), **{o: pa.array([], pa.list_(pa.float64())) for o in outputs}})
@@ -81,8 +83,7 @@ def map_tiles(traces: DataFrame, fn: Callable[[Tile], dict[str, np.ndarray]], ou
         cols = {"vec_id": ids[inside], "inl": table.column("inl").to_numpy()[inside], "crl": table.column("crl").to_numpy()[inside]}
         for o in outputs:
             v = got[o][cx, cy]
-            flat = pa.array(v.ravel(), mask=~np.isfinite(v.ravel()))
-            cols[o] = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), flat)
+            cols[o] = arrays(v)
         return pa.table(cols)
 
     schema = "vec_id long, inl long, crl long, " + ", ".join(f"{o} array<double>" for o in outputs)
