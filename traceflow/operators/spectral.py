@@ -202,20 +202,3 @@ def local_time_frequency(x: np.ndarray, dt: float, z0: float, frequency: float,
     t = (z0 + np.arange(x.shape[1])) * dt
     s, c = (np.broadcast_to(g(2 * np.pi * frequency * t), x.shape) for g in (np.sin, np.cos))
     return np.hypot(smooth_division(x, s, half), smooth_division(x, c, half))
-
-
-def reassigned(x: np.ndarray, dt: float, window: float, step: float, count: int) -> np.ndarray:
-    """[trace, frequency, z]: the recursive spectrum with each amplitude moved to the frequency that its phase turns with."""
-    n = x.shape[1]
-    f = np.arange(1, count + 1) * step
-    sigma = 6 * np.sqrt(2 / window) / (np.sqrt(2 * np.pi * dt) * 27 * np.exp(-3))
-    pole = np.exp((-sigma + 2j * np.pi * f) * dt)
-    w = np.zeros((x.shape[0], count, n), complex)
-    for t in range(n):
-        w[:, :, t] = x[:, t, None] + (pole[None, :] * w[:, :, t - 1] if t else 0)
-    turn = np.angle(w[:, :, 1:] * np.conj(w[:, :, :-1]) + 1e-30) / (2 * np.pi * dt)
-    to = np.clip(np.round(np.concatenate([turn[:, :, :1], turn], 2) / step).astype(int) - 1, 0, count - 1)
-    out = np.zeros(w.shape)
-    r, _, z = np.indices(w.shape)
-    np.add.at(out, (r, to, z), np.abs(w))
-    return out

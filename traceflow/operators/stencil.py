@@ -38,14 +38,15 @@ class Tile:
         return np.stack([np.stack([self.neighbour(i, j) for j in r], 2) for i in r], 2)
 
 
-def along_z(block: np.ndarray, kernel: list[float]) -> np.ndarray:
-    """Correlation along the last axis with an odd kernel; samples beyond the ends count as zero."""
+def along_z(block: np.ndarray, kernel: list[float], ends: str = "zero") -> np.ndarray:
+    """Correlation along the last axis with an odd kernel; samples beyond the ends count as zero, or ("reflect") repeat the trace backwards from its end sample."""
     h = len(kernel) // 2
-    padded = np.pad(block, [(0, 0)] * (block.ndim - 1) + [(h, h)])
+    pad = [(0, 0)] * (block.ndim - 1) + [(h, h)]
+    padded = np.pad(block, pad) if ends == "zero" else np.pad(block, pad, mode="symmetric")
     return sum(k * padded[..., i : i + block.shape[-1]] for i, k in enumerate(kernel) if k)
 
 
-def separable(tile: Tile, kx: list[float], ky: list[float], kz: list[float]) -> np.ndarray:
+def separable(tile: Tile, kx: list[float], ky: list[float], kz: list[float], ends: str = "zero") -> np.ndarray:
     """Correlation of each centre's surroundings with the outer product of three odd kernels; undefined samples count as zero."""
     hx, hy = len(kx) // 2, len(ky) // 2
     total = np.zeros_like(tile.centre())
@@ -53,7 +54,7 @@ def separable(tile: Tile, kx: list[float], ky: list[float], kz: list[float]) ->
         for j, b in enumerate(ky):
             if a * b:
                 total = total + a * b * np.nan_to_num(tile.neighbour(i - hx, j - hy))
-    return along_z(total, kz)
+    return along_z(total, kz, ends)
 
 
 def map_tiles(traces: DataFrame, fn: Callable[[Tile], dict[str, np.ndarray]], outputs: list[str], halo: int, side: int = 32, samples: str = "samples") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 
 from traceflow.functions import kernels3d as K
 
+from .dips import tensor_measures
 from .stencil import Tile, along_z, separable
 
 # Normals of the thirteen planar elements, in their order (the first of equal variances counts, and the element's number is a result).
@@ -18,12 +19,9 @@ def block_sum(tile: Tile, weights: np.ndarray) -> np.ndarray:
     return sum(along_z(np.nan_to_num(tile.neighbour(i - h, j - h)), weights[i, j].tolist()) for i in range(weights.shape[0]) for j in range(weights.shape[1]))
 
 
-def circular(profile: list[float]):
-    """A filter of each z slice by a radial profile (its middle is radius zero)."""
-    h = len(profile) // 2
-    r = np.hypot(*np.meshgrid(np.arange(-h, h + 1), np.arange(-h, h + 1), indexing="ij"))
-    w = np.interp(r, np.arange(h + 1), profile[h:], right=0.0)
-    w = w / w.sum()
+def circular(kind: str, size: int, cut: float):
+    """A circularly symmetric filter of each z slice: "low", "high", "band" or "reject"."""
+    w = K.circular(kind, size, cut)
     return lambda tile: {"value": block_sum(tile, w[:, :, None])}
 
 
@@ -100,14 +98,7 @@ def _smoothed(tile: Tile, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], we
 
 def _shapes(tensor: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
     w, v = K.eigen3(*tensor)
-    e1, e2, e3 = (w[..., i] for i in range(3))
-    with np.errstate(all="ignore"):
-        cline, cplane = (e2 - e3) / (e2 + e3), (e1 - e2) / e1
-        return {
-            **_dips(v[..., 0, 0], v[..., 1, 0], v[..., 2, 0]),
-            "e1": e1, "e2": e2, "e3": e3, "cline": cline, "cplane": cplane, "coherency": cplane**2, "cfault": cline * (1 - cplane),
-            "cchaos": 4 * e1 * e3 * (e1 + e2 + e3) / (e1 + e3) ** 2, "ctype": ((e1 - e2) ** 2 + (e2 - e3) ** 2 + (e1 - e3) ** 2) / (e1**2 + e2**2 + e3**2),
-        }
+    return {**_dips(v[..., 0, 0], v[..., 1, 0], v[..., 2, 0]), **tensor_measures(w[..., 0], w[..., 1], w[..., 2])}
 
 
 def tensor_attributes(tile: Tile) -> dict[str, np.ndarray]:
@@ -115,33 +106,6 @@ def tensor_attributes(tile: Tile) -> dict[str, np.ndarray]:
     return _shapes(_smoothed(tile, smooth_gradients(_wider(tile))))
 
 
-def hilbert_taps(half: int = 15) -> list[float]:
-    """An odd FIR Hilbert transformer, Hamming-windowed."""
-    n = np.arange(-half, half + 1)
-    w = np.where(n % 2 != 0, 2 / (np.pi * np.where(n == 0, 1, n)), 0.0) * np.hamming(2 * half + 1)
-    return (-w).tolist()  # a correlation's taps run the other way
-
-
-def _phase_gradients(tile: Tile) -> tuple[np.ndarray, ...]:
-    quad = Tile(along_z(np.nan_to_num(tile.samples), hilbert_taps()), tile.there, tile.h)
-    gs, gh = _gradients(tile), _gradients(quad)
-    s, q = np.nan_to_num(tile.centre()), quad.centre()
-    return tuple(s * b - q * a for a, b in zip(gs, gh)) + (s * s + q * q,)
-
-
-def phase_dips(tile: Tile) -> dict[str, np.ndarray]:
-    return _dips(*_phase_gradients(tile)[:3])
-
-
-def phase_tensor(tile: Tile) -> dict[str, np.ndarray]:
-    """Dips and planarity of the phase structure tensor, weighted by the envelope."""
-    x, y, z, power = _phase_gradients(_wider(tile))
-    with np.errstate(all="ignore"):
-        norm = np.sqrt(x * x + y * y + z * z)
-        unit = tuple(np.nan_to_num(c / norm) for c in (x, y, z))
-    return _shapes(_smoothed(tile, unit, np.sqrt(power)))
-
-
 def median_dips(kind: str, half: int = 2):
     """Dips of unit normals filtered along the trace: their mean, or the member with the least summed distance to the others."""
 
@@ -163,7 +127,7 @@ def median_dips(kind: str, half: int = 2):
 
 
 def dip_curvature(inline: Tile, crossline: Tile, inl_factor: float = 1.0, crl_factor: float = 1.0) -> dict[str, np.ndarray]:
-    """Curvatures of the surfaces whose inline and crossline dips are given, by Gauss's fundamental forms of the normals (u, v, 1).
+    """Curvatures of the surfaces whose inline and crossline dips are given, by the shape operator of the normals along (u, v, 1).
 
     A dip divided by its factor (sample step / trace distance * dip factor) is a slope in samples per trace. Derivatives are the 3-point operator's.
     """
@@ -171,7 +135,7 @@ def dip_curvature(inline: Tile, crossline: Tile, inl_factor: float = 1.0, crl_fa
     d, s = K.KROON3_D, K.KROON3_S
     slopes = {f"{n}{a}": separable(t, *k) for n, t in (("u", tu), ("v", tv)) for a, k in (("x", (d, s, s)), ("y", (s, d, s)), ("z", (s, s, d)))}
     with np.errstate(all="ignore"):
-        return K.curvatures(tu.centre(), tv.centre(), **slopes)
+        return K.shape_curvatures(tu.centre(), tv.centre(), **slopes)
 
 
 def polynomial_tensor(tile: Tile) -> dict[str, np.ndarray]:

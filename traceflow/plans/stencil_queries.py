@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceflow.functions import kernels3d as K
-from traceflow.operators import stencil, structure
+from traceflow.operators import dips, picks, stencil, structure
 from traceflow.sources import views
 
 from .registry import query, sql
@@ -113,17 +113,29 @@ def dip_true(spark, sf_dir):
     return df.select("vec_id", "z", F.round(F.hypot("a", "b"), 6).alias("dip"), F.round(F.degrees(F.atan2("b", "a")), 6).alias("azimuth"))
 
 
+def _plane_of_e1(tile):
+    """Of 3-point gradients the planarity is relative to the first eigenvalue alone."""
+    got = dips.gradient_tensor(tile)
+    return {**got, "cplane": got["planarity"]}
+
+
+_DIPS = ["crl_dip", "inl_dip", "true_dip", "azimuth"]
 for _name, _fn, _outputs, _halo in (
-    ("structure_tensor_dip", structure.tensor_attributes, ["crl_dip", "inl_dip", "cplane", "coherency"], 2),
-    ("tensor_shapes", structure.tensor_attributes, ["e1", "e2", "e3", "cline", "cfault", "cchaos", "ctype"], 2),
-    ("phase_dip", structure.phase_dips, ["crl_dip", "inl_dip"], 1),
-    ("phase_tensor_dip", structure.phase_tensor, ["crl_dip", "inl_dip", "cplane"], 2),
+    ("structure_tensor_dip", _plane_of_e1, ["crl_dip", "inl_dip", "cplane", "coherency"], 2),
+    ("structure_tensor_dip5", lambda t: dips.gradient_tensor(t, 5, inl_factor=0.5, crl_factor=0.8), [*_DIPS, "coherency"], 3),
+    ("tensor_shapes", dips.gradient_tensor, ["e1", "e2", "e3", "cline", "cplane", "cfault", "cchaos", "ctype"], 2),
+    ("phase_dip", dips.phase, ["crl_dip", "inl_dip"], 1),
+    ("phase_tensor_dip", dips.phase_tensor, ["crl_dip", "inl_dip", "cplane"], 2),
     ("vector_median_dip_l1", structure.median_dips("l1"), ["crl_dip", "inl_dip"], 1),
     ("vector_median_dip_l2", structure.median_dips("l2"), ["crl_dip", "inl_dip"], 1),
     ("vector_median_dip_x3", structure.median_dips("x3"), ["crl_dip", "inl_dip"], 1),
     ("vector_mean_dip", structure.median_dips("mean"), ["crl_dip", "inl_dip"], 1),
+    ("filtered_gradient_dip", lambda t: dips.filtered_gradient(t, "l2", half_z=1), _DIPS, 2),
+    ("filtered_phase_dip", lambda t: dips.filtered_phase(t, "mean", half_z=1), _DIPS, 2),
+    ("phase_tensor_dip_even", lambda t: dips.phase_tensor(t, weighted=False), _DIPS, 2),
+    ("tensor_dip", lambda t: dips.rank_one(*dips.gradient(t, K.KROON3_D, K.KROON3_S)), _DIPS, 1),
     ("lpa_tensor", structure.polynomial_tensor, ["e1", "e2", "e3", "crl_dip", "inl_dip"], 1),
-    ("kk_circular_lowpass", structure.circular(K.lowpass(2, 0.5)), ["value"], 2),
+    ("adaptive_equalisation", lambda t: {"value": picks.adaptive_equalisation(t, 0.004, 1, 21, 0.1)}, ["value"], 1),
 ):
 
     def _run(spark, sf_dir, fn=_fn, outputs=_outputs, halo=_halo):
@@ -131,3 +143,37 @@ for _name, _fn, _outputs, _halo in (
 
     query(_name)(_run)
 
+
+
+# The circular kernels of 7 x 7 taps at half the Nyquist frequency (low-passes at 0.5, 0.4 and 0.6), by offsets in falling order; from the integral of the Bessel function.
+CIRCULAR = """low(a, b, w5, w4, w6) AS (VALUES (0, 0, 1.9483926690513226e-1, 1.2581189479687160e-1, 2.8967823166165119e-1),
+ (1, 0, 1.2424453868991377e-1, 9.0618305009006556e-2, 1.5791251080414578e-1),
+ (1, 1, 7.5708352326634920e-2, 6.4225118730375633e-2, 7.6680505444005273e-2),
+ (2, 0, 2.1181961226601400e-2, 2.9662005885158989e-2, 2.3122348813064421e-3),
+ (2, 1, 7.7739282398598024e-3, 1.9293598288326191e-2, -1.0474316681975022e-2),
+ (2, 2, -6.7960497803120903e-3, 2.9207434959917116e-3, -1.3540562846261775e-2),
+ (3, 0, -6.8597525573729813e-3, 4.9295546950865949e-4, -9.9310512350804445e-3),
+ (3, 1, -6.6090312674094076e-3, -9.2328311459118821e-4, -7.1889568512086433e-3),
+ (3, 2, -3.9905401422433541e-3, -2.3478459146358860e-3, -9.9931613516423970e-4),
+ (3, 3, -5.3758029216217581e-4, -1.4170408074575661e-3, 1.4719843731677686e-3)),
+o AS (SELECT i, j, CASE WHEN i = 0 AND j = 0 THEN 1.0 ELSE 0.0 END AS one, w5, w4, w6 FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) JOIN low ON a = greatest(abs(i), abs(j)) AND b = least(abs(i), abs(j)))
+SELECT c.vec_id, c.z, round(sum(CAST({w} AS DOUBLE) * coalesce(n.amp, c.amp)), 6) AS value FROM cube c CROSS JOIN o LEFT JOIN cube n ON n.inl = c.inl + o.i AND n.crl = c.crl + o.j AND n.z = c.z GROUP BY c.vec_id, c.z"""
+for _name, _kind, _weight in (("lowpass", "low", "w5"), ("highpass", "high", "(one - w5)"), ("bandreject", "reject", "(w4 + one - w6)"), ("bandpass", "band", "(w6 - w4)")):
+
+    def _circular(spark, sf_dir, kind=_kind):
+        return _values(stencil.map_tiles(views.traces(spark, sf_dir), structure.circular(kind, 7, 0.5), ["value"], 3), "value")
+
+    query(f"kk_circular_{_name}", sql("cube", CIRCULAR.format(w=_weight)))(_circular)
+
+
+@query("filtered_dips")
+def filtered_dips(spark, sf_dir):
+    """The L1 vector median of given dips."""
+    t = views.intercept_gradient(spark, sf_dir).select("vec_id", "inl", "crl", F.concat("a", "b").alias("samples"))
+
+    def run(tile):
+        n = tile.samples.shape[-1] // 2
+        a, b = (stencil.Tile(tile.samples[..., p], tile.there, tile.h) for p in (slice(0, n), slice(n, 2 * n)))
+        return dips.filtered_dips(a, b, "l1", 1, 1, 0.5, 0.8)
+
+    return _values(stencil.map_tiles(t, run, _DIPS, 1), *_DIPS)

@@ -97,10 +97,15 @@ p AS (SELECT c.vec_id, c.z, any_value(c.u) AS u, any_value(c.v) AS v, sum(kx.d *
   FROM t c CROSS JOIN k kx CROSS JOIN k ky LEFT JOIN t n ON n.inl = c.inl + kx.o AND n.crl = c.crl + ky.o AND n.z = c.z GROUP BY c.vec_id, c.z),
 g AS (SELECT p.vec_id, p.z, any_value(p.u) AS u, any_value(p.v) AS v, sum(k.s * q.udx) AS ux, sum(k.s * q.udy) AS uy, sum(k.d * q.us) AS uz, sum(k.s * q.vdx) AS vx, sum(k.s * q.vdy) AS vy, sum(k.d * q.vs) AS vz
   FROM p CROSS JOIN k JOIN p q ON q.vec_id = p.vec_id AND q.z = p.z + k.o GROUP BY p.vec_id, p.z),
-f AS (SELECT *, u * u + v * v AS uv2, v * v + 1 AS vw2, sqrt(u * u + v * v + 1) AS s FROM g),
-m AS (SELECT vec_id, z, -u / (sqrt(uv2) * sqrt(vw2)) AS ff, -(-u * v * vx + u * u * vy + v * v * ux - u * v * uy) / (uv2 * s) AS d0, -(v * (uy + vx) - 2 * u * vy - v * v * uz + u * v * vz) / (2 * sqrt(uv2) * sqrt(vw2) * s) AS d1, -(vy - v * vz) / (vw2 * s) AS d2 FROM f),
-h AS (SELECT vec_id, z, (d2 - 2 * ff * d1 + d0) / (2 * (1 - ff * ff)) AS mean, (d0 * d2 - d1 * d1) / (1 - ff * ff) AS gauss FROM m)
-SELECT vec_id, z, round(mean, 4) AS mean, round(gauss, 4) AS gauss FROM h"""
+-- unit normals n along (u, v, 1), their derivatives J, and b = J n; then the invariants of J seen across n: mean = - div n / 2
+f AS (SELECT *, sqrt(u * u + v * v + 1) AS s FROM g),
+q AS (SELECT *, u / s AS n1, v / s AS n2, 1 / s AS n3, (u * ux + v * vx) / s AS qx, (u * uy + v * vy) / s AS qy, (u * uz + v * vz) / s AS qz FROM f),
+j AS (SELECT *, (ux - n1 * qx) / s AS j11, (uy - n1 * qy) / s AS j12, (uz - n1 * qz) / s AS j13, (vx - n2 * qx) / s AS j21, (vy - n2 * qy) / s AS j22, (vz - n2 * qz) / s AS j23, -n3 * qx / s AS j31, -n3 * qy / s AS j32, -n3 * qz / s AS j33 FROM q),
+i AS (SELECT vec_id, z, j11 + j22 + j33 AS div, j11 * j11 + j22 * j22 + j33 * j33 + 2 * (j12 * j21 + j13 * j31 + j23 * j32) AS square,
+  j11 * j11 + j12 * j12 + j13 * j13 + j21 * j21 + j22 * j22 + j23 * j23 + j31 * j31 + j32 * j32 + j33 * j33 AS norm,
+  (j11 * n1 + j12 * n2 + j13 * n3) ^ 2 + (j21 * n1 + j22 * n2 + j23 * n3) ^ 2 + (j31 * n1 + j32 * n2 + j33 * n3) ^ 2 AS along FROM j),
+h AS (SELECT vec_id, z, -div / 2 AS mean, (div * div - (square + norm - along) / 2) / 2 AS gauss FROM i)
+SELECT vec_id, z, round(mean, 4) AS mean, round(gauss, 4) AS gauss, round(mean - sqrt(greatest(mean * mean - gauss, 0)), 4) AS kmin, round(mean + sqrt(greatest(mean * mean - gauss, 0)), 4) AS kmax FROM h"""
 CURVED = attributes.register("dip_curvature", attributes.Attribute(("inline", "crossline"), ("mean", "gauss", "kmin", "kmax", "most_pos", "most_neg"), lambda t, p: structure.dip_curvature(t["inline"], t["crossline"], p["inl_factor"], p["crl_factor"]), 1, params={"inl_factor": attributes.Param(float, 1.0), "crl_factor": attributes.Param(float, 1.0)}))
 
 
@@ -109,11 +114,16 @@ def _curved(spark, sf_dir):
     return attributes.compute(CURVED, {"inline": a, "crossline": b}, inl_factor=0.5, crl_factor=0.8)
 
 
-@query("curvature_from_dips", sql("cube_ig", CURVATURE))
+@query("curvature_from_dips", sql("cube_ig", CURVATURE.rsplit(", round(mean - sqrt", 1)[0] + " FROM h"))
 def curvature_from_dips(spark, sf_dir):
     return _out(_curved(spark, sf_dir), "mean", "gauss", digits=4)
 
 
+@query("curvature_extremes", sql("cube_ig", CURVATURE))
+def curvature_extremes(spark, sf_dir):
+    return _out(_curved(spark, sf_dir), "mean", "gauss", "kmin", "kmax", digits=4)
+
+
 @query("curvature6")
 def curvature6(spark, sf_dir):
     return _out(_curved(spark, sf_dir), *CURVED.outputs)
