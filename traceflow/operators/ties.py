@@ -216,12 +216,6 @@ def horizon_ties(horizon: DataFrame, crossings: DataFrame, factor: float = 1.0)
     return j.select("line_a", "trc_a", "line_b", "trc_b", F.coalesce((F.col("z_b") - F.col("z_a")) * factor, F.lit(0.0)).alias("zdiff"))
 
 
-def trace_pairs(crossings: DataFrame, traces: DataFrame) -> DataFrame:
-    """crossings with both traces' samples a and b: two equi-joins with traces(line, trcnr, samples)."""
-    a, b = (traces.select(F.col("line").alias(f"line_{s}"), F.col("trcnr").alias(f"trc_{s}"), F.col("samples").alias(s)) for s in "ab")
-    return crossings.join(a, ["line_a", "trc_a"]).join(b, ["line_b", "trc_b"])
-
-
 def piece_means(df: DataFrame, key: str) -> DataFrame:
     """Per piece: mean zdiff, amplitude and quality, and the circular mean of the phases; null where no trace succeeded."""
     p = F.radians("phasediff")

@@ -32,7 +32,6 @@ _run("ltf", lambda x: {f"f{k}": spectral.local_time_frequency(x, DT, 0, 20.0 * k
 _run("signed_envelope", lambda x: {"value": picks.signed_envelope(x)}, ["value"])
 _run("wavelet_peaks", lambda x: {"value": picks.wavelet_peaks(x, list(range(1, 9)))}, ["value"])
 _run("warp_velocity", lambda a, b: {"value": picks.warp_velocity(a, b, band=12)}, ["value"], views.intercept_gradient, ("a", "b"))
-_run("mistie_apply", lambda x: {"value": spectral.corrected(x, 0.006, 40.0, 1.2, DT)}, ["value"])
 _run("mistie_cc", lambda a, b: spectral.tie_estimate(a, b, DT, 8 * DT), ["zdiff", "phasediff", "ampdiff", "quality"], views.intercept_gradient, ("a", "b"))
 _run("local_xcorr", lambda a, b: spectral.local_correlation(a, b, 5, 3), ["shift", "quality"], views.intercept_gradient, ("a", "b"))
 _run("triangle_smooth", lambda x: {"value": spectral.triangle_smooth(x, 4)}, ["value"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceflow.operators import spectral, ties
+from traceflow.operators import estimation, ties
 from traceflow.sources import views
 
 from .registry import query, sql
@@ -107,10 +107,10 @@ def mistie_horizon_2d(spark, sf_dir):
 
 @query("mistie_estimate_2d")
 def mistie_estimate_2d(spark, sf_dir):
-    """Time, phase and amplitude differences at all crossings of 2-D lines, from the traces there."""
-    pairs = ties.trace_pairs(ties.line_crossings(views.stations2d(spark, sf_dir)), views.line_traces(spark, sf_dir))
-    got = spectral.map_traces(pairs, lambda a, b: spectral.tie_estimate(a, b, 0.004, 8 * 0.004), ["a", "b"], VALUES, COLS.split(", "))
-    return got.select(*COLS.split(", "), *[F.round(F.get(v, F.lit(0)), 6).alias(v) for v in VALUES])
+    """Time, phase and amplitude differences at all crossings of 2-D lines, from the traces there; crossings without a trace keep 0, 0, 1, 0."""
+    traces = views.line_traces(spark, sf_dir).select("line", "trcnr", F.lit(0.0).alias("z0"), F.lit(0.004).alias("step"), "samples")
+    got = estimation.lines_by_traces(ties.line_crossings(views.stations2d(spark, sf_dir)), traces, (0.0, 0.252), 8 * 0.004)
+    return got.select(*COLS.split(", "), *[F.round(v, 6).alias(v) for v in VALUES])
 
 
 @query("mistie_2d3d_avg", sql("misties", "SELECT line_a, round(avg(zdiff), 6) AS zdiff, round(degrees(atan2(avg(sin(radians(phasediff))), avg(cos(radians(phasediff))))), 6) AS phasediff, round(avg(ampdiff), 6) AS ampdiff, round(avg(quality), 6) AS quality FROM misties GROUP BY line_a"))
