@@ -465,3 +465,19 @@ def test_rows_without_an_id(spark):
     assert got == sorted([("None", 56, "9"), ("9", 57, "9"), ("12", 56, "9"), ("None", 1, "None"), ("None", 1, "None"), ("4", 0, "4"), ("None", 0, "None")])
     kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.one_of_each(docs).collect())
     assert kept == sorted((str(i), str(t)) for i, t in rows if t not in (" ".join(words),))
+
+
+def test_packing_of_many_texts_without_terms(spark):
+    """A hundred thousand empty texts pass in a moment, each its own seed, in order."""
+    n = 100_000
+    terms = [np.zeros(0, np.int64)] * n + [np.array([3, 5]), np.array([3, 7])]
+    size = np.array([len(t) for t in terms])
+    index = packing.BM25.__new__(packing.BM25)
+    index.n, index.row_first, index.terms_of = len(terms), np.append(0, np.cumsum(size)), np.concatenate(terms)
+
+    def scores(seed, query_terms=None):
+        return np.append(np.zeros(n), [1.0, 1.0])
+
+    index.scores = scores
+    order = packing.retrieval_order(index, np.ones(len(terms), np.int64), 2048)
+    assert order == list(range(n + 2))
