@@ -103,8 +103,10 @@ def desa(a: Column, dt: float) -> dict[str, Column]:
 
 
 def zero_crossing_block(a: Column) -> Column:
-    """Each lobe between sign changes replaced by its extreme sample (gaps and islands along the array)."""
-    sign = lambda x: F.when(x < 0, -1).otherwise(1)
-    # the lobe's number of each sample, then the extreme of each lobe
-    lobes = F.aggregate(a, F.array().cast("array<array<double>>"), lambda acc, x: F.when((F.size(acc) > 0) & (sign(F.get(F.element_at(acc, -1), F.lit(0))) == sign(x)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(x))))).otherwise(F.concat(acc, F.array(F.array(x)))))
-    return F.flatten(F.transform(lobes, lambda g: F.transform(g, lambda _: F.when(F.get(g, F.lit(0)) < 0, F.array_min(g)).otherwise(F.array_max(g)))))
+    """Each lobe between sign changes replaced by its extreme sample (gaps and islands along the array): where lobes begin, then one slice a lobe."""
+    negative = lambda i: F.coalesce(F.get(a, i) < 0, F.lit(False))
+    starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (negative(i) != negative(F.greatest(i - 1, F.lit(0)))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(a)))
+    lobe = lambda p: F.slice(a, p["s"] + 1, p["e"] - p["s"])
+    filled = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: F.array_repeat(F.when(negative(p["s"]), F.array_min(lobe(p))).otherwise(F.array_max(lobe(p))), p["e"] - p["s"]))
+    return F.when(F.size(a) > 0, F.flatten(filled)).otherwise(a)

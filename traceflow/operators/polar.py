@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceflow.functions import arrays as A
 
+from .stencil import Tile, along_z, map_tiles
+
 
 def _energy(a2: Column, b2: Column, ab: Column) -> Column:
     return F.sqrt(4 * ab * ab + (a2 - b2) * (a2 - b2))
@@ -33,19 +36,24 @@ def event_sums(df: DataFrame, half: int) -> DataFrame:
 
 
 def background_sums(df: DataFrame, stepout: int, half: int) -> DataFrame:
-    """vec_id, inl, crl, a2, b2, ab2 over the traces within stepout of each trace (a missing neighbour counts as the centre) and the window.
+    """vec_id, inl, crl, z, a2, b2, ab2 over the traces within stepout of each trace (a missing neighbour counts as the centre) and the window.
 
-    A trace's products are summed along the trace first; each then goes to the positions around it, and a position
-    that gets fewer than all adds its own for the rest. One shuffle, with sums combined before it.
+    Traces go to tiles with a halo: one shuffle of little more than the data. Products of a trace are made once, summed over neighbours, then over the window.
     """
-    own = event_sums(df, half).select("vec_id", "inl", "crl", "a2", "b2", "ab2")
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-stepout, stepout + 1) for j in range(-stepout, stepout + 1)])
-    sent = own.select(F.explode(offsets).alias("o"), "*").select((F.col("inl") + F.col("o.i")).alias("inl"), (F.col("crl") + F.col("o.j")).alias("crl"), F.posexplode(F.arrays_zip("a2", "b2", "ab2")).alias("z", "s"))
-    around = sent.groupBy("inl", "crl", "z").agg(F.count("*").alias("n"), *[F.sum(f"s.{c}").alias(f"{c}_around") for c in ("a2", "b2", "ab2")])
-    centre = own.select("vec_id", "inl", "crl", F.posexplode(F.arrays_zip("a2", "b2", "ab2")).alias("z", "c"))
-    lacking = F.lit((2 * stepout + 1) ** 2) - F.col("n")
-    joined = centre.join(around, ["inl", "crl", "z"])
-    return joined.select("vec_id", "inl", "crl", F.col("z").cast("long").alias("z"), *[(F.col(f"{c}_around") + lacking * F.col(f"c.{c}")).alias(c) for c in ("a2", "b2", "ab2")])
+    names = ["a2", "b2", "ab2"]
+
+    def run(tile: Tile) -> dict[str, np.ndarray]:
+        n = tile.samples.shape[-1] // 2
+        a, b = np.nan_to_num(tile.samples[..., :n]), np.nan_to_num(tile.samples[..., n:])
+        r = range(-stepout, stepout + 1)
+        out = {}
+        for name, p in zip(names, (a * a, b * b, a * b)):
+            own = Tile(p, tile.there, tile.h)
+            out[name] = along_z(sum(own.neighbour(i, j) for i in r for j in r), [1.0] * (2 * half + 1))
+        return out
+
+    both = map_tiles(df.withColumn("__ab", F.concat("a", "b")), run, names, stepout, samples="__ab")
+    return both.select("vec_id", "inl", "crl", F.posexplode(F.arrays_zip(*names)).alias("z", "s")).select("vec_id", "inl", "crl", F.col("z").cast("long").alias("z"), *[F.col(f"s.{c}").alias(c) for c in names])
 
 
 def strength(half: int, a: str = "a", b: str = "b") -> Column:

@@ -6,6 +6,9 @@ reach its band of y; crossings to its right are counted, an odd number is inside
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import ClassVar
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,51 @@ def scope_lattice(points: DataFrame, scope: str, step: int = 1, ranges: tuple[in
     return rows.select("ix", F.explode(F.sequence("y0", "y1", s)).alias("iy"))
 
 
+@dataclass(frozen=True)
+class GridConfig:
+    """How a grid is made, as it is stored: `from_params` reads a flat map of names and texts, `params` gives it back. Tables (crop, faults, horizon) stand under their names."""
+
+    method: str = "idw"
+    scope: str = "box"
+    step: int = 1
+    radius: float = 8000.0
+    most: int | None = 50
+    levels: int = 10
+    ranges: tuple[int, int, int, int] | None = None
+    horizon: str | None = None
+    crop: str | None = None
+    faults: tuple[str, ...] = ()
+
+    #: The names of the stored form.
+    NAMES: ClassVar[dict[str, str]] = {"method": "Grid.Method", "scope": "Grid.Scope", "step": "Grid.Step", "radius": "Grid.Radius", "most": "Grid.Points", "levels": "Grid.Levels", "ranges": "Grid.Ranges", "horizon": "Grid.Horizon", "crop": "Grid.Crop"}
+
+    @classmethod
+    def from_params(cls, params: dict[str, str]) -> GridConfig:
+        """Missing names keep their defaults; an unknown method or scope is an error."""
+        kinds = {"step": int, "radius": float, "levels": int, "most": lambda v: int(v) or None, "ranges": lambda v: tuple(int(x) for x in v.split("`"))}
+        got = {f: kinds.get(f, str)(params[n]) for f, n in cls.NAMES.items() if params.get(n, "") != ""}
+        got["faults"] = tuple(params[f"Grid.Fault.{i}"] for i in range(int(params.get("Grid.Faults", 0))))
+        made = cls(**got)
+        if made.method not in METHODS or made.scope not in SCOPES:
+            raise ValueError(f"method is one of {METHODS}, scope one of {SCOPES}")
+        return made
+
+    def params(self) -> dict[str, str]:
+        text = lambda v: "`".join(map(str, v)) if isinstance(v, tuple) else str(v)
+        out = {n: text(getattr(self, f)) for f, n in self.NAMES.items() if getattr(self, f) is not None}
+        if self.most is None:
+            out[self.NAMES["most"]] = "0"
+        return {**out, "Grid.Faults": str(len(self.faults)), **{f"Grid.Fault.{i}": f for i, f in enumerate(self.faults)}}
+
+    def run(self, points: DataFrame, tables: dict[str, DataFrame], edges: DataFrame | list = ()) -> DataFrame:
+        """The grid of points, with the tables that the names stand for."""
+        faults = None
+        for name in self.faults:
+            faults = tables[name] if faults is None else faults.unionByName(tables[name])
+        of = lambda name: tables[name] if name else None
+        return grid(points, self.method, self.scope, edges, of(self.crop), faults, self.step, self.ranges, of(self.horizon), self.radius, self.most, self.levels)
+
+
 def grid(points: DataFrame, method: str, scope: str = "box", edges: DataFrame | list = (), crop: DataFrame | None = None, faults: DataFrame | None = None, step: int = 1, ranges=None, horizon=None, radius: float = 8000.0, most: int | None = 50, levels: int = 10, cell: float = 16.0) -> DataFrame:
     """ix, iy, v: points(id, x, y, v) gridded by one of METHODS over one of SCOPES, within crop and hull and outside closed faults.
 
@@ -111,9 +159,9 @@ def grid(points: DataFrame, method: str, scope: str = "box", edges: DataFrame |
     elif method == "idw":
         got = gridding.idw(cells, points, edges, radius, most)
     elif method == "ltps":
-        got = surfaces.thin_plate(cells, points, edges, radius)
+        got = surfaces.thin_plate(cells, points, edges, radius, linear=True, tol=1e-8)
     else:
         own = gridding.splat(points, edges).withColumnRenamed("v", "__own")
-        surface, _ = surfaces.multilevel(cells, points, levels)
+        surface, _ = surfaces.multilevel(cells, points, levels, linear=True, tol=1e-8)
         got = surface.join(own, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("__own", "v").alias("v"))
     return cells.join(got, ["ix", "iy"], "left").select("ix", "iy", "v")

@@ -24,4 +24,15 @@ def saved(df: DataFrame, files: int | None = None) -> DataFrame:
         folder = _local_folder()
     path = f"{folder.rstrip('/')}/traceflow-saved/{uuid.uuid4().hex}"
     (df if files is None else df.coalesce(files)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.saved_at = path
+    return got
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what `saved` wrote for df; nothing that isn't saved yet may read it."""
+    path = getattr(df, "saved_at", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -172,29 +172,42 @@ def triangle_smooth(x: np.ndarray, half: int) -> np.ndarray:
     return sum(k * p[:, i : i + x.shape[1]] for i, k in enumerate(w))
 
 
-def smooth_division(num: np.ndarray, den: np.ndarray, half: int, iterations: int = 100, tol: float = 1e-6) -> np.ndarray:
-    """The smooth ratio r with den * r = num in the least-squares sense, by conjugate gradients shaped by a triangle smoother."""
-    scale = np.maximum(np.sqrt((den * den).mean(1, keepdims=True)), 1e-30)
-    d, u = den / scale, num / scale
+def smooth_division(num: np.ndarray, den: np.ndarray, half: int, iterations: int = 100, tol: float = 1e-6, damping: float = 1.0) -> np.ndarray:
+    """The smooth ratio r with den * r = num, by conjugate gradients with shaping regularisation: r is a triangle smoothing of what is sought.
+
+    A trace ends when its gradient, squared, has fallen below tol of the first or of the one before, or after `iterations`.
+    """
     shape = lambda v: triangle_smooth(v, half)
-    model, p = np.zeros_like(u), np.zeros_like(u)
-    residual = u - d * shape(p)
-    direction, last = None, None
-    for _ in range(iterations):
-        gradient = shape(d * residual) - 1e-6 * p
-        size = (gradient * gradient).sum(1, keepdims=True)
-        if last is None:
-            direction, first = gradient, np.maximum(size, 1e-30)
+    dot = lambda a, b: (a * b).sum(1)
+    sought, ratio, left = np.zeros_like(num), np.zeros_like(num), num.copy()
+    way = [np.zeros_like(num) for _ in range(3)]  # the direction, of what is sought, of the ratio and of the data
+    first = last = None
+    going = np.flatnonzero(dot(num, num) > 0)
+    for step in range(iterations):
+        if not len(going):
+            break
+        d = den[going]
+        down = shape(d * left[going] + damping * ratio[going]) - damping * sought[going]
+        smooth = shape(down)
+        size = dot(down, down)
+        if step == 0:
+            first, share = size.copy(), np.zeros(len(going))
         else:
-            direction = gradient + size / np.maximum(last, 1e-30) * direction
+            with np.errstate(all="ignore"):
+                share = np.nan_to_num(size / last)
+                on = ~((share < tol) | (np.nan_to_num(size / first) < tol))
+            going, first = going[on], first[on]
+            down, smooth, size, share, d = down[on], smooth[on], size[on], share[on], d[on]
+        for held, new in zip(way, (down, smooth, d * smooth)):
+            held[going] = new + share[:, None] * held[going]
+        s, m, r = (w[going] for w in way)
+        with np.errstate(all="ignore"):
+            by = np.nan_to_num(size / (dot(r, r) + damping * (dot(s, s) - dot(m, m))))[:, None]
+        sought[going] += by * s
+        ratio[going] += by * m
+        left[going] -= by * r
         last = size
-        if (size / first).max() < tol**2:
-            break
-        ahead = d * shape(direction)
-        alpha = size / np.maximum((ahead * ahead).sum(1, keepdims=True) + 1e-6 * (direction * direction).sum(1, keepdims=True), 1e-30)
-        p, residual = p + alpha * direction, residual - alpha * ahead
-    model = shape(p)
-    return model
+    return ratio
 
 
 def local_time_frequency(x: np.ndarray, dt: float, z0: float, frequency: float, half: int) -> np.ndarray:

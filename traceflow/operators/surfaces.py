@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gridding import sectors
-from .saved import saved
+from .saved import discard, saved
 
 #: Levels of up to so many cells in all are broadcast (17 numbers a cell), larger ones are joined by shuffle.
 MOST_BROADCAST = 4**6
@@ -55,11 +55,23 @@ def _evaluated(placed: DataFrame, patches: DataFrame, cells: int) -> DataFrame:
     return joined.withColumn("__f", F.coalesce(value, F.lit(0.0))).drop("__ci", "__cj", "__s", "__t", "__p")
 
 
-def multilevel(nodes: DataFrame, points: DataFrame, levels: int = 10) -> tuple[DataFrame, DataFrame]:
+def plane(points: DataFrame, value: str = "r") -> tuple[float, float, float]:
+    """c, a, b of the least-squares plane c + a x + b y, by one aggregation; of points on one line (or a single one) the flattest of the best."""
+    middle = points.agg(*[F.avg(c).alias(c) for c in ("x", "y", value)]).first()
+    if middle[0] is None:
+        return 0.0, 0.0, 0.0
+    x, y, v = (F.col(c) - m for c, m in zip(("x", "y", value), middle))
+    xx, xy, yy, xv, yv = points.agg(F.sum(x * x), F.sum(x * y), F.sum(y * y), F.sum(x * v), F.sum(y * v)).first()
+    a, b = np.linalg.lstsq(np.array([[xx, xy], [xy, yy]]), np.array([xv, yv]), rcond=1e-12)[0]
+    return float(middle[2] - a * middle[0] - b * middle[1]), float(a), float(b)
+
+
+def multilevel(nodes: DataFrame, points: DataFrame, levels: int = 10, linear: bool = False, tol: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Multilevel B-spline approximation from 2 x 2 control points (one cell) on, each level halving the cells.
 
     Gives (ix, iy, v) for every node, and the points as (id, x, y, v) with what the surface leaves of v. Points beyond the nodes' bounding box, or with a null in x, y or v, take no
-    part. Without points (or nodes) every v is null.
+    part. Without points (or nodes) every v is null. linear: start from the least-squares plane instead of zero. tol: stop when the plane or a level leaves no more than that at any point.
+    Of the points only the last level's version stays in the shared folder.
     """
     box = nodes.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1")).first()
     left = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("r")).dropna(subset=["x", "y", "r"])
@@ -68,12 +80,27 @@ def multilevel(nodes: DataFrame, points: DataFrame, levels: int = 10) -> tuple[D
         left = saved(left.where(F.col("x").between(box.x0, box.x1) & F.col("y").between(box.y0, box.y1)))
     if box.x0 is None or left.isEmpty():
         return out.withColumn("v", F.lit(None).cast("double")), left.where(F.lit(False)).withColumnRenamed("r", "v")
+
+    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        new = saved(new)
+        discard(old)
+        return new
+
+    def near_enough() -> bool:
+        return tol is not None and left.agg(F.max(F.abs("r")).alias("m")).first().m <= tol
+
     out = out.withColumn("v", F.lit(0.0))
+    if linear:
+        c, a, b = plane(left)
+        left = replaced(left, left.withColumn("r", F.col("r") - (c + a * F.col("x") + b * F.col("y"))))
+        out = out.withColumn("v", c + a * F.col("ix") + b * F.col("iy"))
     for level in range(levels):
+        if near_enough():
+            break
         cells = 2**level
         at = _placed(left, "x", "y", box, cells)
         patches = saved(_patches(at, cells), 1 if cells * cells <= MOST_BROADCAST else None)
-        left = saved(_evaluated(at, patches, cells).withColumn("r", F.col("r") - F.col("__f")).drop("__f"))
+        left = replaced(left, _evaluated(at, patches, cells).withColumn("r", F.col("r") - F.col("__f")).drop("__f"))
         out = _evaluated(_placed(out, "ix", "iy", box, cells), patches, cells).withColumn("v", F.col("v") + F.col("__f")).drop("__f")
     return out.select("ix", "iy", "v"), left.select("id", "x", "y", F.col("r").alias("v"))
 
@@ -90,12 +117,12 @@ def plate(x: np.ndarray, y: np.ndarray, v: np.ndarray, d2: np.ndarray, radius: f
     return float(w @ _basis(d2 / radius**2) + v.mean())
 
 
-def thin_plate(nodes: DataFrame, points: DataFrame, edges: list[tuple], radius: float, most: int = 4, least: int = 5, levels: int = 8) -> DataFrame:
-    """ix, iy, v: the multilevel surface, plus at nodes with enough filled sectors a thin plate through what it leaves at the chosen points.
+def thin_plate(nodes: DataFrame, points: DataFrame, edges: list[tuple] | DataFrame, radius: float, most: int = 4, least: int = 5, levels: int = 8, linear: bool = False, tol: float | None = None) -> DataFrame:
+    """ix, iy, v: the multilevel surface (linear, tol: as there), plus at nodes with enough filled sectors a thin plate through what it leaves at the chosen points.
 
     At most 8 x `most` visible points of 8 sectors rule a node, so the solve of a node is bounded. Nodes with fewer than `least` filled sectors keep the surface.
     """
-    surface, left = multilevel(nodes, points, levels)
+    surface, left = multilevel(nodes, points, levels, linear, tol)
     near = sectors(nodes, left, edges, radius, most, least)
     chosen = near.groupBy("ix", "iy").agg(F.sort_array(F.collect_list(F.struct("d2", "id", "x", "y", "v"))).alias("p"))
     fields = ("x", "y", "v", "d2")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gridding import segments_cross
-from .saved import saved
+from .saved import discard, saved
 
 
 def with_key(df: DataFrame) -> DataFrame:
@@ -134,21 +134,24 @@ def adjust(df: DataFrame, value: str, references: list, least_quality: float = 0
 
     value: the difference's column (a logarithm for amplitudes). delta: stop when the RMS changes by no more; this takes an action
     a step. start: line, c to start with, else all lines of good ties start at 0. Each step's corrections (one row a line) are checkpointed,
-    so a step's plan doesn't hold those before; so are phases that were turned.
+    so a step's plan doesn't hold those before; so are phases that were turned. Only the last step's corrections stay in the shared folder.
     """
     rows = good(df, least_quality).select("line_a", "line_b", F.col(value).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)  # every step reads the ties
     cor = saved(start.select("line", "c") if start is not None else lines(rows).select("line", F.lit(0.0).alias("c")))
     few, last, kept = cor.count() <= MOST_LINES, None, rows
     for _ in range(iterations):
-        cor = saved(_jacobi(rows, cor, references, damping, few), 1 if few else None)
+        before, cor = cor, saved(_jacobi(rows, cor, references, damping, few), 1 if few else None)
+        discard(before)
         if phase:
-            rows = saved(_rewrapped(rows, cor, few))
+            before, rows = rows, saved(_rewrapped(rows, cor, few))
+            discard(before)
         if delta is not None:
             now = rms(rows, cor, few)
             if now is None or (last is not None and abs(last - now) <= delta):
                 break
             last = now
     kept.unpersist()
+    discard(rows)
     return cor
 
 

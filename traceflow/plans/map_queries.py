@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceflow.functions import encoding
 from traceflow.operators import geometry, gridding, surfaces
 from traceflow.sources import views
 
@@ -97,16 +98,16 @@ def ltps_sectors(spark, sf_dir):
 
 @query("grid_mba")
 def grid_mba(spark, sf_dir):
-    """Ten levels of B-splines at every node; nodes that points reach at once keep the spread value."""
+    """A plane and up to ten levels of B-splines at every node; nodes that points reach at once keep the spread value."""
     points, cells = _shifted(spark, sf_dir), _cells(spark, sf_dir)
     near = gridding.splat(points, EDGES).withColumnRenamed("v", "own")
-    surface, _ = surfaces.multilevel(cells, points, 10)
+    surface, _ = surfaces.multilevel(cells, points, 10, linear=True, tol=1e-8)
     return _v(surface.join(near, ["ix", "iy"], "left").withColumn("v", F.coalesce("own", "v")))
 
 
 @query("grid_ltps")
 def grid_ltps(spark, sf_dir):
-    return _v(surfaces.thin_plate(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 6.0))
+    return _v(surfaces.thin_plate(_cells(spark, sf_dir), views.points(spark, sf_dir), EDGES, 6.0, linear=True, tol=1e-8))
 
 
 @query("hull_seeds", sql("horizon2d", "SELECT line, min(trcnr) AS first_trc, arg_min(z, trcnr) AS first_z, max(trcnr) AS last_trc, arg_max(z, trcnr) AS last_z FROM horizon2d WHERE z IS NOT NULL GROUP BY line"))
@@ -186,11 +187,40 @@ def zslice_pivot(spark, sf_dir):
     return t.groupBy("inl").pivot("c", [f"c{i}" for i in range(25)]).agg(F.max("amp"))
 
 
-@query("geotransform", "SELECT n_nationkey AS k, list_transform([3.0 + n_nationkey, 25.0, 100 - (25.0 + 3.0 + n_nationkey) / 2, 12.5, 2.0, 200 - (2.0 + 12.5) / 2], lambda x: CAST(x AS DOUBLE))[3] AS x_origin FROM nation")
+GEO = [("x_across", "2 + s_suppkey % 4"), ("x_down", "25 + s_suppkey % 7"), ("x_origin", "ox - (27 + s_suppkey % 7 + s_suppkey % 4) / 2.0"), ("y_across", "12.5 + s_suppkey % 3"), ("y_down", "s_suppkey % 5"), ("y_origin", "oy - (12.5 + s_suppkey % 3 + s_suppkey % 5) / 2.0")]
+
+
+@query("geotransform", "WITH o AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS ox, 2 * CAST(s_acctbal AS DOUBLE) AS oy FROM supplier) SELECT s_suppkey AS survey, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in GEO) + " FROM o")
 def geotransform(spark, sf_dir):
-    n = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    g = geometry.geotransform(F.lit(100.0), F.lit(200.0), F.lit(25.0), F.lit(2.0), 3.0 + F.col("k"), F.lit(12.5))
-    return n.select("k", F.get(g, F.lit(2)).alias("x_origin"))
+    """The six affine numbers of a raster for each supplier's survey, from its origin and its steps."""
+    k, b = F.col("s_suppkey"), F.col("s_acctbal").cast("double")
+    g = geometry.geotransform(b, 2 * b, (25 + k % 7).cast("double"), (k % 5).cast("double"), (2 + k % 4).cast("double"), 12.5 + k % 3)
+    return views.table(spark, sf_dir, "supplier").select(k.alias("survey"), *[F.round(F.get(g, F.lit(i)), 6).alias(n) for i, (n, _) in enumerate(GEO)])
+
+
+@query("points_wkb")
+def points_wkb(spark, sf_dir):
+    """Points as well-known binary, in hexadecimal digits."""
+    return views.points(spark, sf_dir).select("id", F.hex(encoding.wkb_point(F.col("x"), F.col("y"))).alias("wkb"))
+
+
+@query("lines_wkb")
+def lines_wkb(spark, sf_dir):
+    """2-D lines as well-known binary, in hexadecimal digits."""
+    s = views.stations2d(spark, sf_dir).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("trcnr", "x", "y"))).alias("p"))
+    return s.select("line", F.hex(encoding.wkb_linestring(F.col("p.x"), F.col("p.y"))).alias("wkb"))
+
+
+@query("percent_encode", "SELECT event_id, array_to_string(list_transform(string_split(props, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9]$') THEN c WHEN c = chr(92) THEN '%5C%5C' ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '') AS code FROM events WHERE props IS NOT NULL")
+def percent_encode(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").where("props is not null").select("event_id", encoding.percent_encode(F.col("props")).alias("code"))
+
+
+@query("percent_decode", "SELECT event_id, props AS text FROM events WHERE props IS NOT NULL AND NOT contains(props, chr(92))")
+def percent_decode(spark, sf_dir):
+    """Coding and back; texts with a backslash, which coding doubles, are left out."""
+    t = views.table(spark, sf_dir, "events").where("props is not null").where(~F.contains("props", F.lit("\\")))
+    return t.select("event_id", encoding.percent_decode(encoding.percent_encode(F.col("props"))).alias("text"))
 
 
 @query("json_params", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")

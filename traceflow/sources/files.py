@@ -38,3 +38,12 @@ def read_wavelet(spark: SparkSession, path: str, skip: int = 9) -> DataFrame:
     t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "s"))
     v = F.expr("try_cast(trim(split(s, '!')[0]) AS double)")
     return t.where(F.col("seq") >= skip).select("seq", v.alias("value")).where("value is not null")
+
+
+def write_horizon(df: DataFrame, path: str, name: str) -> None:
+    """A gridded or corrected horizon(ix, iy, z), under its name; undefined nodes are left out. A horizon of that name is replaced."""
+    df.where("z is not null").select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("z").cast("double").alias("z")).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_horizon(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema("ix long, iy long, z double").parquet(f"{path}/{name}")
