@@ -89,6 +89,24 @@ def weighted(values: list[Column], weights: list[float]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def variation(stacks: list[Column]) -> Column:
+    """The sum of squared departures of all samples of several arrays from their common mean."""
+    every = F.concat(*stacks)
+    mean = F.aggregate(every, F.lit(0.0), lambda t, x: t + x) / F.size(every)
+    return F.aggregate(every, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
+
+
+def fit_fatti(values: list[Column], degrees: list[float], total: Column, vp_vs: float = 1.5) -> dict[str, Column]:
+    """The three terms of a sample's angle stacks, and quality: one minus what they leave of it over `total`, the variation of its trace's stacks."""
+    rp, rs, rd = (weighted(values, w) for w in fatti_weights(degrees, vp_vs))
+    left = F.lit(0.0)
+    for v, d in zip(values, degrees):
+        s2, t2 = math.sin(math.radians(d)) ** 2, math.tan(math.radians(d)) ** 2
+        e = v - (rp * (1 + t2) - rs * (8 * s2 / vp_vs**2) - rd * (t2 - 4 * s2 / vp_vs**2))
+        left = left + e * e
+    return {"rp": rp, "rs": rs, "rd": rd, "quality": 1 - left / F.nullif(total, F.lit(0.0))}
+
+
 def shuey(vp: Column, vs: Column, rho: Column, vp1: Column, vs1: Column, rho1: Column) -> tuple[Column, Column]:
     """Intercept and gradient of an interface from velocities and densities above (vp, ...) and below (vp1, ...)."""
     rel = lambda a, b: 2 * (b - a) / F.nullif(a + b, F.lit(0.0))

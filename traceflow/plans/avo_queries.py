@@ -143,15 +143,30 @@ _fit(4, [8.0, 16.0, 24.0, 32.0])
 _fit(5, [6.0, 12.0, 18.0, 24.0, 30.0])
 
 
+# The least-squares weights of the stacks for the three terms at 10, 20, 30 and at 8, 16, 24, 32 degrees, from the normal equations in exact fractions.
+FATTI = {
+    3: [[1.485890753511932, -0.576351822333069, 0.09046106882113719], [-1.7915935544228925, 6.01497421470928, -3.723380660286388], [-32.16343747752634, 55.03601558567109, -21.872578108144754]],
+    4: [[1.0611960567764709, 0.2587273486838364, -0.43012393417665234, 0.1102005287163451], [-0.6728972789838158, 1.5419475527435202, 2.441788024172137, -2.8108382979318414], [-19.375782255298436, 10.124862806307062, 28.363384893653834, -18.11246544466246]],
+}
+
+
 def _fatti(n, degrees):
-    w = avo.fatti_weights(degrees)
     cols = [f"s{i + 1}" for i in range(n)]
     names = ["rp", "rs", "rd"]
-    body = "SELECT vec_id, z, " + ", ".join(f"round({' + '.join(f'{k!r} * {c}' for k, c in zip(row, cols))}, 5) AS {name}" for row, name in zip(w, names)) + " FROM stacks"
+    terms = ", ".join(f"{' + '.join(f'{k!r}::DOUBLE * {c}' for k, c in zip(row, cols))} AS {name}" for row, name in zip(FATTI[n], names))
+    body = f"f AS (SELECT *, {terms} FROM stacks)"
+    if n == 4:  # what the terms leave of a sample, against the variation of all stacks of its trace
+        left = " + ".join(f"power({c} - (1 + power(tan(radians({d})), 2)) * rp + 8 * power(sin(radians({d})), 2) / 2.25 * rs + (power(tan(radians({d})), 2) - 4 * power(sin(radians({d})), 2) / 2.25) * rd, 2)" for c, d in zip(cols, degrees))
+        body += f", v AS (SELECT vec_id, var_pop(s) * count(*) AS total FROM (SELECT vec_id, unnest([{', '.join(cols)}]) AS s FROM stacks) GROUP BY vec_id) SELECT f.vec_id, z, round(rp, 5) AS rp, round(rs, 5) AS rs, round(rd, 5) AS rd, round(1 - ({left}) / nullif(total, 0), 5) AS quality FROM f JOIN v USING (vec_id)"
+    else:
+        body += " SELECT vec_id, z, round(rp, 5) AS rp, round(rs, 5) AS rs, round(rd, 5) AS rd FROM f"
 
     @query(f"fatti{n}", sql("stacks", body))
     def fitted(spark, sf_dir):
-        return _stacks(spark, sf_dir, n).select("vec_id", "z", *[F.round(avo.weighted([F.col(c) for c in cols], row), 5).alias(name) for row, name in zip(w, names)])
+        s = _view(n)(spark, sf_dir).withColumn("total", avo.variation([F.col(c) for c in cols]))
+        rows = views.samples(s, *cols, keys=("vec_id", "total"))
+        got = avo.fit_fatti([F.col(c) for c in cols], degrees, F.col("total"))
+        return rows.select("vec_id", "z", *[F.round(got[name], 5).alias(name) for name in ([*names, "quality"] if n == 4 else names)])
 
 
 _fatti(3, [10.0, 20.0, 30.0])

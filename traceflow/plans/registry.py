@@ -12,7 +12,7 @@ VIEWS_SQL = {
     "cube": "cube AS (SELECT vec_id, vec_id // 25 AS inl, vec_id % 25 AS crl, z, CAST(embedding[z + 1] AS DOUBLE) AS amp FROM embeddings, (SELECT unnest(range(64)) AS z))",
     "cube_ig": "cube_ig AS (SELECT vec_id, vec_id // 25 AS inl, vec_id % 25 AS crl, z, CAST(embedding[z + 1] AS DOUBLE) AS a, CAST(embedding[z + 33] AS DOUBLE) AS b FROM embeddings, (SELECT unnest(range(32)) AS z))",
     "stacks": "stacks AS (SELECT vec_id, z, CAST(embedding[z + 1] AS DOUBLE) AS s1, CAST(embedding[z + 17] AS DOUBLE) AS s2, CAST(embedding[z + 33] AS DOUBLE) AS s3, CAST(embedding[z + 49] AS DOUBLE) AS s4 FROM embeddings, (SELECT unnest(range(16)) AS z))",
-    "stacks5": "stacks5 AS (SELECT vec_id, z, CAST(embedding[z + 1] AS DOUBLE) AS s1, CAST(embedding[z + 13] AS DOUBLE) AS s2, CAST(embedding[z + 25] AS DOUBLE) AS s3, CAST(embedding[z + 37] AS DOUBLE) AS s4, CAST(embedding[z + 49] AS DOUBLE) AS s5 FROM embeddings, (SELECT unnest(range(12)) AS z))",
+    "stacks5": "stacks5 AS (SELECT vec_id, z, CAST(embedding[z + 1] AS DOUBLE) AS s1, CAST(embedding[z + 14] AS DOUBLE) AS s2, CAST(embedding[z + 27] AS DOUBLE) AS s3, CAST(embedding[z + 40] AS DOUBLE) AS s4, CAST(embedding[z + 52] AS DOUBLE) AS s5 FROM embeddings, (SELECT unnest(range(13)) AS z))",
     "stations": "stations AS (SELECT user_id AS line, trcnr, CASE WHEN user_id % 2 = 0 THEN trcnr + 0.25 ELSE (user_id // 2) % 40 + 0.5 - 0.03 * trcnr END::DOUBLE AS x, CASE WHEN user_id % 2 = 0 THEN (user_id // 2) % 40 + 0.5 + 0.05 * trcnr ELSE trcnr + 0.25 END::DOUBLE AS y, z FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS trcnr, CAST(value AS DOUBLE) AS z FROM events))",
     "arr": "arr AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)",
     "horizon2d": "horizon2d AS (SELECT user_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS trcnr, CAST(value AS DOUBLE) AS z FROM events)",

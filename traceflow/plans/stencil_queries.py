@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from traceflow.functions import kernels3d as K
@@ -24,49 +27,107 @@ STENCIL = """p AS (SELECT c.vec_id, c.z, sum(x.w * y.w * coalesce(n.amp, c.amp))
 SELECT p.vec_id, p.z, round(sum(k.w * q.v), 6) AS value FROM p CROSS JOIN wz k JOIN p q ON q.vec_id = p.vec_id AND q.z = p.z + k.o GROUP BY p.vec_id, p.z"""
 
 
-def _separable(name, kx, ky, kz):
+# The weights of the published operators once more, and those of the smoothing and wavenumber kernels from their formulas, so that the SQL doesn't lean on the library's.
+SQL_WEIGHTS = {
+    "one": [1.0],
+    "three": [1.0, 1.0, 1.0],
+    "kroon3_d": [-0.5, 0.0, 0.5],
+    "kroon3_s": [0.178947, 0.642105, 0.178947],
+    "farid5_d": [-0.109604, -0.276691, 0.0, 0.276691, 0.109604],
+    "farid5_s": [0.037659, 0.249153, 0.426375, 0.249153, 0.037659],
+    "farid7_d": [-0.018708, -0.125376, -0.193091, 0.0, 0.193091, 0.125376, 0.018708],
+    "farid7_s": [0.004711, 0.069321, 0.245410, 0.361117, 0.245410, 0.069321, 0.004711],
+    "farid5_dd": [0.232905, 0.002668, -0.471147, 0.002668, 0.232905],
+    "farid5_ss": [0.030320, 0.249724, 0.439911, 0.249724, 0.030320],
+    "scharr3_d": [-0.5, 0.0, 0.5],
+    "scharr3_s": [0.12026, 0.75948, 0.12026],
+    "scharr3_dd": [1.0, -2.0, 1.0],
+    "scharr3_ss": [0.21478, 0.57044, 0.21478],
+    "scharr3_mixed": [0.5, 0.0, -0.5],
+    "prewitt_d": [-1.0, 0.0, 1.0],
+    "prewitt_s": [1.0, 1.0, 1.0],
+    "gauss3": [0.10650697891920076, 0.7869860421615985, 0.10650697891920076],
+    "gauss5": [0.02691315637385274, 0.23336768374143024, 0.4794383197694339, 0.23336768374143024, 0.02691315637385274],
+    "low": [0.0, 0.2037123692007372, 0.5925752615985256, 0.2037123692007372, 0.0],
+    "high": [0.0, -0.2037123692007372, 0.4074247384014744, -0.2037123692007372, 0.0],
+    "band": [-0.0366126844633692, -0.057756105989120315, 0.18873758090497916, -0.057756105989120315, -0.0366126844633692],
+    "reject": [0.0366126844633692, 0.057756105989120315, 0.8112624190950208, 0.057756105989120315, 0.0366126844633692],
+}
+LIBRARY = {
+    "one": [1.0], "three": [1.0, 1.0, 1.0], "gauss3": K.gaussian(3), "gauss5": K.gaussian(5),
+    "low": K.lowpass(2, 0.5), "high": K.highpass(2, 0.5), "band": K.bandpass(2, 0.2, 0.6), "reject": K.bandreject(2, 0.2, 0.6),
+}
+
+
+def _separable(name, *weights):
+    """weights: names of those along inlines, crosslines and the trace."""
+    kx, ky, kz = (LIBRARY[w] if w in LIBRARY else getattr(K, w.upper()) for w in weights)
+    wx, wy, wz = (SQL_WEIGHTS[w] for w in weights)
     halo = max(len(kx), len(ky)) // 2
 
-    @query(name, sql("cube", ", ".join((_weights("wx", kx), _weights("wy", ky), _weights("wz", kz), STENCIL))))
+    @query(name, sql("cube", ", ".join((_weights("wx", wx), _weights("wy", wy), _weights("wz", wz), STENCIL))))
     def run(spark, sf_dir):
         return _values(stencil.map_tiles(views.traces(spark, sf_dir), lambda t: {"value": stencil.separable(t, kx, ky, kz)}, ["value"], halo), "value")
 
 
-ONE = [1.0, 1.0, 1.0]
-_separable("stencil_sum", ONE, ONE, [1.0])
-for _name, _d, _s in (("kroon3", K.KROON3_D, K.KROON3_S), ("farid5", K.FARID5_D, K.FARID5_S), ("farid7", K.FARID7_D, K.FARID7_S)):
-    _separable(f"gradient_{_name}_inl", _d, _s, _s)
-    _separable(f"gradient_{_name}_crl", _s, _d, _s)
-    _separable(f"gradient_{_name}_z", _s, _s, _d)
+_separable("stencil_sum", "three", "three", "one")
+for _name in ("kroon3", "farid5", "farid7"):
+    _separable(f"gradient_{_name}_inl", f"{_name}_d", f"{_name}_s", f"{_name}_s")
+    _separable(f"gradient_{_name}_crl", f"{_name}_s", f"{_name}_d", f"{_name}_s")
+    _separable(f"gradient_{_name}_z", f"{_name}_s", f"{_name}_s", f"{_name}_d")
 # 2-D lines: a stepout along the trace number only.
-_separable("gradient_2d_trc", [1.0], K.KROON3_D, K.KROON3_S)
-_separable("gradient_2d_z", [1.0], K.KROON3_S, K.KROON3_D)
-for _axis, (_x, _y) in {"inl": (K.FARID5_DD, K.FARID5_SS), "crl": (K.FARID5_SS, K.FARID5_DD)}.items():
-    _separable(f"farid_second_{_axis}", _x, _y, K.FARID5_SS)
-_separable("farid_second_z", K.FARID5_SS, K.FARID5_SS, K.FARID5_DD)
-_separable("scharr_dx", K.SCHARR3_D, K.SCHARR3_S, K.SCHARR3_S)
-_separable("scharr_dy", K.SCHARR3_S, K.SCHARR3_D, K.SCHARR3_S)
-_separable("scharr_dz", K.SCHARR3_S, K.SCHARR3_S, K.SCHARR3_D)
-_separable("scharr_dxx", K.SCHARR3_DD, K.SCHARR3_SS, K.SCHARR3_SS)
-_separable("scharr_dyy", K.SCHARR3_SS, K.SCHARR3_DD, K.SCHARR3_SS)
-_separable("scharr_dzz", K.SCHARR3_SS, K.SCHARR3_SS, K.SCHARR3_DD)
-_separable("scharr_dxy", K.SCHARR3_MIXED, K.SCHARR3_MIXED, K.SCHARR3_S)
-_separable("scharr_dxz", K.SCHARR3_MIXED, K.SCHARR3_S, K.SCHARR3_MIXED)
-_separable("scharr_dyz", K.SCHARR3_S, K.SCHARR3_MIXED, K.SCHARR3_MIXED)
-_separable("farid_dxx", K.FARID5_DD, K.FARID5_SS, K.FARID5_SS)
-_separable("prewitt_dx", K.PREWITT_D, K.PREWITT_S, K.PREWITT_S)
-_separable("prewitt_dy", K.PREWITT_S, K.PREWITT_D, K.PREWITT_S)
-_separable("prewitt_dz", K.PREWITT_S, K.PREWITT_S, K.PREWITT_D)
-_separable("gaussian_smooth", K.gaussian(3), K.gaussian(3), K.gaussian(5))
-_separable("kk_rect_lowpass", K.lowpass(2, 0.5), K.lowpass(2, 0.5), [1.0])
-_separable("kk_rect_highpass", K.highpass(2, 0.5), K.highpass(2, 0.5), [1.0])
-_separable("kk_rect_bandpass", K.bandpass(2, 0.2, 0.6), K.bandpass(2, 0.2, 0.6), [1.0])
-_separable("kk_rect_bandreject", K.bandreject(2, 0.2, 0.6), K.bandreject(2, 0.2, 0.6), [1.0])
+_separable("gradient_2d_trc", "one", "kroon3_d", "kroon3_s")
+_separable("gradient_2d_z", "one", "kroon3_s", "kroon3_d")
+for _at, _axis in enumerate(("inl", "crl", "z")):
+    _separable(f"farid_second_{_axis}", *[f"farid5_{'dd' if i == _at else 'ss'}" for i in range(3)])
+for _at, _axis in enumerate("xyz"):
+    _separable(f"scharr_d{_axis}", *[f"scharr3_{'d' if i == _at else 's'}" for i in range(3)])
+    _separable(f"scharr_d{_axis}{_axis}", *[f"scharr3_{'dd' if i == _at else 'ss'}" for i in range(3)])
+    _separable(f"prewitt_d{_axis}", *[f"prewitt_{'d' if i == _at else 's'}" for i in range(3)])
+for _pair, _flat in (("xy", 2), ("xz", 1), ("yz", 0)):
+    _separable(f"scharr_d{_pair}", *["scharr3_s" if i == _flat else "scharr3_mixed" for i in range(3)])
+_separable("farid_dxx", "farid5_dd", "farid5_ss", "farid5_ss")
+_separable("gaussian_smooth", "gauss3", "gauss3", "gauss5")
+_separable("kk_rect_lowpass", "low", "low", "one")
+_separable("kk_rect_highpass", "high", "high", "one")
+_separable("kk_rect_bandpass", "band", "band", "one")
+_separable("kk_rect_bandreject", "reject", "reject", "one")
+
+
+def _second(tile):
+    """The matrix of second derivatives of each sample."""
+    m, s, dd, ss = K.SCHARR3_MIXED, K.SCHARR3_S, K.SCHARR3_DD, K.SCHARR3_SS
+    of = lambda x, y, z: stencil.separable(tile, x, y, z)
+    return {"xx": of(dd, ss, ss), "yy": of(ss, dd, ss), "zz": of(ss, ss, dd), "xy": of(m, m, s), "xz": of(m, s, m), "yz": of(s, m, m)}
+
+
+HESSIAN = {"xx": ("dd", "ss", "ss"), "yy": ("ss", "dd", "ss"), "zz": ("ss", "ss", "dd"), "xy": ("mixed", "mixed", "s"), "xz": ("mixed", "s", "mixed"), "yz": ("s", "mixed", "mixed")}
+
+
+@query("hessian", sql("cube", "k(o, d, s, dd, ss, mixed) AS (VALUES (-1, -0.5, 0.12026, 1.0, 0.21478, 0.5), (0, 0.0, 0.75948, -2.0, 0.57044, 0.0), (1, 0.5, 0.12026, 1.0, 0.21478, -0.5)), p AS (SELECT c.vec_id, c.z, "
+    + ", ".join(f"sum(CAST(x.{a} * y.{b} AS DOUBLE) * coalesce(n.amp, c.amp)) AS p{n}" for n, (a, b, _) in HESSIAN.items())
+    + " FROM cube c CROSS JOIN k x CROSS JOIN k y LEFT JOIN cube n ON n.inl = c.inl + x.o AND n.crl = c.crl + y.o AND n.z = c.z GROUP BY c.vec_id, c.z) SELECT p.vec_id, p.z, "
+    + ", ".join(f"round(sum(CAST(k.{c} AS DOUBLE) * q.p{n}), 6) AS {n}" for n, (_, _, c) in HESSIAN.items()) + " FROM p CROSS JOIN k JOIN p q ON q.vec_id = p.vec_id AND q.z = p.z + k.o GROUP BY p.vec_id, p.z"))
+def hessian(spark, sf_dir):
+    return _values(stencil.map_tiles(views.traces(spark, sf_dir), _second, list(HESSIAN), 1), *HESSIAN)
+
 
 _LPA = K.polynomial_weights(3)
+
+
+def _fitted_weights():
+    """The same weights for the SQL, from the definition: the fit of a unit sample at each place, Gaussian deviation 0.4, by an orthogonal factorisation."""
+    o = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    root = np.array([math.exp(-(i * i + j * j + k * k) / (4 * 0.4**2)) for i, j, k in o])
+    basis = np.array([[1, i, j, k, i * i, j * j, k * k, i * j, i * k, j * k] for i, j, k in o], float)
+    q, r = np.linalg.qr(root[:, None] * basis)
+    return (np.linalg.solve(r, q.T) * root).reshape(10, 3, 3, 3)
+
+
+_SQL_LPA = _fitted_weights()
 for _i, _name in enumerate(("lpa_smooth", "lpa_r1", "lpa_r2", "lpa_r3", "lpa_r4", "lpa_r5", "lpa_r6", "lpa_r7", "lpa_r8", "lpa_r9")):
-    _w = _LPA[_i]
-    _body = "w(i, j, k, w) AS (VALUES " + ", ".join(f"({a - 1}, {b - 1}, {c - 1}, CAST({float(_w[a, b, c])!r} AS DOUBLE))" for a in range(3) for b in range(3) for c in range(3)) + """),
+    _w, _v = _LPA[_i], _SQL_LPA[_i]
+    _body = "w(i, j, k, w) AS (VALUES " + ", ".join(f"({a - 1}, {b - 1}, {c - 1}, CAST({float(_v[a, b, c])!r} AS DOUBLE))" for a in range(3) for b in range(3) for c in range(3)) + """),
 p AS (SELECT c.vec_id, c.z, o.i, o.j, coalesce(n.amp, c.amp) AS amp FROM cube c CROSS JOIN (SELECT DISTINCT i, j FROM w) o LEFT JOIN cube n ON n.inl = c.inl + o.i AND n.crl = c.crl + o.j AND n.z = c.z)
 SELECT c.vec_id, c.z, round(sum(w.w * p.amp), 6) AS value FROM cube c CROSS JOIN w JOIN p ON p.vec_id = c.vec_id AND p.z = c.z + w.k AND p.i = w.i AND p.j = w.j GROUP BY c.vec_id, c.z"""
 

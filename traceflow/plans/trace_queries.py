@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from traceflow.functions import arrays as A
@@ -30,7 +28,7 @@ def _window(expression):
 _array("mirror_pad", A.mirror_pad, _list("list_concat(list_concat(list_reverse(s[1:32]), s), list_reverse(s[33:64]))"))
 _array("symmetric_pad", A.symmetric_pad, _list("list_concat(list_concat(list_reverse(s[2:33]), s), list_reverse(s[32:63]))"))
 _array("fftshift", A.fft_shift, _list("list_concat(s[33:64], s[1:32])"))
-TAPER = [(math.cos(-math.pi + math.pi * i / 4) + 1) / 2 for i in range(5)]
+TAPER = [0.0, 0.14644660940672627, 0.5, 0.8535533905932737, 1.0]
 _array("cos_taper", lambda a: A.cos_taper(a, 5), f"SELECT vec_id, z, round(amp * CASE WHEN z < 5 THEN ({TAPER!r})[z + 1] WHEN z >= 59 THEN ({TAPER!r})[64 - z] ELSE 1.0 END, 6) AS value FROM cube", "cube")
 _array("deramp", A.deramp, "SELECT vec_id, z, round(amp - (first + (last - first) * z / 63), 6) AS value FROM (SELECT *, first_value(amp) OVER w AS first, last_value(amp) OVER w AS last FROM cube WINDOW w AS (PARTITION BY vec_id ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", "cube")
 _array("win_sum", lambda a: A.window_sum(a, 5), _window("sum(amp) OVER w"), "cube")

@@ -162,10 +162,10 @@ def export_horizon_layer(spark, sf_dir):
     return h.select("line", "trcnr", F.round(geometry.layer_value(F.col("z"), "zvals", True), 6).alias("zvals"), x.alias("x"), y.alias("y"))
 
 
-@query("export_random_lines", sql("horizon2d", f"SELECT 'random ' || line AS line_name, 'LINESTRING (' || string_agg(CAST(CAST({XY[0].format(i='trcnr', c='(trcnr % 7)')} AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST({XY[1].format(i='trcnr', c='(2 * (trcnr % 7))')} AS BIGINT) AS VARCHAR), ', ' ORDER BY trcnr) || ')' AS wkt FROM horizon2d WHERE trcnr <= 12 GROUP BY line HAVING count(*) > 1"))
+@query("export_random_lines", sql("horizon2d", f"SELECT 'random ' || line AS line_name, 'LINESTRING (' || string_agg(CAST(CAST({XY[0].format(i='trcnr', c='(trcnr % 7)')} AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST({XY[1].format(i='trcnr', c='(2 * (trcnr % 7))')} AS BIGINT) AS VARCHAR), ', ' ORDER BY trcnr) || ')' AS wkt FROM horizon2d GROUP BY line HAVING count(*) > 1"))
 def export_random_lines(spark, sf_dir):
     """Lines through nodes of the lattice, in map coordinates."""
-    h = views.horizon2d(spark, sf_dir).where("trcnr <= 12")
+    h = views.horizon2d(spark, sf_dir)
     x, _ = geometry.to_map(F.col("trcnr"), F.col("trcnr") % 7, AFFINE)
     _, y = geometry.to_map(F.col("trcnr"), 2 * (F.col("trcnr") % 7), AFFINE)
     nodes = h.select(F.concat(F.lit("random "), F.col("line").cast("string")).alias("line_name"), "trcnr", x.cast("long").alias("x"), y.cast("long").alias("y"))

@@ -33,8 +33,8 @@ def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stacks5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, s1..s5: five angle stacks of 12 samples."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[_part(12 * i, 12).alias(f"s{i + 1}") for i in range(5)])
+    """vec_id, s1..s5: five angle stacks of 13 samples, of which the last two share one."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[_part(first, 13).alias(f"s{i + 1}") for i, first in enumerate((0, 13, 26, 39, 51))])
 
 
 def stations2d(spark: SparkSession, sf_dir: str) -> DataFrame:
