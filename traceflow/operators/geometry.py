@@ -81,17 +81,18 @@ def geotransform(x0: Column, y0: Column, inl_dx: Column, inl_dy: Column, crl_dx:
 
 
 def markers_on_tracks(markers: DataFrame, tracks: DataFrame) -> DataFrame:
-    """well, marker, md, x, y: the place of each marker on its well's track, between the stations around it; null outside the track.
+    """well, marker, md, x, y: the place of each marker on its well's track, between the stations around it; null outside the track. Tracks with a column tvdss give that, too.
 
     tracks(well, md, x, y) become segments (lead along a well), and a marker joins its segment by well and range.
     """
     from pyspark.sql import Window
 
+    names = ["x", "y"] + ["tvdss"] * ("tvdss" in tracks.columns)
     w = Window.partitionBy("well").orderBy("md")
-    seg = tracks.select("well", F.col("md").alias("md0"), "x", "y", F.lead("md").over(w).alias("md1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("md1 > md0")
+    seg = tracks.select("well", F.col("md").alias("md0"), F.lead("md").over(w).alias("md1"), *names, *[F.lead(c).over(w).alias(f"{c}1") for c in names]).where("md1 > md0")
     j = markers.join(seg, (markers.well == seg.well) & (markers.md >= seg.md0) & ((markers.md < seg.md1)), "left")
     t = (F.col("md") - F.col("md0")) / (F.col("md1") - F.col("md0"))
-    return j.select(markers.well, "marker", "md", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
+    return j.select(markers.well, "marker", "md", *[(F.col(c) + t * (F.col(f"{c}1") - F.col(c))).alias(c) for c in names])
 
 
 def to_map(inl: Column, crl: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
@@ -100,6 +101,48 @@ def to_map(inl: Column, crl: Column, affine: tuple[float, float, float, float, f
     return x0 + ix * inl + cx * crl, y0 + iy * inl + cy * crl
 
 
+def from_map(x: Column, y: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """The fractional position of map coordinates: to_map backwards."""
+    x0, y0, ix, iy, cx, cy = affine
+    det = ix * cy - iy * cx
+    if det == 0:
+        raise ValueError("inlines and crosslines run along each other")
+    return (cy * (x - x0) - cx * (y - y0)) / det, (ix * (y - y0) - iy * (x - x0)) / det
+
+
+def scattered(lines: DataFrame, surface: DataFrame, contours: DataFrame, affine: tuple) -> DataFrame:
+    """source, key, n, x, y, v: the points that a grid is made of, in fractional positions of the lattice.
+
+    lines(line, trcnr, x, y, z) and contours(polygon, seq, x, y, z) are in map coordinates, surface(ix, iy, z) in positions. Undefined z are left out.
+    """
+    moved = lambda df: df.withColumns(dict(zip(("px", "py"), from_map(F.col("x"), F.col("y"), affine))))
+    two = moved(lines).select(F.lit("lines").alias("source"), F.col("line").cast("string").alias("key"), F.col("trcnr").cast("long").alias("n"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("z").alias("v"))
+    three = surface.select(F.lit("surface"), F.col("ix").cast("string"), F.col("iy").cast("long"), F.col("ix").cast("double"), F.col("iy").cast("double"), "z")
+    drawn = moved(contours).select(F.lit("contours"), F.col("polygon").cast("string"), F.col("seq").cast("long"), "px", "py", "z")
+    return two.union(three).union(drawn).where("v is not null and x is not null and y is not null")
+
+
+def hull_points(points: DataFrame) -> DataFrame:
+    """source, key, x, y, v of the first and the last point of each line, inline and contour: all that can be corners of the hull of straight lines."""
+    ends = F.array(F.min_by(F.struct("x", "y", "v"), "n"), F.max_by(F.struct("x", "y", "v"), "n"))
+    return points.groupBy("source", "key").agg(ends.alias("e")).select("source", "key", F.explode("e").alias("e")).select("source", "key", "e.x", "e.y", "e.v").distinct()
+
+
+def extent(*parts: tuple[DataFrame, str, str]) -> DataFrame:
+    """x0, x1, y0, y1: the whole numbers around all parts, each a table with the names of its two columns; no row without a point."""
+    every = None
+    for df, x, y in parts:
+        one = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
+        every = one if every is None else every.unionByName(one)
+    box = every.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).where("x0 is not null")
+    return box.select(*[f(c).cast("long").alias(c) for c, f in (("x0", F.floor), ("x1", F.ceil), ("y0", F.floor), ("y1", F.ceil))])
+
+
+def in_feet(df: DataFrame) -> DataFrame:
+    """Depth columns under their names in feet; values stay."""
+    return df.withColumnsRenamed({c: f"{c}(ft)" for c in ("md", "tvdss") if c in df.columns})
+
+
 def layer_value(z: Column, attribute: str, in_time: bool) -> Column:
     """What a horizon layer shows: z in milliseconds where z itself is asked for in a time survey."""
     return z * 1000 if attribute == "zvals" and in_time else z

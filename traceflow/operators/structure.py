@@ -19,6 +19,16 @@ def block_sum(tile: Tile, weights: np.ndarray) -> np.ndarray:
     return sum(along_z(np.nan_to_num(tile.neighbour(i - h, j - h)), weights[i, j].tolist()) for i in range(weights.shape[0]) for j in range(weights.shape[1]))
 
 
+def block_convolution(tile: Tile, weights: np.ndarray) -> np.ndarray:
+    """Convolution with a block of weights [di, dj, dz], which are turned around; the first and last samples that a whole block doesn't reach are zero."""
+    out = block_sum(tile, weights[::-1, ::-1, ::-1])
+    h = weights.shape[2] // 2
+    if h:
+        out[..., :h] = 0
+        out[..., max(out.shape[-1] - h, 0) :] = 0
+    return out
+
+
 def circular(kind: str, size: int, cut: float):
     """A circularly symmetric filter of each z slice: "low", "high", "band" or "reject"."""
     w = K.circular(kind, size, cut)
