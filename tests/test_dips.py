@@ -5,7 +5,7 @@ import pytest
 
 from traceflow.functions import kernels3d as K
 from traceflow.operators import dips as D
-from traceflow.operators import structure
+from traceflow.operators import decomposition, polynomials, structure
 from traceflow.operators.stencil import Tile, along_z
 
 RNG = np.random.default_rng(9)
@@ -119,3 +119,53 @@ def test_curvature_of_spheres_and_cylinders():
     r = np.hypot(x, z)
     got = K.shape_curvatures(x / z, 0 * z, 1 / z, 0 * z, -x / z**2, 0 * z, 0 * z, 0 * z)
     assert np.allclose(got["mean"], -0.5 / r) and np.allclose(got["gauss"], 0, atol=1e-12) and np.allclose(got["kmin"], -1 / r, atol=1e-6) and np.allclose(got["kmax"], 0, atol=1e-6)
+
+
+def test_polynomial_fits():
+    """A polynomial gives its own coefficients (odd ones turned), at every size; ends are zero."""
+    want = [0.5, 1.0, -2.0, 0.25, 0.1, -0.3, 0.2, 0.4, -0.6, 0.7]
+    for sizes in ((3, 3, 3), (3, 3, 5), (5, 3, 7)):
+        h = max(sizes[0], sizes[1]) // 2
+
+        def f(x, y, z, h=h):
+            x, y, z = x - h, y - h, z - 10
+            terms = [1, x, y, z, x * x, y * y, z * z, x * y, x * z, y * z]
+            return sum(a * t for a, t in zip(want, terms)) + 0 * x
+
+        t = tile(f, h, side=1, n=21)
+        got = [c[0, 0] for c in polynomials.coefficients(t, sizes)]
+        sign = [1, -1, -1, -1, 1, 1, 1, 1, 1, 1]
+        assert np.allclose([g[10] for g in got], [s * w for s, w in zip(sign, want)])
+        assert all((g[: sizes[2] // 2] == 0).all() and (g[-(sizes[2] // 2) :] == 0).all() for g in got)
+        shape = polynomials.shapes(t, sizes)
+        b = np.array([-1.0, 2.0, -0.25])
+        a = np.array([[0.1, 0.2, -0.3], [0.2, -0.3, 0.35], [-0.3, 0.35, 0.2]])
+        e = np.linalg.eigvalsh(a @ a.T + np.outer(b, b) / (8 * ((min(sizes) - 1) * 0.2) ** 2))[::-1]
+        assert np.allclose([shape[f"e{i + 1}"][0, 0, 10] for i in range(3)], e)
+        d = polynomials.tensor_dips(t, "first", sizes, inl_factor=0.5)
+        assert abs(d["inl_dip"][0, 0, 10] - -b[0] / b[2] * 0.5) < 1e-6
+        v = np.linalg.eigh(4 * a @ a.T)[1][:, -1]
+        assert abs(polynomials.tensor_dips(t, "second", sizes)["crl_dip"][0, 0, 10] - -v[1] / v[2]) < 1e-6
+
+
+def test_polynomial_norms():
+    t = tile(lambda x, y, z: RNG.normal(size=x.shape), 1, side=2, n=80)
+    c = polynomials.coefficients(t)
+    g = c[1] ** 2 + c[2] ** 2 + c[3] ** 2
+    share = polynomials.tensor_dips(t, "minmax")["weight"]
+    assert np.allclose(share, (g - g.min(-1, keepdims=True)) / (g.max(-1, keepdims=True) - g.min(-1, keepdims=True)))
+    moving = polynomials.tensor_dips(t, "dynamic")["weight"]
+    for z in (0, 10, 40, 79):
+        m = min(max(z, 25), 54)
+        w = g[..., m - 25 : m + 26]
+        assert np.allclose(moving[..., z], (g[..., z] - w.min(-1)) / (w.max(-1) - w.min(-1)))
+    with pytest.raises(ValueError):
+        polynomials.tensor_dips(t, "other")
+    smooth = polynomials.smooth_dips(t, 2.0)
+    rough = polynomials.shapes(t)["inl_dip"]
+    rough = np.nan_to_num(np.where(np.abs(rough) > 2, 0, rough))
+    num, den = decomposition.butterworth_lowpass(0.3, 4)
+    assert abs(abs(np.polyval(num[::-1], np.exp(-0.3j * np.pi)) / np.polyval(np.append(1, den)[::-1], np.exp(-0.3j * np.pi))) - np.sqrt(0.5)) < 1e-9
+    x = rough[0, 0]
+    long = np.concatenate([2 * x[0] - x[15:0:-1], x, 2 * x[-1] - x[-2:-17:-1]])
+    assert np.allclose(smooth["inl_dip"][0, 0], decomposition.forward_backward(long[None], num, den)[0, 15:-15])

@@ -38,11 +38,26 @@ def steady_state(num: np.ndarray, den: np.ndarray) -> np.ndarray:
     return np.cumsum((b[1:] - a * level)[::-1])[::-1]
 
 
-def forward_backward(x: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
-    """A real filter run over traces and back, without padding: each way begins as if the first sample had always been there."""
+def forward_backward(x: np.ndarray, num: np.ndarray, den: np.ndarray, pad: int = 0) -> np.ndarray:
+    """A real filter run over traces and back: each way begins as if the first sample had always been there. pad: so many samples (fewer than the trace has) go before the first and behind the last,
+    the trace turned around these points."""
     rest = steady_state(num, den)
     once = lambda v: iir(v, num[None], den[None], v[:, :1, None] * rest[None, None])[:, 0]
-    return once(once(x)[:, ::-1])[:, ::-1]
+    n = x.shape[1]
+    pad = min(pad, n - 1)
+    if pad > 0:
+        x = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
+    out = once(once(x)[:, ::-1])[:, ::-1]
+    return out[:, max(pad, 0) : max(pad, 0) + n]
+
+
+def butterworth_lowpass(cut: float, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A low-pass at cut (1 is the Nyquist frequency), by the bilinear transform of its poles: numerator, and denominator without its leading one."""
+    k = np.arange(order)
+    pole = math.tan(math.pi * cut / 2) * np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+    den = np.real(np.poly((1 + pole) / (1 - pole)))
+    num = np.poly(-np.ones(order))
+    return num * den.sum() / num.sum(), den[1:]
 
 
 def butterworth_highpass(cut: float) -> tuple[np.ndarray, np.ndarray]:

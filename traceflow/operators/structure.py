@@ -15,8 +15,8 @@ NORMALS = [(0, 0, 1), (0, 1, -1), (0, 1, 1), (1, 0, -1), (1, 0, 1), (1, 1, 1), (
 
 def block_sum(tile: Tile, weights: np.ndarray) -> np.ndarray:
     """Sum of a block of weights [di, dj, dz] times the surroundings; undefined samples and those beyond the ends count as zero."""
-    h = weights.shape[0] // 2
-    return sum(along_z(np.nan_to_num(tile.neighbour(i - h, j - h)), weights[i, j].tolist()) for i in range(weights.shape[0]) for j in range(weights.shape[1]))
+    h, g = weights.shape[0] // 2, weights.shape[1] // 2
+    return sum(along_z(np.nan_to_num(tile.neighbour(i - h, j - g)), weights[i, j].tolist()) for i in range(weights.shape[0]) for j in range(weights.shape[1]))
 
 
 def block_convolution(tile: Tile, weights: np.ndarray) -> np.ndarray:

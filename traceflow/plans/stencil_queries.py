@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from traceflow.functions import kernels3d as K
-from traceflow.operators import dips, picks, stencil, structure
+from traceflow.operators import dips, picks, polynomials, stencil, structure
 from traceflow.sources import views
 
 from .registry import query, sql
@@ -196,6 +196,9 @@ for _name, _fn, _outputs, _halo in (
     ("phase_tensor_dip_even", lambda t: dips.phase_tensor(t, weighted=False), _DIPS, 2),
     ("tensor_dip", lambda t: dips.rank_one(*dips.gradient(t, K.KROON3_D, K.KROON3_S)), _DIPS, 1),
     ("lpa_tensor", structure.polynomial_tensor, ["e1", "e2", "e3", "crl_dip", "inl_dip"], 1),
+    ("lpa_shapes", lambda t: polynomials.shapes(t, (3, 3, 5)), ["e1", "e2", "e3", "cline", "cplane", "cfault", "cchaos", "ctype"], 1),
+    ("lpa_dip", lambda t: polynomials.smooth_dips(t, 2.0), ["crl_dip", "inl_dip"], 1),
+    *[(f"lpa_tensor_dip_{n}", lambda t, n=n: polynomials.tensor_dips(t, n, inl_factor=0.5, crl_factor=0.8), [*_DIPS, "weight"], 1) for n in polynomials.NORMS],
     ("adaptive_equalisation", lambda t: {"value": picks.adaptive_equalisation(t, 0.004, 1, 21, 0.1)}, ["value"], 1),
 ):
 
@@ -238,3 +241,24 @@ def filtered_dips(spark, sf_dir):
         return dips.filtered_dips(a, b, "l1", 1, 1, 0.5, 0.8)
 
     return _values(stencil.map_tiles(t, run, _DIPS, 1), *_DIPS)
+
+
+# Coefficients of a block of 3 x 3 x 5 samples: the SQL's weights from the normal equations, to be turned around by the convolution.
+def _block_weights():
+    o = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in range(-2, 3)]
+    w = np.array([math.exp(-(i * i + j * j) / (2 * 0.4**2) - k * k / (2 * 0.8**2)) for i, j, k in o])
+    b = np.array([[1, i, j, k, i * i, j * j, k * k, i * j, i * k, j * k] for i, j, k in o], float)
+    return o, np.linalg.solve(b.T @ (w[:, None] * b), (w[:, None] * b).T)
+
+
+_PLACES, _COEFFICIENTS = _block_weights()
+_LPA_SQL = "w(i, j, k, " + ", ".join(f"w{c}" for c in range(10)) + ") AS (VALUES " + ", ".join(f"({i}, {j}, {k}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in _COEFFICIENTS[:, n]) + ")" for n, (i, j, k) in enumerate(_PLACES)) + """),
+p AS (SELECT c.vec_id, c.z, o.i, o.j, coalesce(n.amp, c.amp) AS amp FROM cube c CROSS JOIN (SELECT DISTINCT i, j FROM w) o LEFT JOIN cube n ON n.inl = c.inl - o.i AND n.crl = c.crl - o.j AND n.z = c.z)
+SELECT c.vec_id, c.z, """ + ", ".join(f"CASE WHEN c.z BETWEEN 2 AND 61 THEN round(sum(w{c} * p.amp), 6) ELSE 0 END AS r{c}" for c in range(10)) + " FROM cube c CROSS JOIN w LEFT JOIN p ON p.vec_id = c.vec_id AND p.z = c.z - w.k AND p.i = w.i AND p.j = w.j GROUP BY c.vec_id, c.z"
+
+
+@query("lpa_coefficients", sql("cube", _LPA_SQL))
+def lpa_coefficients(spark, sf_dir):
+    """All ten coefficients of blocks that are longer along the trace."""
+    names = [f"r{c}" for c in range(10)]
+    return _values(stencil.map_tiles(views.traces(spark, sf_dir), lambda t: dict(zip(names, polynomials.coefficients(t, (3, 3, 5)))), names, 1), *names)
