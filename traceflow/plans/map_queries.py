@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceflow.functions import encoding
+from traceflow.functions import arrays, encoding
 from traceflow.operators import geometry, gridding, surfaces
 from traceflow.sources import views
 
@@ -228,8 +228,15 @@ def json_params(spark, sf_dir):
     return views.table(spark, sf_dir, "events").where("props is not null").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
 
 
-@query("frequency_index", sql("cube", "SELECT vec_id, z, CAST(round((z + 0.3) * 7 / 5) AS BIGINT) - 1 AS idx, (CAST(round((z + 0.3) * 7 / 5) AS BIGINT)) * 5 AS snapped FROM cube"))
+@query("frequency_index", sql("cube", """e AS (SELECT vec_id, z, x, b, f, x * x - CASE WHEN z IN (0, 63) THEN 0 ELSE lag(x) OVER w * lead(x) OVER w END AS t, b * b - CASE WHEN z IN (0, 63) THEN 0 ELSE lag(b) OVER w * lead(b) OVER w END AS tb, f * f - CASE WHEN z IN (0, 63) THEN 0 ELSE lag(f) OVER w * lead(f) OVER w END AS tf
+ FROM (SELECT vec_id, z, amp AS x, CASE WHEN z = 0 THEN amp ELSE amp - lag(amp) OVER w END AS b, CASE WHEN z = 63 THEN amp ELSE lead(amp) OVER w - amp END AS f FROM cube WINDOW w AS (PARTITION BY vec_id ORDER BY z)) WINDOW w AS (PARTITION BY vec_id ORDER BY z)),
+c AS (SELECT vec_id, z, 1 - (tb + tf) / (4 * nullif(t, 0)) AS c FROM e),
+k AS (SELECT vec_id, z, CAST(floor(acos(c) / (2 * pi() * 0.004) / 15 + 0.5) AS BIGINT) AS k FROM c WHERE abs(c) <= 1)
+SELECT vec_id, z, least(greatest(k, 1), 8) - 1 AS idx, 15 * least(greatest(k, 1), 8) AS snapped FROM k"""))
 def frequency_index(spark, sf_dir):
-    s = views.samples(views.traces(spark, sf_dir), "samples")
-    k = F.round((F.col("z") + 0.3) * 7 / 5).cast("long")
-    return s.select("vec_id", "z", (k - 1).alias("idx"), (k * 5).alias("snapped"))
+    """Of a spectrum's eight components, 15 Hz apart, the one nearest to each sample's instantaneous frequency, and that component's frequency."""
+    t = views.traces(spark, sf_dir).withColumn("f", arrays.desa(F.col("samples"), 0.004)["frequency"])
+    s = views.samples(t, "f").where("f is not null")
+    k = F.least(F.greatest(F.floor(F.col("f") / 15 + 0.5).cast("long"), F.lit(1)), F.lit(8))
+    return s.select("vec_id", "z", (k - 1).alias("idx"), (15 * k).alias("snapped"))
+
