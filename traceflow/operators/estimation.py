@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ties
+from .lists import arrays, lengths, matrix
 from .spectral import tie_estimate
 
 #: Largest lag and gate for each kind of z (seconds, metres, feet).
@@ -39,9 +40,15 @@ def shift_estimate(a: np.ndarray, b: np.ndarray, dt: float, longest: float) -> d
 
 
 def resampled(samples: np.ndarray, z0: float, step: float, gate: tuple[float, float], new_step: float) -> np.ndarray:
-    """A trace within a gate at another step: linear between samples, 0 beyond the ends and where it is undefined."""
+    """Traces [.., z] of one beginning and step, within a gate at another step: linear between samples, 0 beyond the ends and where they are undefined."""
     z = gate[0] + new_step * np.arange(int(round((gate[1] - gate[0]) / new_step)) + 1)
-    return np.interp(np.round((z - z0) / step, 9), np.arange(len(samples)), np.nan_to_num(samples), left=0.0, right=0.0) if len(samples) else np.zeros(len(z))
+    n = samples.shape[-1]
+    if not n:
+        return np.zeros((*samples.shape[:-1], len(z)))
+    x, at = np.nan_to_num(samples), np.round((z - z0) / step, 9)
+    low = np.clip(np.floor(at).astype(np.int64), 0, n - 1)
+    part = at - low
+    return np.where((at >= 0) & (at <= n - 1), (1 - part) * x[..., low] + part * x[..., np.minimum(low + 1, n - 1)], 0.0)
 
 
 def estimated(pairs: DataFrame, keys: list[str], gate: tuple[float, float], longest: float, z_only: bool = False, factor: float = 1.0) -> DataFrame:
@@ -60,14 +67,19 @@ def estimated(pairs: DataFrame, keys: list[str], gate: tuple[float, float], long
             fine = np.zeros(n, bool)
             held = {c: b.column(c) for c in columns}
             number = {c: held[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns if not c.endswith("samples")}
-            there = np.array([held["a_samples"][i].is_valid and held["b_samples"][i].is_valid for i in range(n)], bool)
+            there = (held["a_samples"].is_valid().to_numpy(zero_copy_only=False) & held["b_samples"].is_valid().to_numpy(zero_copy_only=False)).astype(bool)
             for c in number:
                 there &= np.isfinite(number[c])
-            step = np.where(there, np.minimum(number["a_step"], number["b_step"]), np.nan)
-            for s in np.unique(step[there]):
-                for at in np.array_split(np.flatnonzero(step == s), -(-int((step == s).sum()) // 256)):
-                    x, y = (np.stack([resampled(np.array(held[f"{k}_samples"][i].values.to_numpy(zero_copy_only=False), float), number[f"{k}_z0"][i], number[f"{k}_step"][i], gate, s) for i in at.tolist()]) for k in "ab")
-                    got = (shift_estimate if z_only else tie_estimate)(x, y, float(s), longest)
+            size = {k: lengths(held[f"{k}_samples"]) for k in "ab"}
+            rows = np.flatnonzero(there)
+            # rows whose traces begin alike, with like steps and lengths, are taken together
+            kinds, of = np.unique(np.stack([*(number[f"{k}_{c}"][rows] for k in "ab" for c in ("z0", "step")), size["a"][rows], size["b"][rows]], 1), axis=0, return_inverse=True)
+            for i, (a_z0, a_step, b_z0, b_step, _, _) in enumerate(kinds.tolist()):
+                every = rows[of.ravel() == i]
+                s = min(a_step, b_step)
+                for at in np.array_split(every, -(-len(every) // 256)):
+                    x, y = (resampled(matrix(held[f"{k}_samples"].take(pa.array(at)), 0.0), z0, step, gate, s) for k, z0, step in (("a", a_z0, a_step), ("b", b_z0, b_step)))
+                    got = (shift_estimate if z_only else tie_estimate)(x, y, s, longest)
                     fine[at] = (x != 0).any(1) & (y != 0).any(1)
                     for v in VALUES:
                         out[v][at] = got[v][:, 0]
@@ -200,8 +212,6 @@ def corrected(x: np.ndarray, shift: np.ndarray, phase: np.ndarray, amp: np.ndarr
 
 def apply_corrections(traces: DataFrame, corrections: DataFrame, keys: list[str], shift: bool = True, phase: bool = True, amp: bool = True) -> DataFrame:
     """keys and samples of traces(line, step, samples) after their lines' corrections(line, shift, phase, amp); lines without one stay. Undefined samples count as zero."""
-    from .lists import arrays, lengths, matrix
-
     j = traces.join(corrections.select("line", *[F.col(c).cast("double").alias(f"__{c}") for c in ("shift", "phase", "amp")]), "line", "left")
     on = {"shift": (shift, 0.0), "phase": (phase, 0.0), "amp": (amp, 1.0)}
     df = j.select(*keys, "samples", F.col("step").cast("double").alias("__step"), *[(F.coalesce(f"__{c}", F.lit(d)) if use else F.lit(d)).alias(f"__{c}") for c, (use, d) in on.items()])
