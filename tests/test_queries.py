@@ -39,6 +39,7 @@ def test_against_sql(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+# The published test vectors of the paddings and the spectrum's shift.
 @pytest.mark.parametrize(
     "fn,values,want",
     [
