@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -302,6 +303,85 @@ def test_large_leaves(spark, monkeypatch, size):
     assert got == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
 
 
+def plain_templates(rows, similarity=0.6, least=5):
+    """The sets of lines that share a template in at least `least` documents, by the definition: rows are (doc_id, line)."""
+    docs = {}
+    for d, x in set(rows):
+        docs.setdefault(x, set()).add(d)
+    hashed = {x: lines.parse(x, 1) for x in docs}
+    token = {x: np.frombuffer(h[4], np.uint32).tolist() for x, h in hashed.items()}
+    out = set()
+
+    def counts(group, p):
+        c = Counter()
+        for x in group:
+            c[token[x][p]] += len(docs[x])
+        return c
+
+    def level(group):
+        if sum(len(docs[x]) for x in group) < least:
+            return
+        n = len(token[group[0]])
+        usual = [min(c, key=lambda t: (-c[t], t)) for c in (counts(group, p) for p in range(n))]
+        centre = min(group, key=lambda x: (-sum(a == b for a, b in zip(token[x], usual)), -len(docs[x]), hashed[x][1]))
+        near = [x for x in group if sum(a == b for a, b in zip(token[x], token[centre])) >= similarity * n]
+        if len(set().union(*(docs[x] for x in near))) >= least:
+            out.add(frozenset(near))
+        rest = [x for x in group if x not in near]
+        if rest:
+            total = sum(len(docs[x]) for x in rest)
+            top = {p: max(counts(rest, p).values()) for p in range(n)}
+            by = sorted(sorted((p for p in top if top[p] < total), key=lambda p: (-top[p], p))[: max(1, n // 16)])
+            kids = {}
+            for x in rest:
+                kids.setdefault(tuple(token[x][p] for p in by), []).append(x)
+            for k in kids.values():
+                level(k)
+
+    leaves = {}
+    for x in docs:
+        leaves.setdefault(hashed[x][0], []).append(x)
+    for group in leaves.values():
+        level(group)
+    return out
+
+
+@pytest.mark.parametrize("size", [1000, 60, 7])
+def test_templates_by_definition(spark, monkeypatch, size):
+    """Templates are those of a plain form, with ties and repeated lines, and don't depend on where a leaf is cut for tasks."""
+    rng = random.Random(17)
+    monkeypatch.setattr(lines, "LEAF_LINES", size)
+    rows, word = [], lambda k: rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) + "x"
+    for base in (["log", "in", "of"] + [word(26) for _ in range(7)], ["log", "in", "of"] + [word(26) for _ in range(7)], ["one", "more", "line", "of", "six", "words"]):
+        for i in range(150):
+            rows.append((rng.randrange(90), " ".join(w if k < 3 or rng.random() > 0.35 else word(26) for k, w in enumerate(base))))
+    rows += [(rng.randrange(90), " ".join(["log", "in", "of"] + [word(4) for _ in range(7)])) for _ in range(200)]
+    rows += [(rng.randrange(90), " ".join(["long"] * 5 + [word(3) for _ in range(35)])) for _ in range(90)]
+    texts = {}
+    for d, x in rows:
+        texts.setdefault(d, []).append(x)
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string").repartition(3)
+    got = {}
+    for r in lines.find_templates(df, min_words=1)[1].collect():
+        got.setdefault(r.template, set()).add(r.line)
+    want = {frozenset(lines.parse(x, 1)[1] for x in g) for g in plain_templates(rows)}
+    assert set(map(frozenset, got.values())) == want and len(want) > 5
+
+
+def test_jobs_do_not_grow_with_a_leaf(spark, monkeypatch):
+    """A leaf of unlike lines takes as many steps as one ten times as large."""
+    monkeypatch.setattr(lines, "LEAF_LINES", 7)
+    rng, steps, write = random.Random(5), [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name="stage": steps.append(name) or write(df, name))
+    name = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(9))
+    count = []
+    for n in (60, 600):
+        steps.clear()
+        assert lines.drop_recurring_lines(spark.createDataFrame([(i, "as it was " + " ".join(name() for _ in range(5))) for i in range(n)], "doc_id long, text string")).count() == n
+        count.append(len(steps))
+    assert count[0] == count[1]
+
+
 def test_lines_count_documents(spark):
     """A template's n_docs counts documents: not its lines in one, and not rows that repeat a doc_id."""
     log = lambda i, k: "\n".join(f"now logged in user {'abcdefghijklmnopqrstuvwxyz'[4 * i + j]}x again" for j in range(k))

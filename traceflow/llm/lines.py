@@ -1,18 +1,19 @@
 """Line dedup over a log-template tree.
 
 Lines are parsed at a fixed depth: by token count, then by leading tokens (three, or an eighth of a long line); tokens with a digit are variable from the
-start. Below a leaf, lines that agree in enough places share a template, whose differing places become variable. A template
-that recurs in enough documents is boilerplate: its lines are dropped from all documents but the first that has it
-(the smallest doc_id), so a group of copies keeps one.
+start. A leaf then makes its templates level by level. Its centre is the line that agrees most with the commonest token of each place; lines that
+agree with the centre in enough places share a template, whose other places are variable. The rest of the leaf is dealt to children by the tokens of the places
+that vary least among them, and these go on alike. A template that recurs in enough documents is boilerplate: its lines are dropped from all documents but
+the first that has it (the smallest doc_id), so a group of copies keeps one.
 
-Each leaf is compared whole, whatever its size. A leaf with too many distinct lines for one task is dealt to several
-tasks; the templates that these leave are dealt anew while that at least halves them, and then meet in a tournament of
-blocks, a round of which brings each block together with one other. Templates only lose fixed places, so two that once met and were
-not alike never will be: after the tournament no two templates of a leaf are alike enough to share one.
+Each level is a function of counts over all lines of a leaf, so templates depend on neither order, partitions nor the leaf's size: a leaf that fits in a task
+goes through its levels there, a larger one by aggregations, joins and one written table a step, until its children fit. A level fixes at
+least a sixteenth of the places of a child, and a child whose fixed places are enough is one template: levels are at most about 20, whatever the leaf's size.
 
 Defined results: null texts stay null and empty ones empty; lines of fewer than min_words tokens are never dropped; a
 document whose lines are all dropped keeps an empty text; rows that repeat a doc_id are one document; null doc_ids count
-as the first document; an empty table gives no row; further columns pass through.
+as the first document; among equally common tokens the smallest hash counts, among equally good centres the line in most documents, then the
+smallest hash; an empty table gives no row; further columns pass through.
 """
 
 from __future__ import annotations
@@ -25,16 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import unused, written
+from .shared import mix, unused, written
 
 DIGIT = re.compile(r"\d")
 #: Leading tokens of a leaf: this many, or an eighth of the line's tokens if that is more.
 DEPTH = 3
-#: Distinct lines of a leaf that one task compares (in a tournament two blocks of them), and tokens of these.
+#: Distinct lines of a leaf that one task takes through all levels, and tokens of these; larger ones take a level at a time.
 LEAF_LINES, LEAF_TOKENS = 1000, 1 << 20
-#: A place that varies, in a template's token hashes.
-VARIABLE = 0
+#: Tasks among which the lines of a larger leaf are dealt where they meet what is known of the leaf.
+SALTS = 64
 
 
 def _signed(h: int) -> int:
@@ -46,8 +46,7 @@ def _hash(s: str) -> int:
 
 
 def _token(t: str) -> bytes:
-    h = xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"))
-    return (h if h != VARIABLE else 1).to_bytes(4, "little")
+    return xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(4, "little")
 
 
 def parse(line: str, min_words: int, blob: bool = True) -> tuple[int, int, int, list[str], bytes] | None:
@@ -61,113 +60,173 @@ def parse(line: str, min_words: int, blob: bool = True) -> tuple[int, int, int,
     return _hash(f"{n} " + " ".join(tokens[: max(DEPTH, n // 8)])), _hash(" ".join(tokens)), n, tokens, b"".join(map(_token, tokens)) if blob else b""
 
 
+def _matrix(blobs: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), n)
+
+
+def common(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of lines (rows of tokens), the token in most documents, the smallest of those, and in how many it is."""
+    k, n = tokens.shape
+    order = np.argsort(tokens, axis=0)
+    flat = np.take_along_axis(tokens, order, 0).T.ravel()
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]] | (np.arange(k * n) % k == 0))
+    counts, place, token = np.add.reduceat(docs[order].T.ravel(), starts), starts // k, flat[starts]
+    first = np.lexsort((token, -counts, place))
+    first = first[np.searchsorted(place[first], np.arange(n))]
+    return token[first], counts[first]
+
+
+def places_of(counts: np.ndarray, total: int) -> np.ndarray:
+    """The places that a leaf's rest is dealt by: of those that vary, the sixteenth of all places (at least one) whose commonest token is in most documents."""
+    vary = np.flatnonzero(counts < total)
+    return np.sort(vary[np.lexsort((vary, -counts[vary]))][: max(1, len(counts) // 16)])
+
+
+def children(leaf: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The child of each line (rows of tokens) of its leaf, by its tokens at the places."""
+    h = mix(leaf.astype(np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    for p in places:
+        h = mix(mix(h ^ np.uint64(p)) ^ tokens[:, p].astype(np.uint64))
+    return h.view(np.int64)
+
+
+def levels(leaf: int, tokens: np.ndarray, docs: np.ndarray, line: np.ndarray, similarity: float, least_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of a leaf, whether it has a template in at least least_docs lines of documents or may have one, and its number."""
+    template, has, todo, n = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool), [(leaf, np.arange(len(tokens)))], tokens.shape[1]
+    while todo:
+        g, at = todo.pop()
+        if docs[at].sum() < least_docs:
+            continue
+        t = tokens[at]
+        best = np.lexsort((line[at], -docs[at], -(t == common(t, docs[at])[0]).sum(axis=1)))[0] if len(at) > 1 else 0
+        near = (t == t[best]).sum(axis=1) >= similarity * n
+        near[best] = True
+        template[at[near]], has[at[near]] = g, True
+        rest = at[~near]
+        total = docs[rest].sum()
+        if len(rest) and total >= least_docs:
+            kids = children(np.full(len(rest), g), tokens[rest], places_of(common(tokens[rest], docs[rest])[1], total))
+            order = np.argsort(kids, kind="stable")
+            cuts = np.flatnonzero(np.diff(kids[order])) + 1
+            todo += [(int(kids[x[0]]), rest[x]) for x in np.split(order, cuts)]
+    return has, template
+
+
 def cluster(lines: list[tuple[int, bytes]], similarity: float) -> list[int]:
-    """For each (line, token blob), in order, the index of its template's first line; lines of different token counts share none."""
+    """For each (line, token blob), the index of its template's first line; lines of different token counts share none."""
     out = [0] * len(lines)
     for size in {len(b) for _, b in lines}:
         at = [i for i, (_, b) in enumerate(lines) if len(b) == size]
-        for i, first in zip(at, merge([lines[i] for i in at], similarity)[0]):
-            out[i] = at[first]
+        found = levels(0, _matrix([lines[i][1] for i in at], size // 4), np.ones(len(at), np.int64), np.array([lines[i][0] for i in at]), similarity, 1)[1].tolist()
+        for i, t in zip(at, found):
+            out[i] = at[found.index(t)]
     return out
 
 
-def merge(lines: list[tuple[int, bytes]], similarity: float) -> tuple[list[int], list[bytes]]:
-    """cluster of lines of one token count, and for each index the template that the line has in the end.
+def _small(todo: DataFrame, similarity: float, least_docs: int) -> DataFrame:
+    """line, template of todo(leaf, n, line, blob, docs), a leaf in each task's hands at a time."""
 
-    Lines may be templates themselves, whose variable places agree with nothing.
-    """
-    n = len(lines[0][1]) // 4 if lines else 0
-    seen = np.frombuffer(b"".join(b for _, b in lines), np.uint32).reshape(len(lines), n)
-    tokens, firsts, out = np.zeros_like(seen), np.zeros(len(lines), np.int64), []
-    k = 0
-    for i, t in enumerate(seen):
-        best = -1
-        if k:
-            agree = ((tokens[:k] == t) & (tokens[:k] != VARIABLE)).sum(axis=1)
-            best = int(agree.argmax())
-            if agree[best] / max(n, 1) < similarity:
-                best = -1
-        if best < 0:
-            tokens[k], firsts[k] = t, i
-            best, k = k, k + 1
-        else:
-            tokens[best][tokens[best] != t] = VARIABLE
-        out.append(int(firsts[best]))
-    final = dict(zip(firsts[:k].tolist(), tokens[:k]))
-    return out, [final[i].tobytes() if i in final else lines[i][1] for i in range(len(lines))]
+    def tree(table: pa.Table) -> pa.Table:
+        leaf, n = table.column("leaf")[0].as_py(), table.column("n")[0].as_py()
+        line, docs = (table.column(c).to_numpy() for c in ("line", "docs"))
+        has, template = levels(leaf, _matrix(table.column("blob").to_pylist(), n), docs, line, similarity, least_docs)
+        return pa.table({"line": line[has], "template": template[has]})
 
+    return todo.select("leaf", "n", "line", "blob", "docs").groupBy("leaf", "n").applyInArrow(tree, "line long, template long")
 
-STATE = "leaf long, n int, line long, template long, blob binary, docs long"
 
+def _counts(lines: DataFrame) -> DataFrame:
+    """leaf, place, token, docs (of its commonest token, the smallest of those), total (of all tokens) of lines(leaf, n, line, blob, docs)."""
 
-def _clustered(entries: DataFrame, similarity: float) -> DataFrame:
-    """entries(leaf, n, line, blob, docs, part), those of a leaf and part compared with each other; what isn't its own template has no blob."""
+    def explode(batches):
+        for b in batches:
+            leaf, n, docs = (b.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "n", "docs"))
+            token = np.frombuffer(b"".join(b.column("blob").to_pylist()), np.uint32)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.repeat(leaf, n), pa.int64()), (place, pa.int32()), (token, pa.int64()), (np.repeat(docs, n), pa.int64()))], names=["leaf", "place", "token", "docs"])
 
-    def tree(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("docs", "descending"), ("line", "ascending")])
-        line, docs = (table.column(c).to_numpy() for c in ("line", "docs"))
-        first, blobs = merge(list(zip(line.tolist(), table.column("blob").to_pylist())), similarity)
-        first = np.array(first)
-        total = np.bincount(first, docs, minlength=len(first)).astype(np.int64)
-        own = first == np.arange(len(first))
-        return pa.table({"leaf": table.column("leaf"), "n": table.column("n"), "line": line, "template": line[first], "blob": pa.array([b if o else None for b, o in zip(blobs, own)], pa.binary()), "docs": total})
-
-    return entries.select("leaf", "n", "line", "blob", "docs", "part").groupBy("leaf", "n", "part").applyInArrow(tree, STATE)
-
-
-def _templates(entries: DataFrame, similarity: float) -> DataFrame:
-    """line, template (the hash of one of its lines) of entries(leaf, n, line, blob, docs), each leaf compared whole."""
-    block = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(16), F.floor(F.lit(LEAF_TOKENS) / F.greatest("n", F.lit(1))))).cast("long")
-
-    def sized(df: DataFrame) -> DataFrame:
-        sizes = df.groupBy("leaf", "n").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / block).cast("long"))
-        return df.join(sizes, ["leaf", "n"])
-
-    def round_(df: DataFrame, part) -> DataFrame:
-        return written(_clustered(df.withColumn("part", part), similarity), "templates")
-
-    def survivors(done: DataFrame) -> DataFrame:
-        return done.where("line = template").select("leaf", "n", "line", "blob", "docs")
-
-    def most(df: DataFrame) -> tuple[int, int]:
-        r = df.agg(F.coalesce(F.max("parts"), F.lit(0)).alias("parts"), F.count("*").alias("n")).first()
-        return r.parts, r.n
-
-    dealt, salt = sized(entries).where("size > 1"), 0
-    whole = round_(dealt, F.pmod(F.xxhash64("line", F.lit(salt)), "parts"))
-    found = [whole.where("line <> template")]
-    large = dealt.where("parts > 1").select("leaf", "n").distinct()
-    dealt = written(sized(survivors(whole).join(large, ["leaf", "n"], "left_semi")), "large_leaves")
-    parts, n = most(dealt)
-    before = 2 * n
-    while parts > 1 and 2 * n <= before:
-        before, salt = n, salt + 1
-        whole = round_(dealt, F.pmod(F.xxhash64("line", F.lit(salt)), "parts"))
-        found.append(whole.where("line <> template"))
-        dealt = written(sized(survivors(whole)), "large_leaves")
-        parts, n = most(dealt)
-    if n:
-        # The circle method: in round r block b meets pmod(2 r - b, m), and the last block meets the one that would meet itself.
-        at = written(dealt.select("leaf", "n", "line", "blob", "docs", "parts", F.pmod(F.xxhash64("line", F.lit(-1)), "parts").alias("b")), "blocks")
-        places, m = at.select("line", "parts", "b"), F.col("parts") + F.col("parts") % 2 - 1
-        for r in range(max(1, parts + parts % 2 - 1)):
-            r = F.lit(r)
-            turned = F.pmod(2 * r - F.col("b"), F.greatest(m, F.lit(1)))
-            partner = F.when(F.col("b") == m, r).when(turned == F.col("b"), m).otherwise(turned)
-            whole = round_(at.where(r < F.greatest(m, F.lit(1))), F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("b", partner)))
-            found.append(whole.where("line <> template"))
-            at = survivors(whole).join(places, "line")
-    if len(found) == 1:
-        return found[0].select("line", "template")
-    edges = found[0].select("line", "template")
+    tokens = lines.select("leaf", "n", "blob", "docs").mapInArrow(explode, "leaf long, place int, token long, docs long").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
+    best = tokens.groupBy("leaf", "place").agg(F.max(F.struct("docs", (-F.col("token")).alias("token"))).alias("m"), F.sum("docs").alias("total"))
+    return best.select("leaf", "place", (-F.col("m.token")).alias("token"), "m.docs", "total")
+
+
+def _meet(lines: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """lines joined by leaf with known, which has a row a leaf: the lines of one leaf are dealt among SALTS tasks."""
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")).join(salted, ["leaf", "salt"], how).drop("salt")
+
+
+def _agreeing(lines: DataFrame, other: str) -> DataFrame:
+    """lines(leaf, n, line, blob, docs) with agree: in how many places blob has the token of the blob called other."""
+
+    def compare(batches):
+        for b in batches:
+            n = b.column("n").to_numpy()
+            same = np.frombuffer(b"".join(b.column("blob").to_pylist()), np.uint32) == np.frombuffer(b"".join(b.column(other).to_pylist()), np.uint32)
+            ends = np.r_[0, np.cumsum(same)]
+            at = np.r_[0, np.cumsum(n)]
+            agree = ends[at[1:]] - ends[at[:-1]]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("leaf", "n", "line", "blob", "docs")] + [pa.array(agree, pa.int32())], names=["leaf", "n", "line", "blob", "docs", "agree"])
+
+    return lines.select("leaf", "n", "line", "blob", "docs", other).mapInArrow(compare, "leaf long, n int, line long, blob binary, docs long, agree int")
+
+
+def _level(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """One level of leaves too large for a task: (line, template) of those near their leaf's centre, and the rest in its children."""
+
+    def typical(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        return pa.table({"leaf": table.column("leaf")[:1], "common": pa.array([table.column("token").to_numpy().astype(np.uint32).tobytes()], pa.binary())})
+
+    def least_varied(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        places = places_of(table.column("docs").to_numpy(), table.column("total")[0].as_py())
+        return pa.table({"leaf": table.column("leaf")[:1], "places": pa.array([places.tolist()], pa.list_(pa.int32()))})
+
+    def deal(batches):
+        for b in batches:
+            leaf, n = b.column("leaf").to_numpy(), b.column("n").to_numpy()
+            out, blobs, places = np.zeros(len(leaf), np.int64), b.column("blob").to_pylist(), b.column("places").to_pylist()
+            for g in np.unique(leaf):
+                at = np.flatnonzero(leaf == g)
+                out[at] = children(leaf[at], _matrix([blobs[i] for i in at], int(n[at[0]])), places[at[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(out), *(b.column(c) for c in ("n", "line", "blob", "docs"))], names=["leaf", "n", "line", "blob", "docs"])
+
+    modes = _counts(lines).groupBy("leaf").applyInArrow(typical, "leaf long, common binary")
+    scored = _agreeing(_meet(lines, modes), "common")
+    centres = scored.groupBy("leaf").agg(F.max(F.struct("agree", "docs", (-1 - F.col("line")).alias("line"), "blob")).alias("m")).select("leaf", F.col("m.blob").alias("centre"))
+    met = written(_agreeing(_meet(lines, centres), "centre"), "met")
+    near = F.col("agree") >= F.lit(similarity) * F.col("n")
+    rest = met.where(~near).select("leaf", "n", "line", "blob", "docs")
+    places = _counts(rest).groupBy("leaf").applyInArrow(least_varied, "leaf long, places array<int>")
+    dealt = _meet(rest, places).mapInArrow(deal, "leaf long, n int, line long, blob binary, docs long")
+    return met.where(near).select("line", F.col("leaf").alias("template")), written(dealt, "children")
+
+
+def _templates(todo: DataFrame, similarity: float, least_docs: int) -> DataFrame:
+    """line, template of todo(leaf, n, line, blob, docs), where that can be in least_docs documents."""
+    block = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(16), F.floor(F.lit(LEAF_TOKENS) / F.greatest("n", F.lit(1)))))
+    found, small = [], []
+    while True:
+        sizes = written(todo.groupBy("leaf", "n").agg(F.count("*").alias("size"), F.sum("docs").alias("total")).where((F.col("total") >= least_docs) & ((F.col("size") > block) | F.lit(bool(found)))), "leaves")
+        large, fits = sizes.where(F.col("size") > block).select("leaf"), sizes.where(F.col("size") <= block).select("leaf")
+        if large.isEmpty():
+            small.append(todo.join(fits, "leaf", "left_semi") if found else todo)
+            break
+        small.append(_meet(todo, large, "left_anti") if not found else todo.join(fits, "leaf", "left_semi"))
+        near, todo = _level(written(_meet(todo, large, "left_semi"), "large_leaves"), similarity)
+        found.append(near)
+    for s in small:
+        found.append(_small(s, similarity, least_docs))
+    out = found[0]
     for f in found[1:]:
-        edges = edges.unionByName(f.select("line", "template"))
-    return components(edges.select(F.col("line").alias("a"), F.col("template").alias("b"))).select(F.col("node").alias("line"), F.col("component").alias("template"))
+        out = out.unionByName(f)
+    return out
 
 
 def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, line) of all documents, and the recurring ones (line, template, n_docs, keeper): template is the hash of
-    one of its lines, n_docs how many documents have any of its lines, keeper the smallest doc_id."""
+    """Lines (doc_id, line) of all documents, and the recurring ones (line, template, n_docs, keeper): template is a number
+    of its own, n_docs how many documents have any of its lines, keeper the smallest doc_id."""
 
     def parse_map(batches):
         for b in batches:
@@ -186,8 +245,7 @@ def find_templates(docs: DataFrame, least_docs: int = 5, min_words: int = 2, sim
     first = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc")
     sizes = every.groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") >= least_docs).select("leaf")  # at least as many rows as documents
     near = written(every.join(sizes, "leaf", "left_semi").groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("blob").alias("blob")), "near")
-    named = near.select("line").join(_templates(near, similarity), "line", "left").select("line", F.coalesce("template", "line").alias("template"))
-    named = written(named, "line_templates")
+    named = written(_templates(near, similarity, least_docs), "line_templates")
     seen = every.select("line", first).join(named, "line").groupBy("template", "doc").agg(F.lit(1).alias("one"))
     totals = seen.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
     return every.select("doc_id", "line"), named.join(totals, "template").select("line", "template", "n_docs", "keeper")
