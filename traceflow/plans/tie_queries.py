@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceflow.operators import estimation, ties
-from traceflow.sources import views
+from traceflow.operators.saved import new_path
+from traceflow.sources import files, views
 
 from .registry import query, sql
 
@@ -189,3 +190,28 @@ def adjust_network(spark, sf_dir):
     """Time, phase and amplitude corrections by the default number of steps, one after another."""
     got = ties.adjust_all(views.misties(spark, sf_dir), [1], 0.75, 20, 0.75, None)
     return got.select("line", *[F.round(c, 6).alias(c) for c in ("shift", "phase", "amp")])
+
+
+#: Ties under names of lines (strings, so their ends are ordered as strings); those of every third order come from the second file.
+NAMED = "named AS (SELECT okey, CAST(line_a AS VARCHAR) AS na, trc_a, CAST(line_b AS VARCHAR) AS nb, trc_b, zdiff, phasediff, ampdiff, quality, {'l': CAST(line_a AS VARCHAR), 't': trc_a} > {'l': CAST(line_b AS VARCHAR), 't': trc_b} AS turn FROM misties), turned AS (SELECT CAST(okey AS DOUBLE) AS x, CASE WHEN turn THEN nb ELSE na END AS line_a, CASE WHEN turn THEN trc_b ELSE trc_a END AS trc_a, CASE WHEN turn THEN na ELSE nb END AS line_b, CASE WHEN turn THEN trc_a ELSE trc_b END AS trc_b, round(CASE WHEN turn THEN -zdiff ELSE zdiff END, 6) + 0.0 AS zdiff, round(CASE WHEN turn THEN -phasediff ELSE phasediff END, 6) + 0.0 AS phasediff, round(CASE WHEN turn THEN 1 / ampdiff ELSE ampdiff END, 6) AS ampdiff, round(quality, 6) + 0.0 AS quality, okey % 3 = 0 AS second FROM named)"
+
+for _name, _merge, _replace, _which in (("replace", True, True, "CASE WHEN second THEN 0 ELSE 1 END"), ("keep", True, False, "CASE WHEN second THEN 1 ELSE 0 END"), ("anew", False, True, None)):
+
+    def _from_files(spark, sf_dir, merge=_merge, replace=_replace):
+        m = views.misties(spark, sf_dir).withColumns({"line_a": F.col("line_a").cast("string"), "line_b": F.col("line_b").cast("string"), "x": F.col("okey").cast("double"), "y": F.lit(0.0)})
+        first, second = new_path(spark), new_path(spark)
+        files.write_ties(m.where("okey % 3 <> 0"), first)
+        files.write_ties(m.where("okey % 3 = 0"), second)
+        got = files.merge_ties(files.read_ties(spark, first), second, merge, replace)
+        return got.select("x", *COLS.split(", "), *[(F.round(v, 6) + F.lit(0.0)).alias(v) for v in VALUES])
+
+    _ranked = f"r AS (SELECT *, row_number() OVER (PARTITION BY {COLS} ORDER BY {_which or '0'}, x, zdiff, phasediff, ampdiff) AS n FROM turned{'' if _merge else ' WHERE second'})"
+    query(f"mistie_files_{_name}", sql("misties", f"{NAMED}, {_ranked} SELECT x, {COLS}, zdiff, phasediff, ampdiff, quality FROM r WHERE n = 1"))(_from_files)
+
+
+@query("correction_file", sql("misties", CORR + " SELECT CAST(line AS VARCHAR) AS line, CAST(shift AS DOUBLE) AS shift, CAST(phase AS DOUBLE) AS phase, CAST(amp AS DOUBLE) AS amp FROM cor"))
+def correction_file(spark, sf_dir):
+    """All corrections written to a file of the survey's format and read back."""
+    path = new_path(spark)
+    files.write_corrections(_corrections(spark, sf_dir), path)
+    return files.read_corrections(spark, path)

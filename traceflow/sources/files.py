@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceflow.operators.ties import upsert
+
 #: Column names of a tie file, in order (fixed values of its format).
 TIE_COLUMNS = ["LineA", "TrcA", "LineB", "TrcB", "X", "Y", "Zdiff", "PhaseDiff", "AmpDiff", "Quality"]
 TIE_SCHEMA = "LineA string, TrcA long, LineB string, TrcB long, X double, Y double, Zdiff double, PhaseDiff double, AmpDiff double, Quality double"
@@ -21,6 +23,13 @@ def write_ties(df: DataFrame, path: str) -> None:
     df.select(*OURS).toDF(*TIE_COLUMNS).write.csv(path, sep="\t", header=True, quoteAll=False)
 
 
+def merge_ties(old: DataFrame, path: str, merge: bool = True, replace: bool = True, order: list[str] | None = None) -> DataFrame:
+    """old with the ties of a file (or a folder of files), oriented, one row per crossing. Without merge old's rows go first; with it, of a crossing
+    in both the file's row stays if replace, else old's. order: columns that decide between rows of one crossing in one table."""
+    new = read_ties(old.sparkSession, path)
+    return upsert((old if merge else old.limit(0)).select(*OURS), new, replace, order or ["x", "y", "zdiff", "phasediff", "ampdiff"])
+
+
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     """Lines `name: shift`phase`amp`; lines without a name are skipped."""
     t = spark.read.text(path)
