@@ -224,6 +224,25 @@ def test_packing_scores_by_all_terms():
     assert packing.retrieval_order(index, np.full(60, 10), 10_000)[1] == 50
 
 
+def test_packing_index_of_rows_in_any_order():
+    """The postings are those of sorted rows, whatever order they come in, and a seed's weightiest terms are asked where only some are."""
+    rng = np.random.default_rng(4)
+    rows, terms = rng.integers(0, 40, 3000), rng.integers(0, packing.TERMS, 90)[rng.integers(0, 90, 3000)]
+    key, tf = np.unique(rows * packing.TERMS + terms, return_counts=True)
+    whole = packing.BM25(rows, terms, 40)
+    mixed = rng.permutation(len(key))
+    for index in (packing.BM25(key // packing.TERMS, key % packing.TERMS, 40, tf), packing.BM25(key[mixed] // packing.TERMS, key[mixed] % packing.TERMS, 40, tf[mixed])):
+        for name in ("first", "rows", "weight", "terms_of", "row_first"):
+            assert np.array_equal(getattr(index, name), getattr(whole, name)), name
+    for seed in range(40):
+        own = whole.terms_of[whole.row_first[seed] : whole.row_first[seed + 1]]
+        weight = np.array([whole.weight[whole.first[t] : whole.first[t + 1]][whole.rows[whole.first[t] : whole.first[t + 1]] == seed][0] for t in own])
+        want = np.zeros(40)
+        for t in own[np.argsort(-weight, kind="stable")[:3]]:
+            want[whole.rows[whole.first[t] : whole.first[t + 1]]] += whole.weight[whole.first[t] : whole.first[t + 1]]
+        assert np.allclose(whole.scores(seed, 3), want)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     tokenfile.write_tokens(docs, f"{tmp_path}/a")
     enc = tokenfile.WhiteSpaceFree("word_bpe_49k.json")
