@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from traceflow import queries
 from traceflow.operators import crossings, ties
 
 
@@ -62,3 +63,17 @@ def test_crossings_brute(spark, monkeypatch, block, cell, name):
 def test_crossings_are_not_shuffled(spark):
     st = spark.createDataFrame(zigzag(4, 5, 1), "line long, trcnr long, x double, y double")
     assert "hashpartitioning(line_a" not in plan(ties.line_crossings(st))
+
+
+def test_horizon_ties_at_crossings(spark):
+    rows = zigzag(9, 10, 5)
+    st = spark.createDataFrame(rows, "line long, trcnr long, x double, y double")
+    h = spark.createDataFrame([(r[0], r[1], None if i % 7 == 2 else i * i / 3) for i, r in enumerate(rows) if i % 11], "line long, trcnr long, z double")
+    got = ties.line_horizon_ties(st, h, 2.0)
+    want = ties.horizon_ties(h, ties.line_crossings(st), 2.0)
+    key = ["line_a", "trc_a", "line_b", "trc_b", "zdiff"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect())) and got.where("zdiff <> 0").count() > 5
+
+
+def test_horizon_queries_do_not_shuffle_crossings(spark):
+    assert "hashpartitioning(line_a" not in plan(queries.QUERIES["mistie_horizon_2d"](spark, "/root/testdata/sf0.001"))
