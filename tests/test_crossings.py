@@ -76,4 +76,5 @@ def test_horizon_ties_at_crossings(spark):
 
 
 def test_horizon_queries_do_not_shuffle_crossings(spark):
-    assert "hashpartitioning(line_a" not in plan(queries.QUERIES["mistie_horizon_2d"](spark, "/root/testdata/sf0.001"))
+    for name in ("mistie_horizon_2d", "mistie_horizon_all"):
+        assert "hashpartitioning(line_a" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))

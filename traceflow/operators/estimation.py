@@ -171,9 +171,7 @@ def by_traces(stations: DataFrame, traces: DataFrame, volume: DataFrame | None =
 
 def by_horizons(stations: DataFrame, horizon: DataFrame, surface: DataFrame | None = None, name: str = "3D", step: int = 1, factor: float = 1.0) -> DataFrame:
     """All ties of lines, and of a surface if given, from their horizons; ratios and qualities are 1."""
-    crossings = ties.line_crossings(stations)
-    z = ties.horizon_ties(horizon, crossings, factor)
-    two = crossings.join(z, ["line_a", "trc_a", "line_b", "trc_b"]).withColumns({"phasediff": F.lit(0.0), "ampdiff": F.lit(1.0), "quality": F.lit(1.0)})
+    two = ties.line_horizon_ties(stations, horizon, factor).withColumns({"phasediff": F.lit(0.0), "ampdiff": F.lit(1.0), "quality": F.lit(1.0)})
     out = named(two)
     if surface is not None:
         out = out.unionByName(volume_by_horizons(overlaps(stations, surface), horizon, stations, surface, name, step, factor))
