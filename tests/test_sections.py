@@ -103,6 +103,14 @@ def test_fault_polygon(spark):
     assert [r.z for r in draping.at_constant_z(sticks.limit(2), 3).collect()] == [3.0, 3.0]
 
 
+def test_fault_polygon_plan(spark, tmp_path):
+    """The sticks' cells, which their planned size doesn't tell, are never gathered at the driver for a broadcast, however large the horizon."""
+    spark.range(40).selectExpr("id div 8 as fault", "id div 4 as stick", "id % 4 as seq", "id / 3.0 as x", "id / 5.0 as y", "id - 20.0 as z").write.parquet(f"{tmp_path}/sticks")
+    spark.range(4000).selectExpr("id div 50 as ix", "id % 50 as iy", "id / 900.0 as z").write.parquet(f"{tmp_path}/horizon")
+    plan = draping.fault_polygons(spark.read.parquet(f"{tmp_path}/sticks"), spark.read.parquet(f"{tmp_path}/horizon"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_profiles(spark):
     horizon = spark.createDataFrame([(x, y, None if x == 5 and y == 1 else x + 10.0 * y) for x in range(9) for y in range(4)], "ix long, iy long, z double")
     paths = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 7.5, 0.5), (2, 0, 1.0, 1.0), (2, 1, 1.0, 1.0), (2, 2, 2.0, 2.0), (3, 0, -5.0, -5.0), (3, 1, -4.0, -5.0)], "path int, seq int, x double, y double")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CORNERS = ((0, 0), (0, 1), (1, 1), (1, 0))
+#: So much of a cell is added to a segment's box, lest rounding hide a hit on a cell's border.
+_SLACK = 1e-6
 
 
 def _triangle_hit(p: list[Column], q: list[Column], corners: list[tuple[Column, Column, Column]]) -> Column:
@@ -32,20 +34,28 @@ def _with_corners(at: DataFrame, horizon: DataFrame, keys: list[str], step: int)
     return z.groupBy(*keys).agg(*[F.max(F.when(F.col("__corner") == c, F.col("__z"))).alias(f"corner{c}") for c in range(4)])
 
 
+def _cells(horizon: DataFrame, step: int) -> DataFrame:
+    """row, col and corner0..corner3 of the cells of which a triangle has three defined corners: the z of their corners, from the lower one around."""
+    nodes = horizon.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("z").alias("__z")).where("__z is not null")
+    each = nodes.select("__z", F.posexplode(F.array(*[F.struct((F.col("ix") - i * step).alias("row"), (F.col("iy") - j * step).alias("col")) for i, j in _CORNERS])).alias("__corner", "__cell"))
+    cells = each.groupBy("__cell.row", "__cell.col").agg(*[F.max(F.when(F.col("__corner") == c, F.col("__z"))).alias(f"corner{c}") for c in range(4)])
+    return cells.where("corner0 is not null and corner2 is not null and (corner1 is not null or corner3 is not null)")
+
+
 def fault_polygons(sticks: DataFrame, horizon: DataFrame, step: int = 1) -> DataFrame:
     """fault, seq, x, y, z: where the segments of a fault's sticks pierce a horizon, along the sticks and back again.
 
-    sticks(fault, stick, seq, x, y, z). A segment looks at the cells from one before to one behind the nodes next to its ends, row by row, at two triangles each; the first
-    hit counts. Faults that nowhere pierce have no row; a segment with an undefined end is left out.
+    sticks(fault, stick, seq, x, y, z). A segment looks at the cells in its box, row by row, at two triangles each; the first hit counts. (A point of a segment lies in its box, so the cells
+    from one before to one behind the nodes next to its ends have no other hits.) Faults that nowhere pierce have no row; a segment with an undefined end is left out.
     """
     by = Window.partitionBy("fault", "stick").orderBy("seq")
     ends = sticks.select("fault", "stick", "seq", *[F.col(c).cast("double").alias(c) for c in "xyz"], *[F.lead(F.col(c).cast("double")).over(by).alias(f"{c}2") for c in "xyz"])
     ends = ends.where(" and ".join(f"{c} is not null and {c}2 is not null" for c in "xyz"))
-    snap = lambda c: (F.floor(F.col(c) / step + 0.5) * step).cast("long")
-    span = lambda a, b: F.sequence(F.least(snap(a), snap(b)) - step, F.greatest(snap(a), snap(b)) + step, F.lit(step).cast("long"))
+    snap = lambda v: (F.floor(v / step) * step).cast("long")
+    span = lambda a, b: F.sequence(snap(F.least(a, b) - _SLACK * step), snap(F.greatest(a, b) + _SLACK * step), F.lit(step).cast("long"))
     at = ends.withColumn("row", F.explode(span("x", "x2"))).withColumn("col", F.explode(span("y", "y2")))
-    keys = ["fault", "stick", "seq", "x", "y", "z", "x2", "y2", "z2", "row", "col"]
-    cells = _with_corners(at, horizon, keys, step)
+    # merged: the planner's estimate knows nothing of the rows that explode makes, and would broadcast the sticks' cells through the driver
+    cells = at.hint("merge").join(_cells(horizon, step), ["row", "col"])
     p, q = [F.col(c) for c in "xyz"], [F.col(f"{c}2") for c in "xyz"]
     corner = lambda c: ((F.col("row") + _CORNERS[c][0] * step).cast("double"), (F.col("col") + _CORNERS[c][1] * step).cast("double"), F.col(f"corner{c}"))
     t = F.coalesce(*[_triangle_hit(p, q, [corner(0), corner(a), corner(b)]) for a, b in ((1, 2), (2, 3))])
