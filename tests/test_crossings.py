@@ -120,6 +120,6 @@ def test_ties_by_traces_at_crossings(spark):
         assert "hashpartitioning(line_a" not in plan(found)
 
 
-@pytest.mark.parametrize("name", ["mistie_estimate_2d", "mistie_estimate_all"])
+@pytest.mark.parametrize("name", ["mistie_estimate_2d", "mistie_estimate_all", "mistie_estimate_z"])
 def test_estimate_queries_do_not_shuffle_crossings(spark, name):
     assert "hashpartitioning(line_a" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
